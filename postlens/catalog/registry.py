@@ -13,6 +13,7 @@ from postlens.catalog import fixtures as fx
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+MODULES: dict[str, str] = {}
 
 _CTES = {
     "note_info": fx.NOTE_INFO,
@@ -25,6 +26,7 @@ _CTES = {
 }
 # Digits kept in compared doubles: sums run in a different order in each engine.
 DIGITS = 7
+COARSE = 2
 
 
 def with_fixtures(body: str, *names: str) -> str:
@@ -38,21 +40,24 @@ def with_fixtures(body: str, *names: str) -> str:
     return head + ",\n".join(parts) + (",\n" if body.lstrip().startswith("WITH ") else "\n") + rest
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to DIGITS places; -0.0 becomes 0.0."""
+def rounded(df: DataFrame, coarse: Sequence[str] = ()) -> DataFrame:
+    """Doubles to DIGITS places, COARSE for the columns named; -0.0 becomes 0.0."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0) for c in doubles})
+    return df.withColumns({c: F.round(F.col(c).cast("double"), COARSE if c in coarse else DIGITS) + F.lit(0.0) for c in doubles})
 
 
-def register(name: str, sql: str | None = None, uses: Sequence[str] = (), doubles: Sequence[str] = ()):
-    """Decorator. `uses` names logical tables of the SQL, `doubles` the columns rounded on both sides."""
+def register(name: str, sql: str | None = None, uses: Sequence[str] = (), doubles: Sequence[str] = (),
+             coarse: Sequence[str] = ()):
+    """Decorator. `uses` names logical tables of the SQL, `doubles` the columns rounded on both sides,
+    `coarse` those of them with many digits before the point."""
 
     def add(fn: Query) -> Query:
-        QUERIES[name] = (lambda spark, sf_dir: rounded(fn(spark, sf_dir)))
+        MODULES[name] = fn.__module__.rsplit(".", 1)[-1]
+        QUERIES[name] = (lambda spark, sf_dir: rounded(fn(spark, sf_dir), coarse))
         if sql is not None:
             text = with_fixtures(sql, *uses)
             if doubles:
-                rounds = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0E0 AS {c}" for c in doubles)
+                rounds = ", ".join(f"round(CAST({c} AS DOUBLE), {COARSE if c in coarse else DIGITS}) + 0.0E0 AS {c}" for c in doubles)
                 text = f"SELECT * REPLACE ({rounds}) FROM (\n{text}\n)"
             ORACLES[name] = text
         return fn

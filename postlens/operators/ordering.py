@@ -84,10 +84,16 @@ def ordered_counts(df: DataFrame, groups: Sequence[str], value: str, *extra: Col
     return running_weight(value_counts(df, groups, value, *extra), groups, [value], F.col("n"))
 
 
+def weighted_ranks(df: DataFrame, groups: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
+    """Average rank of every distinct value, where a row stands for `weight` equal rows; `total` rows per group."""
+    folded = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.sum(weight).alias("_n"))
+    ranked = running_weight(folded, groups, [value], F.col("_n"))
+    return ranked.select(*groups, value, (F.col("before") + (F.col("_n") + 1) / 2).alias(name), "total")
+
+
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str, name: str = "avg_rank") -> DataFrame:
     """The average rank of every distinct value, ties sharing the mean of their positions."""
-    ranked = ordered_counts(df, groups, value)
-    return ranked.select(*groups, value, "n", (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    return weighted_ranks(value_counts(df, groups, value), groups, value, "n", name)
 
 
 def dense_positions(df: DataFrame, groups: Sequence[str], value: str, name: str = "position") -> DataFrame:
