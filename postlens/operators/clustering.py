@@ -69,14 +69,21 @@ def silhouette_euclidean(df: DataFrame, key: str, vector: str, cluster: str = "c
     The score of a sample is what it is for; `most` bounds the rows every sampled row is measured against.
     """
     rows = hash_sample(df.select(key, cluster, vector), key, most)
-    mine = F.struct(F.col(key).alias("id"), F.col(cluster).alias("k"), F.col(vector).alias("v"))
-    together = rows.agg(F.collect_list(mine).alias("all")).select(F.explode("all").alias("p"), "all")
-    gaps = F.transform("all", lambda o: F.struct(
-        o["id"].alias("id"), o["k"].alias("k"), F.sqrt(squared_distance(F.col("p.v"), o["v"])).alias("d")))
-    spread = together.repartition(F.col("p.id")).select("p.id", "p.k", F.explode(gaps).alias("o")).where("o.id <> id")
-    means = spread.groupBy("id", "k", F.col("o.k").alias("other")).agg(F.avg("o.d").alias("d"))
-    own, near = F.when(F.col("other") == F.col("k"), F.col("d")), F.when(F.col("other") != F.col("k"), F.col("d"))
-    sides = means.groupBy("id").agg(F.max(own).alias("a"), F.min(near).alias("b"))
+    member = F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))
+    groups = rows.groupBy(cluster).agg(F.collect_list(member).alias("members")).agg(
+        F.collect_list(F.struct(F.col(cluster).alias("k"), "members")))
+
+    def reach(group):
+        far = F.aggregate(
+            group["members"], F.lit(0.0), lambda a, o: a + F.sqrt(squared_distance(F.col(vector), o["v"])))
+        return F.struct(group["k"].alias("k"), far.alias("d"), F.size(group["members"]).alias("n"))
+
+    measured = rows.repartition(F.col(key)).withColumn("_g", groups.scalar()).select(
+        F.col(cluster).alias("k"), F.transform("_g", reach).alias("g"))
+    own = F.filter("g", lambda c: c["k"] == F.col("k"))[0]
+    a = F.when(own["n"] > 1, own["d"] / F.when(own["n"] > 1, own["n"] - 1))
+    b = F.array_min(F.transform(F.filter("g", lambda c: c["k"] != F.col("k")), lambda c: c["d"] / c["n"]))
+    sides = measured.select(a.alias("a"), b.alias("b"))
     top = F.greatest("a", "b")
     score = F.when(F.col("a").isNull() | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
     return sides.agg(F.avg(score).alias("silhouette"))

@@ -52,7 +52,7 @@ def ordered_pairs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[float, f
     return concordant, discordant
 
 
-def _count(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     c, d = ordered_pairs(rows["a"].to_numpy(), rows["b"].to_numpy(), rows["w"].to_numpy())
     return pd.DataFrame({"task": [key[0]], "concordant": [c], "discordant": [d]})
 
