@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.catalog import fixtures as fx
+from postlens.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,7 +54,12 @@ def register(name: str, sql: str | None = None, uses: Sequence[str] = (), double
 
     def add(fn: Query) -> Query:
         MODULES[name] = fn.__module__.rsplit(".", 1)[-1]
-        QUERIES[name] = (lambda spark, sf_dir: rounded(fn(spark, sf_dir), coarse))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return rounded(fn(spark, sf_dir.rstrip("/")), coarse)
+
+        QUERIES[name] = run
         if sql is not None:
             text = with_fixtures(sql, *uses)
             if doubles:

@@ -15,6 +15,7 @@ from postlens.functions.vectors import any_nonzero, squared_distance
 from postlens.operators.encoding import fit_vector_scaler, scale_vector
 from postlens.operators.joins import small_map
 from postlens.operators.sampling import hash_sample
+from postlens.session import cut_lineage
 from postlens.settings import CLUSTER_COUNTS
 
 
@@ -100,19 +101,20 @@ def cluster_sweep(
 ) -> tuple[DataFrame, DataFrame | None]:
     """M1: (k, silhouette_sq, davies_bouldin) for every k of at most half the rows, and the rows with the best clusters.
 
-    Fewer than 100 rows give an empty table. The scaled rows are read once per k and kept in memory or on disk.
+    Fewer than 100 rows give an empty table; an older `cluster` column is replaced. The scaled rows are written once to the checkpoint folder and read for every k.
     """
     spark = df.sparkSession
-    scaled = standardised(df, vector).withColumn("features", array_to_vector("scaled")).persist()
+    scaled = standardised(df.drop("cluster"), vector).withColumn("features", array_to_vector("scaled"))
+    scaled = cut_lineage(scaled).persist()
     n, found = scaled.count(), []
     if n >= 100:
         for k in [k for k in counts if k <= n // 2]:
             model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
-            rows = model.transform(scaled)
+            rows = cut_lineage(model.transform(scaled).select("cluster", "scaled"))
             if rows.select("cluster").distinct().limit(2).count() < 2:
                 continue
             score = silhouette_squared(rows, "scaled")
-            index = davies_bouldin(rows.select("cluster", "scaled"), "scaled").head()[0]
+            index = davies_bouldin(rows, "scaled").head()[0]
             found.append((k, float(score), float(index), model))
     table = spark.createDataFrame([f[:3] for f in found], "k int, silhouette_sq double, davies_bouldin double")
     if not found:

@@ -57,19 +57,22 @@ def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"task": [key[0]], "concordant": [c], "discordant": [d]})
 
 
+def _folded(cells: DataFrame, value: str) -> DataFrame:
+    return cells.groupBy("task", value).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows"))
+
+
 def _blocks(cells: DataFrame, value: str, name: str, blocks: int, min_cells: int) -> DataFrame:
-    """task, value, block number, whether the block holds this value alone, and rows with the value."""
-    folded = cells.groupBy("task", value).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows"))
-    placed = running_weight(folded, ["task"], [value], F.col("cells"))
+    """task, value, block number, and whether the block holds this value alone."""
+    placed = running_weight(_folded(cells, value).drop("rows"), ["task"], [value], F.col("cells"))
     size = F.greatest(F.lit(min_cells), F.ceil(F.col("total") / blocks))
     alone = F.col("cells") >= size
     number = 2 * F.floor(F.col("before") / size) + alone.cast("bigint")
-    return placed.select("task", value, number.alias(name), alone.alias(f"{name}_alone"), "rows")
+    return placed.select("task", value, number.alias(name), alone.alias(f"{name}_alone"))
 
 
-def _tie_sums(blocks: DataFrame, prefix: str) -> DataFrame:
+def _tie_sums(folded: DataFrame, prefix: str) -> DataFrame:
     t = F.col("rows").cast("double")
-    return blocks.groupBy("task").agg(
+    return folded.groupBy("task").agg(
         F.sum(t * (t - 1) / 2).alias(f"{prefix}tie"),
         F.sum(t * (t - 1) * (t - 2)).alias(f"{prefix}0"),
         F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{prefix}1"),
@@ -77,6 +80,12 @@ def _tie_sums(blocks: DataFrame, prefix: str) -> DataFrame:
     )
 
 
+def _piece(kind: str, block: Column, a: str, b: str) -> Column:
+    return F.struct(
+        F.lit(kind).alias("piece"), block.cast("bigint").alias("block"),
+        F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+
+
 def kendall_tau(
     predictions: DataFrame, with_p: bool = True, blocks: int = BLOCKS, min_cells: int = MIN_CELLS
 ) -> DataFrame:
@@ -84,26 +93,23 @@ def kendall_tau(
     rows = predictions.where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
     cells = rows.groupBy("task", F.col("y_true").alias("x"), F.col("y_pred").alias("y")).agg(
         F.count(F.lit(1)).alias("n"))
-    xs, ys = _blocks(cells, "x", "bx", blocks, min_cells), _blocks(cells, "y", "by", blocks, min_cells)
-    placed = cells.join(xs.drop("rows"), ["task", "x"]).join(ys.drop("rows"), ["task", "y"])
-
-    def piece(kind: str, source: DataFrame, block: Column, a: str, b: str, w: str) -> DataFrame:
-        return source.select(
-            "task", F.lit(kind).alias("piece"), block.cast("bigint").alias("block"),
-            F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col(w).cast("bigint").alias("w"))
-
-    matrix = placed.groupBy("task", "bx", "by").agg(F.sum("n").alias("w"))
-    column = placed.where(~F.col("by_alone")).groupBy("task", "by", "y", "bx").agg(F.sum("n").alias("w"))
-    row = placed.where(~F.col("bx_alone"))
-    pieces = (
-        piece("matrix", matrix, F.lit(0), "bx", "by", "w")
-        .unionByName(piece("column", column, F.col("by"), "y", "bx", "w"))
-        .unionByName(piece("row", row, F.col("bx"), "x", "y", "n"))
+    placed = (
+        cells.join(_blocks(cells, "x", "bx", blocks, min_cells), ["task", "x"])
+        .join(_blocks(cells, "y", "by", blocks, min_cells), ["task", "y"])
     )
+    places = F.array_compact(F.array(
+        _piece("matrix", F.lit(0), "bx", "by"),
+        F.when(~F.col("by_alone"), _piece("column", F.col("by"), "y", "bx")),
+        F.when(~F.col("bx_alone"), _piece("row", F.col("bx"), "x", "y")),
+    ))
+    # Matrix and column entries fold here, map side first, so a group never holds more than its cells.
+    pieces = placed.select("task", "n", F.inline(places)).groupBy("task", "piece", "block", "a", "b").agg(
+        F.sum("n").alias("w"))
     counted = pieces.groupBy("task", "piece", "block").applyInPandas(
         _count, "task string, concordant double, discordant double")
     pairs = counted.groupBy("task").agg(
         F.sum("concordant").alias("concordant"), F.sum("discordant").alias("discordant"))
+    xs, ys = _folded(cells, "x"), _folded(cells, "y")
     t = _tie_sums(xs, "x").join(_tie_sums(ys, "y"), "task").join(pairs, "task")
     n = F.col("xn").cast("double")
     total, gap = n * (n - 1) / 2, F.col("concordant") - F.col("discordant")

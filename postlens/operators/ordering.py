@@ -24,21 +24,25 @@ def _bucket_count(df: DataFrame) -> int:
 
 
 def _with_bucket(rows: DataFrame, key_columns: Sequence[str], buckets: int) -> DataFrame:
-    """Adds `_bucket`: how many cut points are at or below the row's key (two-level search)."""
-    step = max(2, int(math.sqrt(buckets)))
-    key = F.struct(*key_columns)
-    sample = (
-        rows.select(key.alias("k"), F.xxhash64(*key_columns).alias("h"))
-        .orderBy("h", "k")
+    """Adds `_bucket`: how many cut points are at or below the row's key; many cut points are searched in two levels."""
+    key = "struct(" + ", ".join(f"`{c}`" for c in key_columns) + ")"
+    step = max(2, math.isqrt(buckets))
+    # The weight is read along so that this plan and the main one need the same columns and share one shuffle.
+    cuts = (
+        rows.select(F.expr(key).alias("k"), F.xxhash64(*key_columns).alias("h"), "_w")
+        .orderBy("h", "k", "_w")
         .limit(buckets * _OVERSAMPLE)
-        .agg(F.array_sort(F.collect_list("k")).alias("all"))
-        .select(F.filter("all", lambda _, i: (i + 1) % _OVERSAMPLE == 0).alias("fine"))
-        .select(F.struct("fine", F.filter("fine", lambda _, i: (i + 1) % step == 0).alias("coarse")))
+        .agg(F.expr(f"filter(array_sort(collect_list(k)), (_, i) -> (i + 1) % {_OVERSAMPLE} = 0)").alias("fine"))
+        .select(F.expr(f"struct(fine, filter(fine, (_, i) -> (i + 1) % {step} = 0) AS coarse)"))
     )
-    placed = rows.withColumn("_cuts", sample.scalar())
-    whole = F.size(F.filter("_cuts.coarse", lambda s: s <= key))
-    rest = F.size(F.filter(F.slice("_cuts.fine", whole * step + 1, step), lambda s: s <= key))
-    return placed.withColumn("_bucket", whole * step + rest).drop("_cuts")
+    placed = rows.withColumn("_cuts", cuts.scalar())
+    # Never NULL: a null check on the join key would be pushed below the pre-aggregation, to every input row.
+    if buckets <= 64:
+        return placed.withColumn(
+            "_bucket", F.expr(f"coalesce(size(filter(_cuts.fine, s -> s <= {key})), 0)")).drop("_cuts")
+    return placed.withColumn("_skip", F.expr(f"{step} * size(filter(_cuts.coarse, s -> s <= {key}))")).withColumn(
+        "_bucket", F.expr(f"coalesce(_skip + size(filter(slice(_cuts.fine, _skip + 1, {step}), s -> s <= {key})), 0)")
+    ).drop("_cuts", "_skip")
 
 
 def running_weight(
