@@ -1,7 +1,6 @@
 """Models, scoring, reports, encoders and file plans."""
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from postlens.plans import ablation as ab
 from postlens.plans import feature_stage as fs
 from postlens.plans import report as rp
 from postlens.plans import training as tr
-from postlens.session import cut_lineage
+from postlens.session import checkpoint_dir, cut_lineage
 from postlens.sources import audit
 from postlens.sources.readers import union_all
 from postlens.streaming.incremental import run_incremental
@@ -241,7 +240,7 @@ def feature_stage(spark, sf):
 def incremental_features(spark, sf):
     """New files only: the documents of the run's directory, streamed through the encoder stage."""
     docs = fx.table(spark, sf, "documents")
-    work = tempfile.mkdtemp(prefix="postlens-", dir=os.environ.get("TMPDIR", "/tmp"))
+    work = f"{checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
     spec = encoder_stage.hash_encoder(8)
 
     def transform(rows):

@@ -52,11 +52,12 @@ def first_url(text: Column) -> Column:
 
 
 def tag_names(text: Column) -> Column:
-    """names of a JSON array of objects, joined by commas; anything else gives ''."""
+    """names of the objects in a JSON array, joined by commas; other items are skipped, anything else gives ''."""
     body = strip(text)
-    items = F.from_json(body, "array<struct<name:string>>")
-    names = F.filter(F.transform(items, lambda t: t["name"]), lambda n: n.isNotNull())
-    return F.coalesce(F.when(body.startswith("["), F.array_join(names, ",")), F.lit(""))
+    items = F.from_json(body, "array<string>")
+    names = F.filter(F.transform(items, lambda t: F.get_json_object(t, "$.name")), lambda n: n.isNotNull())
+    bracketed = body.startswith("[") & body.endswith("]")
+    return F.coalesce(F.when(bracketed, F.array_join(names, ",")), F.lit(""))
 
 
 def encoder_text(text: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from postlens.functions.numeric import nan_to_null
 from postlens.operators.sampling import sample_files
@@ -20,10 +21,16 @@ def read_batches(spark: SparkSession, path: str, start: int, end: int) -> DataFr
 
 def read_tree(
     spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None,
-    skip_corrupt: bool = False, merge: bool = False,
+    skip_corrupt: bool = False, merge: bool = False, schema: StructType | None = None,
 ) -> DataFrame:
-    """A file, several, or all files below a directory; floats come with NaN as NULL."""
+    """A file, several, or all files below a directory; floats come with NaN as NULL.
+
+    Without a schema, skip_corrupt looks at all footers, since the one file asked otherwise may be the bad one.
+    """
+    merge = merge or (skip_corrupt and schema is None)
     reader = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", str(merge).lower())
+    if schema is not None:
+        reader = reader.schema(schema)
     if skip_corrupt:
         reader = reader.option("ignoreCorruptFiles", "true")
     paths = [path] if isinstance(path, str) else list(path)
@@ -44,11 +51,12 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 def latest_run(spark: SparkSession, path: str, column: str = "dt") -> DataFrame:
     """T4: the newest `dt=` directory, found in the listing; only its files are read."""
-    df = spark.read.parquet(path)
-    stamps = [m.group(1) for f in df.inputFiles() if (m := re.search(rf"/{column}=([^/]+)/", f))]
+    base = path.rstrip("/")
+    below = [f.partition(base.split("://")[-1])[2] for f in spark.read.parquet(base).inputFiles()]
+    stamps = [m.group(1) for f in below if (m := re.match(rf"/{column}=([^/]+)/", f))]
     if not stamps:
-        raise ValueError(f"no {column}= directories below {path}")
-    return spark.read.option("basePath", path).parquet(f"{path}/{column}={max(stamps)}")
+        raise ValueError(f"no {column}= directories below {base}")
+    return spark.read.option("basePath", base).parquet(f"{base}/{column}={max(stamps)}")
 
 
 def store_uri(path: str, bucket: str, scheme: str = "oss") -> str:
