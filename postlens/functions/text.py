@@ -2,40 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlens.settings import CHUNK_SIZE, CONTENT_LIMIT, MAX_CHUNKS
 
-# Fixed pattern: the white space that is trimmed from texts, wider than SQL's trim.
-BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
-_EDGES = rf"\A{BLANKS}+|{BLANKS}+\z"
+# The white space that is trimmed from texts, wider than SQL's default.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row, also where lambdas read it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _unquote(text: Column) -> Column:
-    return F.regexp_replace(text, r"""\A["']+|["']+\z""", "")
+    return F.btrim(text, F.lit("\"'"))
 
 
 def url_list(text: Column) -> Column:
     """a JSON array, a bracketed list that is not JSON, or a bare comma list; NULL and '' give NULL."""
-    body = strip(text)
-    bracketed = body.startswith("[") & body.endswith("]")
-    inner = F.regexp_replace(body, r"\A\[|\]\z", "")
-    loose = F.transform(F.split(inner, ","), lambda u: _unquote(strip(u)))
-    plain = F.transform(F.split(body, ","), strip)
-    parsed = F.when(bracketed, F.coalesce(F.from_json(body, "array<string>"), loose)).otherwise(plain)
-    return F.when(text != "", parsed)
+    def parse(body: Column) -> Column:
+        bracketed = body.startswith("[") & body.endswith("]")
+        inner = F.substring(body, F.lit(2), F.greatest(F.length(body) - 2, F.lit(0)))
+        loose = F.transform(F.split(inner, ","), lambda u: _unquote(strip(u)))
+        plain = F.transform(F.split(body, ","), strip)
+        return F.when(bracketed, F.coalesce(F.from_json(body, "array<string>"), loose)).otherwise(plain)
+
+    return F.when(text != "", _with(strip(text), parse))
 
 
 def cover_url(text: Column, file_id: Column) -> Column:
     """first URL holding the id, else the first URL; NULL when either input is empty."""
-    urls = url_list(text)
-    hit = F.try_element_at(F.filter(urls, lambda u: F.contains(u, file_id)), F.lit(1))
-    return F.when(file_id != "", F.coalesce(hit, F.try_element_at(urls, F.lit(1))))
+    def pick(urls: Column) -> Column:
+        hit = F.try_element_at(F.filter(urls, lambda u: F.contains(u, file_id)), F.lit(1))
+        return F.coalesce(hit, F.try_element_at(urls, F.lit(1)))
+
+    return F.when(file_id != "", _with(url_list(text), pick))
 
 
 def inner_urls(text: Column, file_id: Column, most: int = 5) -> Column:
@@ -47,17 +59,18 @@ def inner_urls(text: Column, file_id: Column, most: int = 5) -> Column:
 
 def first_url(text: Column) -> Column:
     """incremental runs take the first entry of the list as the cover; '' if there is none."""
-    head = F.split(F.regexp_replace(text, r"\A[\[\]]+|[\[\]]+\z", ""), ",")
+    head = F.split(F.btrim(text, F.lit("[]")), ",")
     return F.coalesce(_unquote(strip(F.try_element_at(head, F.lit(1)))), F.lit(""))
 
 
 def tag_names(text: Column) -> Column:
     """names of the objects in a JSON array, joined by commas; other items are skipped, anything else gives ''."""
-    body = strip(text)
-    items = F.from_json(body, "array<string>")
-    names = F.filter(F.transform(items, lambda t: F.get_json_object(t, "$.name")), lambda n: n.isNotNull())
-    bracketed = body.startswith("[") & body.endswith("]")
-    return F.coalesce(F.when(bracketed, F.array_join(names, ",")), F.lit(""))
+    def parse(body: Column) -> Column:
+        items = F.from_json(F.when(body.startswith("[") & body.endswith("]"), body), "array<string>")
+        names = F.filter(F.transform(items, lambda t: F.get_json_object(t, "$.name")), lambda n: n.isNotNull())
+        return F.array_join(names, ",")
+
+    return F.coalesce(_with(strip(text), parse), F.lit(""))
 
 
 def encoder_text(text: Column) -> Column:
@@ -70,16 +83,17 @@ def content_chunks(
     text: Column, limit: int = CONTENT_LIMIT, size: int = CHUNK_SIZE, most: int = MAX_CHUNKS
 ) -> Column:
     """pieces start every `size` characters below `limit` and are cut from the whole text; blank has none."""
-    body = strip(F.coalesce(text, F.lit("")))
-    starts = F.slice(F.sequence(F.lit(0), F.lit(limit - 1), F.lit(size)), 1, most)
-    pieces = F.filter(
-        F.transform(starts, lambda i: F.substring(body, i + F.lit(1), F.lit(size))), lambda p: p != ""
-    )
-    return (
-        F.when(body == "", F.array().cast("array<string>"))
-        .when(F.length(body) <= limit, F.array(body))
-        .otherwise(pieces)
-    )
+    starts = list(range(0, limit, size))[:most]
+
+    def cut(body: Column) -> Column:
+        pieces = F.array(*[F.substring(body, i + 1, size) for i in starts])
+        return (
+            F.when(body == "", F.array().cast("array<string>"))
+            .when(F.length(body) <= limit, F.array(body))
+            .otherwise(F.filter(pieces, lambda p: p != ""))
+        )
+
+    return _with(strip(F.coalesce(text, F.lit(""))), cut)
 
 
 def image_count(images: Column) -> Column:

@@ -10,7 +10,7 @@ by a third of the rows, is spread over buckets or folded into one weighted row b
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ def _bucket_count(df: DataFrame) -> int:
 
 
 def _with_bucket(rows: DataFrame, key_columns: Sequence[str], buckets: int) -> DataFrame:
-    """Adds `_bucket`: how many cut points are at or below the row's key; many cut points are searched in two levels."""
+    """Adds `_bucket`: how many cut points are at or below the row's key; the cut points are searched in two levels."""
     key = "struct(" + ", ".join(f"`{c}`" for c in key_columns) + ")"
     step = max(2, math.isqrt(buckets))
     # The weight is read along so that this plan and the main one need the same columns and share one shuffle.
@@ -37,9 +37,6 @@ def _with_bucket(rows: DataFrame, key_columns: Sequence[str], buckets: int) -> D
     )
     placed = rows.withColumn("_cuts", cuts.scalar())
     # Never NULL: a null check on the join key would be pushed below the pre-aggregation, to every input row.
-    if buckets <= 64:
-        return placed.withColumn(
-            "_bucket", F.expr(f"coalesce(size(filter(_cuts.fine, s -> s <= {key})), 0)")).drop("_cuts")
     return placed.withColumn("_skip", F.expr(f"{step} * size(filter(_cuts.coarse, s -> s <= {key}))")).withColumn(
         "_bucket", F.expr(f"coalesce(_skip + size(filter(slice(_cuts.fine, _skip + 1, {step}), s -> s <= {key})), 0)")
     ).drop("_cuts", "_skip")
@@ -50,12 +47,12 @@ def running_weight(
     groups: Sequence[str],
     order: Sequence[str],
     weight: Column | None = None,
-    keep_bucket: Callable[[Column, Column, Column], Column] | None = None,
+    keep_bucket: Column | None = None,
 ) -> DataFrame:
     """Adds `before` (weight of earlier rows of the group) and `total` (weight of the group).
 
-    (groups, order) must be unique and groups must not be NULL. `keep_bucket(offset, weight, total)`
-    drops whole buckets before they are sorted.
+    (groups, order) must be unique and groups must not be NULL. `keep_bucket`, a predicate on
+    _offset, _sum and total, drops whole buckets before they are sorted.
     """
     weight = F.lit(1) if weight is None else weight
     groups, order = list(groups), list(order)
@@ -69,7 +66,7 @@ def running_weight(
         "total": F.sum("_sum").over(per_group),
     })
     if keep_bucket is not None:
-        offsets = offsets.where(keep_bucket(F.col("_offset"), F.col("_sum"), F.col("total")))
+        offsets = offsets.where(keep_bucket)
     inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.join(offsets, key)
@@ -116,36 +113,24 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Seq
 
     Only buckets that hold a wanted position are sorted.
     """
-    def spot(total: Column, p: float) -> Column:
-        return (total - 1) * F.lit(float(p))
-
-    def covers(start: Column, size: Column, at: Column) -> Column:
-        return (start <= at) & (at < start + size)
-
-    def wanted(offset: Column, size: Column, total: Column) -> Column:
-        hit = F.lit(False)
-        for p in probs:
-            at = spot(total, p)
-            hit = hit | covers(offset, size, F.floor(at)) | covers(offset, size, F.ceil(at))
-        return hit
+    def covers(start: str, size: str, total: str) -> list[str]:
+        """For each probability: whether the position below it, and the one above it, lies in [start, start + size)."""
+        spots = [f"({total} - 1) * {float(p)!r}D" for p in probs]
+        return [f"{start} <= {f}({at}) AND {f}({at}) < {start} + {size}" for at in spots for f in ("floor", "ceil")]
 
     counts = value_counts(df, groups, value)
+    wanted = F.expr(" OR ".join(f"({c})" for c in covers("_offset", "_sum", "total")))
     placed = running_weight(counts, groups, [value], F.col("n"), wanted)
-    v, total = F.col(value).cast("double"), F.col("total")
-    picks = []
-    for i, p in enumerate(probs):
-        at = spot(total, p)
-        picks += [
-            F.max(F.when(covers(F.col("before"), F.col("n"), F.floor(at)), v)).alias(f"_lo{i}"),
-            F.max(F.when(covers(F.col("before"), F.col("n"), F.ceil(at)), v)).alias(f"_hi{i}"),
-        ]
+    picks = [
+        F.expr(f"max(CASE WHEN {c} THEN CAST(`{value}` AS DOUBLE) END) AS _v{i}")
+        for i, c in enumerate(covers("before", "n", "total"))
+    ]
     picked = placed.groupBy(*groups).agg(F.first("total").alias("_t"), *picks)
     values = []
     for i, p in enumerate(probs):
-        at = spot(F.col("_t"), p)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        values.append(lo + (hi - lo) * (at - F.floor(at)))
-    return picked.select(*groups, F.array(*values).alias("quantiles"))
+        at, lo, hi = f"(_t - 1) * {float(p)!r}D", f"_v{2 * i}", f"_v{2 * i + 1}"
+        values.append(f"{lo} + ({hi} - {lo}) * ({at} - floor({at}))")
+    return picked.select(*groups, F.expr(f"array({', '.join(values)}) AS quantiles"))
 
 
 def median(df: DataFrame, value: str) -> DataFrame:
