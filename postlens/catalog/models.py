@@ -217,11 +217,24 @@ def encode_text(spark, sf):
     return vectors.select("note_id", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
-@register("encode_content")
+_UNIT = "list_transform(r.v, lambda x: x / sqrt(list_sum(list_transform(r.v, lambda y: y * y))))"
+_STRIPPED = r"regexp_replace(text, '\A[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+|[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+\z', '', 'g')"
+
+
+@register(
+    "encode_content",
+    f"""WITH d AS (SELECT doc_id, {_STRIPPED} AS t FROM documents),
+      p AS (SELECT doc_id, t AS chunk FROM d WHERE t <> '' AND length(t) <= 200
+        UNION ALL SELECT doc_id, substring(t, k * 52 + 1, 52) FROM d, (VALUES (0), (1), (2), (3)) v(k) WHERE length(t) > 200),
+      r AS (SELECT doc_id, {_HASHED.format(t='chunk')} AS v FROM p),
+      u AS (SELECT doc_id, unnest({_UNIT}) AS x, generate_subscripts(r.v, 1) - 1 AS dim FROM r)
+      SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 4) AS x FROM u GROUP BY ALL
+      UNION ALL SELECT doc_id, CAST(k AS INTEGER), 0 FROM d, range(8) v(k) WHERE t = ''""",
+)
 def encode_content(spark, sf):
     docs = fx.table(spark, sf, "documents")
     vectors = docs.select("doc_id", encoder_stage.encode_content(F.col("text"), encoder_stage.hash_encoder(8)).alias("v"))
-    return vectors.select("doc_id", F.posexplode("v").alias("dim", "x"))
+    return vectors.select("doc_id", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))
 
 
 def _posts(spark, sf):
@@ -229,14 +242,26 @@ def _posts(spark, sf):
         fx.note_stats(spark, sf).select("note_id", "imp_num"), "note_id")
 
 
-@register("feature_stage")
+@register(
+    "feature_stage",
+    f"""WITH j AS (SELECT i.note_id, s.imp_num, i.title, CASE WHEN tag_info IS NULL OR tag_info = '[oops' THEN ' ' ELSE concat(taxonomy1, ',', type) END AS tags
+        FROM note_info i JOIN note_stats s ON i.note_id = s.note_id),
+      h AS (SELECT note_id, imp_num, 'title' AS name, {_HASHED.format(t='title')} AS v FROM j
+        UNION ALL SELECT note_id, imp_num, 'tag', {_HASHED.format(t='tags')} FROM j),
+      r AS (SELECT note_id, name, CASE WHEN imp_num >= 700 THEN {_UNIT.replace('r.v', 'v')} ELSE list_transform(v, lambda x: 0) END AS v FROM h),
+      u AS (SELECT note_id, name, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM r)
+      SELECT note_id, concat(name, '_feat_', CAST(dim AS VARCHAR)) AS feature, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) + 0.0E0 AS x FROM u""",
+    ["note_info", "note_stats"],
+)
 def feature_stage(spark, sf):
     posts = _posts(spark, sf)
-    staged = fs.feature_stage(posts, fs.standard_modalities(posts.columns), encoder_stage.hash_encoder(8), min_imp=500)
-    return fs.widen(staged, {"title": 8, "tag": 8}).drop("title", "tag_info")
+    staged = fs.feature_stage(posts, fs.standard_modalities(posts.columns), encoder_stage.hash_encoder(8), min_imp=700)
+    wide = fs.widen(staged, {"title": 8, "tag": 8}).drop("title", "tag_info", "imp_num")
+    names = [c for c in wide.columns if c != "note_id"]
+    return wide.unpivot("note_id", names, "feature", "x").withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
-@register("incremental_features")
+@register("incremental_features", "SELECT doc_id, 8 AS dims FROM documents")
 def incremental_features(spark, sf):
     """New files only: the documents of the run's directory, streamed through the encoder stage."""
     docs = fx.table(spark, sf, "documents")

@@ -64,6 +64,14 @@ def test_split_does_not_depend_on_order(spark):
     assert pick(a) == pick(b) and set(pick(a).values()) == {"train", "val", "test"}
 
 
+@pytest.mark.parametrize("most", [0, 1, 37, 999, 1000, 5000])
+def test_both_sampling_paths_agree(spark, most):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("note_id"))
+    short = {r[0] for r in sampling.hash_sample(df, "note_id", most, direct=10**6).collect()}
+    long = {r[0] for r in sampling.hash_sample(df, "note_id", most, direct=-1).collect()}
+    assert short == long and len(short) == min(most, 1000)
+
+
 def vectors(spark, n=120, d=6, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) + 5
