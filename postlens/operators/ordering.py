@@ -9,7 +9,6 @@ by a third of the rows, is spread over buckets or folded into one weighted row b
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,22 +23,27 @@ def _bucket_count(df: DataFrame) -> int:
 
 
 def _with_bucket(rows: DataFrame, key_columns: Sequence[str], buckets: int) -> DataFrame:
-    """Adds `_bucket`: how many cut points are at or below the row's key; the cut points are searched in two levels."""
+    """Adds `_bucket`: how many cut points are at or below the row's key, found by halving.
+
+    Every halving is a projection of its own, so that the place found so far is computed once; all of them
+    run in generated code.
+    """
     key = "struct(" + ", ".join(f"`{c}`" for c in key_columns) + ")"
-    step = max(2, math.isqrt(buckets))
     # The weight is read along so that this plan and the main one need the same columns and share one shuffle.
     cuts = (
         rows.select(F.expr(key).alias("k"), F.xxhash64(*key_columns).alias("h"), "_w")
         .orderBy("h", "k", "_w")
         .limit(buckets * _OVERSAMPLE)
-        .agg(F.expr(f"filter(array_sort(collect_list(k)), (_, i) -> (i + 1) % {_OVERSAMPLE} = 0)").alias("fine"))
-        .select(F.expr(f"struct(fine, filter(fine, (_, i) -> (i + 1) % {step} = 0) AS coarse)"))
+        .agg(F.expr(f"filter(array_sort(collect_list(k)), (_, i) -> (i + 1) % {_OVERSAMPLE} = 0)"))
     )
-    placed = rows.withColumn("_cuts", cuts.scalar())
-    # Never NULL: a null check on the join key would be pushed below the pre-aggregation, to every input row.
-    return placed.withColumn("_skip", F.expr(f"{step} * size(filter(_cuts.coarse, s -> s <= {key}))")).withColumn(
-        "_bucket", F.expr(f"coalesce(_skip + size(filter(slice(_cuts.fine, _skip + 1, {step}), s -> s <= {key})), 0)")
-    ).drop("_cuts", "_skip")
+    placed = rows.withColumn("_cuts", cuts.scalar()).withColumn("_key", F.expr(key)).withColumn("_bucket", F.lit(0))
+    step = 1 << (buckets.bit_length() - 1)
+    while step:
+        # `get` is NULL past the end, and a NULL comparison leaves the place as it is. The place itself is never
+        # NULL: a null check on the join key would be pushed below the pre-aggregation, to every input row.
+        placed = placed.withColumn("_bucket", F.expr(f"_bucket + IF(get(_cuts, _bucket + {step - 1}) <= _key, {step}, 0)"))
+        step >>= 1
+    return placed.drop("_cuts", "_key")
 
 
 def running_weight(
