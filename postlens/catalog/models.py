@@ -16,11 +16,12 @@ from postlens.plans import feature_stage as fs
 from postlens.plans import report as rp
 from postlens.plans import training as tr
 from postlens.session import checkpoint_dir, cut_lineage
+from postlens.settings import TASK_COLUMNS
 from postlens.sources import audit
 from postlens.sources.readers import union_all
 from postlens.streaming.incremental import run_incremental
 
-TASKS = ["ctr", "fav_rate", "impression"]
+TASKS = list(TASK_COLUMNS)
 VECTORS = {"image_vec": 32, "text_vec": 32}
 
 

@@ -196,11 +196,11 @@ def tag_top(spark, sf):
     _TAGS + """SELECT "column", distinct_values, rows, place, value, n FROM (
        SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS place,
               count(*) OVER (PARTITION BY "column") AS distinct_values,
-              CAST(sum(n) OVER (PARTITION BY "column") AS BIGINT) AS rows FROM c) WHERE place <= 5""",
+              CAST(sum(n) OVER (PARTITION BY "column") AS BIGINT) AS rows FROM c) WHERE place <= 20""",
     ["note_info"],
 )
 def tag_report(spark, sf):
-    return taxonomy.taxonomy_report(fx.note_info(spark, sf), most=5)
+    return taxonomy.taxonomy_report(fx.note_info(spark, sf))
 
 
 @register(

@@ -284,7 +284,7 @@ def silhouette(spark, sf):
 
 @register(
     "silhouette_sampled",
-    f"""WITH smp AS (SELECT * FROM note_vectors ORDER BY md5('42' || note_id), note_id LIMIT 300),
+    f"""WITH smp AS (SELECT * FROM note_vectors ORDER BY md5('42' || note_id), note_id LIMIT 1000),
       e AS (SELECT note_id, cluster, unnest(image_vec) AS x, generate_subscripts(image_vec, 1) AS dim FROM smp),
       p AS (SELECT a.note_id AS i, a.cluster AS ci, b.note_id AS j, b.cluster AS cj, sqrt(sum((CAST(a.x AS DOUBLE) - b.x) ** 2)) AS d
         FROM e a JOIN e b ON a.dim = b.dim AND a.note_id <> b.note_id GROUP BY 1, 2, 3, 4),
@@ -294,7 +294,7 @@ def silhouette(spark, sf):
     ["note_vectors"], ["silhouette"],
 )
 def silhouette_sampled(spark, sf):
-    return clustering.silhouette_euclidean(fx.note_vectors(spark, sf), "note_id", "image_vec", most=300)
+    return clustering.silhouette_euclidean(fx.note_vectors(spark, sf), "note_id", "image_vec")
 
 
 @register(
