@@ -14,27 +14,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OVERSAMPLE = 8
+def _bucket_count(df: DataFrame) -> tuple[int, int]:
+    """Buckets, and sampled keys per bucket.
 
-
-def _bucket_count(df: DataFrame) -> int:
+    Buckets follow the cluster's shuffle partitions. Every task offers buckets x keys candidates to one
+    task that keeps the smallest hashes, so their product is bounded, whatever the size of the data.
+    """
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(512, max(16, 2 * shuffle))
+    buckets = min(2048, max(16, 2 * shuffle))
+    return buckets, 8 if buckets <= 512 else 4
 
 
-def _with_bucket(rows: DataFrame, key_columns: Sequence[str], buckets: int) -> DataFrame:
+def _with_bucket(rows: DataFrame, key_columns: Sequence[str]) -> DataFrame:
     """Adds `_bucket`: how many cut points are at or below the row's key, found by halving.
 
     Every halving is a projection of its own, so that the place found so far is computed once; all of them
     run in generated code.
     """
+    buckets, every = _bucket_count(rows)
     key = "struct(" + ", ".join(f"`{c}`" for c in key_columns) + ")"
     # The weight is read along so that this plan and the main one need the same columns and share one shuffle.
     cuts = (
         rows.select(F.expr(key).alias("k"), F.xxhash64(*key_columns).alias("h"), "_w")
         .orderBy("h", "k", "_w")
-        .limit(buckets * _OVERSAMPLE)
-        .agg(F.expr(f"filter(array_sort(collect_list(k)), (_, i) -> (i + 1) % {_OVERSAMPLE} = 0)"))
+        .limit(buckets * every)
+        .agg(F.expr(f"filter(array_sort(collect_list(k)), (_, i) -> (i + 1) % {every} = 0)"))
     )
     placed = rows.withColumn("_cuts", cuts.scalar()).withColumn("_key", F.expr(key)).withColumn("_bucket", F.lit(0))
     step = 1 << (buckets.bit_length() - 1)
@@ -61,7 +65,7 @@ def running_weight(
     weight = F.lit(1) if weight is None else weight
     groups, order = list(groups), list(order)
     key = ["_bucket", *groups]
-    placed = _with_bucket(rows.withColumn("_w", weight.cast("bigint")), [*groups, *order], _bucket_count(rows))
+    placed = _with_bucket(rows.withColumn("_w", weight.cast("bigint")), [*groups, *order])
     sums = placed.groupBy(*key).agg(F.sum("_w").alias("_sum"))
     per_group = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = per_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -33,6 +33,6 @@ def run_incremental(
 
 
 def progress(query: StreamingQuery) -> dict:
-    """Batches and rows of the run just ended."""
+    """Batches and rows of the run just ended, over the batches spark.sql.streaming.numRecentProgressUpdates keeps."""
     steps = query.recentProgress
     return {"batches": sum(1 for p in steps if p["numInputRows"] > 0), "rows": sum(p["numInputRows"] for p in steps)}

@@ -9,7 +9,7 @@ from postlens.operators import ordering
 few = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
-@pytest.fixture(params=[8, 64], ids=["one level", "two levels"])
+@pytest.fixture(params=[8, 64, 700])
 def partitions(request, spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", request.param)
