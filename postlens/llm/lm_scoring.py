@@ -162,10 +162,10 @@ def train(docs: DataFrame, s: Setting = Setting()) -> Parameters:
                 seen += held
             if seen:
                 values = flat(descent.p)
-                blocks = [values[i : i + s.block] for i in range(0, len(values), s.block)]
+                blocks = [values[i : i + s.block].astype(np.float64) for i in range(0, len(values), s.block)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))], names=["block", "weight", "part"])
 
-        parts = texts_of.mapInArrow(learn, "block int, weight double, part array<float>")
+        parts = texts_of.mapInArrow(learn, "block int, weight double, part array<double>")
         vectors = parts.select("block", "weight", array_to_vector("part").alias("part"))
         means = vectors.groupBy("block").agg(Summarizer.mean(F.col("part"), F.col("weight")).alias("mean")).select("block", vector_to_array("mean").alias("mean"))
         rows = sorted(means.collect(), key=lambda r: r["block"])  # as many rows as the network has blocks
