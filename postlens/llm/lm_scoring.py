@@ -163,7 +163,7 @@ def train(docs: DataFrame, s: Setting = Setting()) -> Parameters:
             if seen:
                 values = flat(descent.p)
                 blocks = [values[i : i + s.block].astype(np.float64) for i in range(0, len(values), s.block)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))], names=["block", "weight", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.list_(pa.float64()))], names=["block", "weight", "part"])
 
         parts = texts_of.mapInArrow(learn, "block int, weight double, part array<double>")
         vectors = parts.select("block", "weight", array_to_vector("part").alias("part"))
