@@ -191,7 +191,7 @@ def score(docs: DataFrame, parameters: Parameters, s: Setting = Setting()) -> Da
             for i in range(0, len(bucket), s.batch):
                 logs[i : i + s.batch] = log_probabilities(p, context[i : i + s.batch], bucket[i : i + s.batch], s)
             n = np.bincount(owner, minlength=batch.num_rows)
-            total = np.bincount(owner, logs, batch.num_rows)
+            total = np.bincount(owner, logs, batch.num_rows).astype(np.float64)  # whole numbers where there are no words
             mean = total / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total), pa.array(mean, mask=n == 0)], names=["doc_id", "n_words", "log_probability", "per_word"])
 
