@@ -6,9 +6,11 @@ at white space after a character that is none (`tokenizers` files), or at a spac
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +19,23 @@ import pyarrow.compute as pc
 from postlens.llm.common import ragged, starts_of
 
 CHUNK = re.compile(r"\s*\S+|\s+")
-# A letter or digit before a full stop or comma ends a pre-token in both vocabularies.
-STOP = re.compile(r"(.*[^\W_])([.,]+)", re.DOTALL)
-ODD = re.compile(r"[\x1c-\x1f\x85]")
+# A letter or digit before a full stop or comma ends a pre-token in both vocabularies, as does any character before a
+# line end. The mark says that no space was there.
+STOP = (r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,])", "\\1 \x1f\\2")
+LINE = (r"([^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])\n", "\\1 \x1f\n")
+ODD = re.compile("[\x1c-\x1f\x85]")
 CUT = re.compile(r"(?<=[^ ]) (?= *[^ ])")
-MOST_PIECES = 400_000
+# Pieces with white space at an end, none at all, or control characters that the libraries take differently.
+_SPACE = r"[\s\x0b\x1c-\x1e\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD_EDGE = rf"\A\z|\A{_SPACE}|{_SPACE}\z"
+MOST_PIECES = 1_000_000
 
 
 class PieceCache:
-    """Ids of pieces, kept flat. `cut` gives a piece's parts, `encode` the ids of a list of parts."""
+    """Ids of pieces, kept flat. `encode` gives the ids of a list of pieces."""
 
-    def __init__(self, encode, cut):
-        self.encode, self.cut = encode, cut
+    def __init__(self, encode):
+        self.encode = encode
         self.clear()
 
     def clear(self):
@@ -40,20 +47,20 @@ class PieceCache:
 
     def places(self, pieces: list[str]) -> np.ndarray:
         """A place per piece, for `start` and `length`; missing pieces are encoded, all at once."""
-        missing = [p for p in dict.fromkeys(pieces) if p not in self.place]
+        found = list(map(self.place.get, pieces))
+        missing = list(dict.fromkeys(p for p, at in zip(pieces, found, strict=True) if at is None))
         if missing:
             if self.place and len(self.place) + len(missing) > MOST_PIECES:
                 self.clear()
                 missing = list(dict.fromkeys(pieces))
             self._add(missing)
-        place = self.place
-        return np.fromiter((place[p] for p in pieces), np.int64, len(pieces))
+            found = list(map(self.place.get, pieces))
+        return np.array(found, np.int64)
 
     def _add(self, missing: list[str]):
-        parts = [self.cut(p) for p in missing]
-        distinct = list(dict.fromkeys(x for p in parts for x in p))
-        ids = dict(zip(distinct, self.encode(distinct), strict=True))
-        rows = [[i for x in p for i in ids[x]] for p in parts]
+        gc.disable()  # many small lists live for a moment only
+        rows = self.encode(missing)
+        gc.enable()
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         n, total = len(self.place), int(lengths.sum())
         while self.used + total > len(self.flat):
@@ -61,42 +68,54 @@ class PieceCache:
         while n + len(rows) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for r in rows for i in r), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(rows), np.uint32, total)
         self.start[n : n + len(rows)] = self.used + starts_of(lengths)
         self.length[n : n + len(rows)] = lengths
         self.used += total
         self.place.update(zip(missing, range(n, n + len(rows)), strict=True))
 
-    def text_places(self, texts: pa.Array, spaced: bool, odd, split) -> tuple[np.ndarray, np.ndarray]:
+    def text_places(self, texts: pa.Array, spaced: bool, odd: str, split) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each text: their number per text, and the place of every piece.
 
-        spaced: a piece carries the space before it. odd(piece): cuts beside it might not be safe; its text goes to
-        `split`, which cuts by rule."""
-        lists = pc.split_pattern(texts, " ")
+        spaced: a piece carries the space before it, and there are cuts at line ends and before stops, too. odd: a
+        pattern of pieces beside which a cut might not be safe; their texts go to `split`, which cuts by rule."""
+        marked = pc.replace_substring_regex(pc.replace_substring_regex(texts, *STOP), *LINE) if spaced else texts
+        lists = pc.split_pattern(marked, " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(lists).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = coded.dictionary.to_pylist()
-        flagged = np.fromiter((odd(p) for p in distinct), bool, len(distinct))
+        distinct = coded.dictionary
+        flagged = pc.match_substring_regex(distinct, odd).to_numpy(zero_copy_only=False)
         first = starts_of(counts)
         strange = np.logical_or.reduceat(flagged[codes], first) if len(codes) else np.zeros(len(counts), bool)
+        if spaced:
+            strange |= pc.match_substring_regex(texts, ODD.pattern).to_numpy(zero_copy_only=False)
         own = {int(i): split(texts[int(i)].as_py()) for i in np.flatnonzero(strange)}
         lead = np.zeros(len(codes), bool)
-        lead[first] = True
+        lead[first] = spaced
         normal = ~np.repeat(strange, counts)
-        keys = np.where(lead, codes, codes + len(distinct)) if spaced else codes
-        used, inverse = np.unique(keys[normal], return_inverse=True)
-        names = [distinct[k] if k < len(distinct) else " " + distinct[k - len(distinct)] for k in used.tolist()]
-        place = self.places(names + [p for i in own for p in own[i]])
+        names, where = [], []
+        blank = pa.scalar(" ", distinct.type)
+        inner = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("", distinct.type), distinct, blank), " \x1f", "") if spaced else distinct
+        for group, form in ((normal & ~lead, inner), (normal & lead, distinct)):
+            used = np.flatnonzero(np.bincount(codes[group], minlength=len(distinct)))
+            to = np.zeros(len(distinct), np.int64)
+            to[used] = len(names) + np.arange(len(used))
+            names += form.take(pa.array(used)).to_pylist()
+            where.append((group, to))
+        place = self.places(names + [p for parts in own.values() for p in parts])
+        placed = np.zeros(len(codes), np.int64)
+        for group, to in where:
+            placed[group] = place[to[codes[group]]]
         if not own:
-            return counts, place[: len(names)][inverse]
+            return counts, placed
         number = counts.copy()
         for i, pieces in own.items():
             number[i] = len(pieces)
         out = np.empty(int(number.sum()), np.int64)
         to = starts_of(number)
         calm = np.flatnonzero(~strange)
-        out[ragged(to[calm], counts[calm])] = place[: len(names)][inverse]
+        out[ragged(to[calm], counts[calm])] = placed[normal]
         at = len(names)
         for i, pieces in own.items():
             out[to[i] : to[i] + len(pieces)] = place[at : at + len(pieces)]
@@ -111,14 +130,6 @@ class PieceCache:
         return np.diff(ends[bounds]), self.flat[ragged(self.start[place], lengths)]
 
 
-def _cut_words(piece: str) -> list[str]:
-    out = []
-    for chunk in CHUNK.findall(piece) if not ODD.search(piece) else [piece]:
-        m = STOP.fullmatch(chunk)
-        out += [m[1], m[2]] if m else [chunk]
-    return out
-
-
 class JsonTokenizer:
     """Ids of texts by a `tokenizers` file, without added special tokens, truncation or padding."""
 
@@ -129,15 +140,11 @@ class JsonTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache = PieceCache(self._encode, _cut_words)
+        self.cache = PieceCache(self._encode)
 
     def _encode(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for i in range(0, len(parts), 4096) for e in self.library.encode_batch_fast(parts[i : i + 4096], add_special_tokens=False)]
 
-    @staticmethod
-    def _odd(piece: str) -> bool:
-        return not piece or piece[0].isspace() or piece[-1].isspace() or ODD.search(piece) is not None
-
     @staticmethod
     def _split(text: str) -> list[str]:
         if not text:
@@ -145,7 +152,7 @@ class JsonTokenizer:
         return [text] if ODD.search(text) else CHUNK.findall(text)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.ids(*self.cache.text_places(texts, True, self._odd, self._split))
+        return self.cache.ids(*self.cache.text_places(texts, True, ODD_EDGE, self._split))
 
 
 class PieceTokenizer:
@@ -157,21 +164,18 @@ class PieceTokenizer:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         spans = re.compile("[^▁]▁")
         self.safe = not any(spans.search(self.library.id_to_piece(i)) for i in range(self.library.get_piece_size()))
-        self.cache = PieceCache(self._encode, lambda piece: [piece])
+        self.cache = PieceCache(self._encode)
 
     def _encode(self, parts: list[str]) -> list[list[int]]:
         return [x for i in range(0, len(parts), 4096) for x in self.library.encode(parts[i : i + 4096], num_threads=1)]
 
-    def _odd(self, piece: str) -> bool:
-        return not self.safe or not piece or "▁" in piece
-
     def _split(self, text: str) -> list[str]:
         if not text:
             return []
         return CUT.split(text) if self.safe and "▁" not in text else [text]
 
     def count(self, texts: pa.Array) -> np.ndarray:
-        number, place = self.cache.text_places(texts, False, self._odd, self._split)
+        number, place = self.cache.text_places(texts, False, r"\A\z|▁" if self.safe else "", self._split)
         ends = np.concatenate([[0], np.cumsum(self.cache.length[place])])
         return np.diff(ends[np.concatenate([[0], np.cumsum(number)])])
 

@@ -146,7 +146,7 @@ def blocks_in(content: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np.n
         yield shard, place, [None if x else k for k, x in zip(keys.tolist(), null, strict=True)], counts.astype(np.int64), decode(coded, first.astype(np.int64), n)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, shards: int | None = None, block_ids: int = 1 << 18) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, shards: int | None = None, block_ids: int = 1 << 20) -> None:
     """Writes the ids of every whole text, each with `end_id` after it, in ascending doc_id order over shards and blocks.
 
     Shards are ranges of doc_id (ties: of a hash of the text), so their number follows the input and a hot doc_id does
@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
             body = block_bytes(shard, place, keys, np.concatenate(counts), np.concatenate(parts))
             return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["block"])
 
-        for batch, texts in text_slices(batches, limit=1 << 20):
+        for batch, texts in text_slices(batches):
             n, ids = coder.encode(texts)
             keys += batch.column("doc_id").to_pylist()
             counts.append(n + 1)
