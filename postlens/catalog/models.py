@@ -226,7 +226,7 @@ _STRIPPED = r"regexp_replace(text, '\A[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+|[\t-\r\x{
     "encode_content",
     f"""WITH d AS (SELECT doc_id, {_STRIPPED} AS t FROM documents),
       p AS (SELECT doc_id, t AS chunk FROM d WHERE t <> '' AND length(t) <= 200
-        UNION ALL SELECT doc_id, substring(t, k * 52 + 1, 52) FROM d, (VALUES (0), (1), (2), (3)) v(k) WHERE length(t) > 200),
+        UNION ALL SELECT doc_id, substring(t, k * 52 + 1, 52) FROM (SELECT doc_id, t, unnest(range((length(t) + 51) // 52)) AS k FROM d WHERE length(t) > 200)),
       r AS (SELECT doc_id, {_HASHED.format(t='chunk')} AS v FROM p),
       u AS (SELECT doc_id, unnest({_UNIT}) AS x, generate_subscripts(r.v, 1) - 1 AS dim FROM r)
       SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 4) AS x FROM u GROUP BY ALL
@@ -288,7 +288,7 @@ _FILES = ("customer", "lineitem", "orders", "part", "supplier")
       FROM b WINDOW w AS (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def batch_plan(spark, sf):
-    files = [audit.file_rows(fx.table(spark, sf, t)) for t in _FILES]
+    files = [audit.file_rows(fx.table(spark, sf, t), sf) for t in _FILES]
     return audit.batch_plan(union_all(files), 300)
 
 
@@ -301,7 +301,7 @@ def directory_scan(spark, sf):
     from postlens.sources.readers import read_tree
 
     df = read_tree(spark, [f"{sf}/customer.parquet", f"{sf}/supplier.parquet"], merge=True)
-    scan = audit.scan_directory(df, {"customers": "c_custkey", "absent": "nothing"})
+    scan = audit.scan_directory(df, {"customers": "c_custkey", "absent": "nothing"}, sf)
     return scan.select("file", "rows", F.col("files").cast("int").alias("files"))
 
 

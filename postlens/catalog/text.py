@@ -217,12 +217,12 @@ def cover(spark, sf):
 
 @register(
     "inner_urls",
-    _URLS + """, kept AS (SELECT note_id, unnest(list_filter(urls, lambda x: first_file_id IS NULL OR NOT contains(x, first_file_id))[1:2]) AS url FROM lists)
+    _URLS + """, kept AS (SELECT note_id, unnest(list_filter(urls, lambda x: first_file_id IS NULL OR NOT contains(x, first_file_id))) AS url FROM lists)
        SELECT note_id, url, CAST(count(*) AS BIGINT) AS n FROM kept GROUP BY note_id, url""",
     ["note_info"],
 )
 def inner(spark, sf):
-    urls = tx.inner_urls(F.col("file_url_list"), F.col("first_file_id"), 2)
+    urls = tx.inner_urls(F.col("file_url_list"), F.col("first_file_id"))
     return fx.note_info(spark, sf).select("note_id", F.explode(urls).alias("url")).groupBy("note_id", "url").agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -245,7 +245,7 @@ _STRIP = r"regexp_replace(text, '\A[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+|[\t-\r\x{1c}
       pieces AS (
         SELECT doc_id, CAST(0 AS INTEGER) AS pos, t AS chunk FROM d WHERE t <> '' AND length(t) <= 200
         UNION ALL
-        SELECT doc_id, CAST(k AS INTEGER), substring(t, k * 52 + 1, 52) FROM d, (VALUES (0), (1), (2), (3)) v(k) WHERE length(t) > 200)
+        SELECT doc_id, CAST(k AS INTEGER), substring(t, k * 52 + 1, 52) FROM (SELECT doc_id, t, unnest(range((length(t) + 51) // 52)) AS k FROM d WHERE length(t) > 200))
       SELECT doc_id, pos, chunk FROM pieces""",
 )
 def chunks(spark, sf):
@@ -264,10 +264,10 @@ def cleaned(spark, sf):
 
 _OCR = """
 WITH kept AS (SELECT * FROM ocr_tokens WHERE conf > 0.3),
-img AS (SELECT post_id, image_id, substring(string_agg(text, ' ' ORDER BY pos), 1, 200) AS t, avg(conf) AS c
+img AS (SELECT post_id, image_id, string_agg(text, ' ' ORDER BY pos) AS t, avg(conf) AS c
         FROM kept GROUP BY post_id, image_id),
 posts AS (SELECT DISTINCT post_id FROM ocr_tokens),
-agg AS (SELECT post_id, substring(string_agg(t, ' ' ORDER BY image_id), 1, 500) AS ocr_text, max(c) AS ocr_confidence
+agg AS (SELECT post_id, string_agg(t, ' ' ORDER BY image_id) AS ocr_text, max(c) AS ocr_confidence
         FROM img WHERE t <> '' GROUP BY post_id)
 SELECT post_id, coalesce(ocr_text, '') AS ocr_text, coalesce(ocr_confidence, 0.0E0) AS ocr_confidence
 FROM posts LEFT JOIN agg USING (post_id)

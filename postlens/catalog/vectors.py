@@ -201,7 +201,7 @@ _SIMS = f"""
 WITH same AS (SELECT 'same' AS kind, {_cos('image_vec', 'text_vec')} AS similarity FROM note_vectors),
 li AS (SELECT note_id AS id_i, image_vec AS v_i, row_number() OVER (ORDER BY md5('i' || note_id), note_id) AS k FROM note_vectors),
 lj AS (SELECT note_id AS id_j, text_vec AS v_j, row_number() OVER (ORDER BY md5('j' || note_id), note_id) AS k FROM note_vectors),
-rnd AS (SELECT 'random' AS kind, {_cos('v_i', 'v_j')} AS similarity FROM li JOIN lj USING (k) WHERE k <= 1000 AND id_i <> id_j),
+rnd AS (SELECT 'random' AS kind, {_cos('v_i', 'v_j')} AS similarity FROM li JOIN lj USING (k) WHERE id_i <> id_j),
 sims AS (SELECT * FROM same WHERE similarity IS NOT NULL UNION ALL SELECT * FROM rnd WHERE similarity IS NOT NULL)
 """
 

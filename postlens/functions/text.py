@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postlens.settings import CHUNK_SIZE, CONTENT_LIMIT, MAX_CHUNKS
+from postlens.settings import CHUNK_SIZE, CONTENT_LIMIT
 
 # The white space that is trimmed from texts, wider than SQL's default.
 BLANKS = (
@@ -50,11 +50,11 @@ def cover_url(text: Column, file_id: Column) -> Column:
     return F.when(file_id != "", _with(url_list(text), pick))
 
 
-def inner_urls(text: Column, file_id: Column, most: int = 5) -> Column:
-    """the other URLs, the first `most` of them; no list gives an empty array."""
+def inner_urls(text: Column, file_id: Column, most: int | None = None) -> Column:
+    """the other URLs, the first `most` of them if given; no list gives an empty array."""
     wanted = F.coalesce(file_id, F.lit(""))
     kept = F.filter(url_list(text), lambda u: (wanted == "") | ~F.contains(u, wanted))
-    return F.coalesce(F.slice(kept, 1, most), F.array().cast("array<string>"))
+    return F.coalesce(kept if most is None else F.slice(kept, 1, most), F.array().cast("array<string>"))
 
 
 def first_url(text: Column) -> Column:
@@ -80,17 +80,17 @@ def encoder_text(text: Column) -> Column:
 
 
 def content_chunks(
-    text: Column, limit: int = CONTENT_LIMIT, size: int = CHUNK_SIZE, most: int = MAX_CHUNKS
+    text: Column, limit: int = CONTENT_LIMIT, size: int = CHUNK_SIZE, most: int | None = None
 ) -> Column:
-    """pieces start every `size` characters below `limit` and are cut from the whole text; blank has none."""
-    starts = list(range(0, limit, size))[:most]
+    """a text of at most `limit` characters stays whole, a longer one is cut into pieces of `size`, the first
+    `most` of them if given; blank has none."""
 
     def cut(body: Column) -> Column:
-        pieces = F.array(*[F.substring(body, i + 1, size) for i in starts])
+        pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{size}}}"), 0)
         return (
             F.when(body == "", F.array().cast("array<string>"))
             .when(F.length(body) <= limit, F.array(body))
-            .otherwise(F.filter(pieces, lambda p: p != ""))
+            .otherwise(pieces if most is None else F.slice(pieces, 1, most))
         )
 
     return _with(strip(F.coalesce(text, F.lit(""))), cut)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from postlens.functions.special import t_two_sided
 from postlens.functions.vectors import any_nonzero, cosine, l2_norm
 from postlens.operators.history import running_share
+from postlens.operators.ordering import number_rows
 from postlens.operators.sampling import keyed_hash
 
 
@@ -87,12 +88,12 @@ def label_correlation_summary(dims: DataFrame, most: int = 10) -> DataFrame:
 
 
 def explained_variance(df: DataFrame, vector: str) -> DataFrame:
-    """Component, ratio, cumulative; all-zero vectors are left out, fewer than ten rows give nothing."""
+    """Component, ratio, cumulative; all-zero vectors are left out; fewer than two rows have no variance and give nothing."""
     rows = df.where(any_nonzero(F.col(vector))).select(array_to_vector(vector).alias("v"))
     spark = df.sparkSession
-    first = rows.limit(10).collect()
+    first = rows.limit(2).collect()
     ratios = []
-    if len(first) == 10:
+    if len(first) == 2:
         ratios = [float(r) for r in PCA(k=first[0]["v"].size, inputCol="v", outputCol="p").fit(rows).explainedVariance]
     table = spark.createDataFrame(list(enumerate(ratios)), "component int, ratio double")
     return running_share(table)
@@ -108,21 +109,21 @@ def pca_dims(spectrum: DataFrame, levels: Sequence[float] = (0.95, 0.99, 0.999))
         F.count(F.lit(1)).alias("dims"), *[first(x).alias("dims_" + f"{x:g}"[2:]) for x in levels])
 
 
-def pair_similarities(df: DataFrame, key: str, image: str, text: str, draws: int = 1000) -> DataFrame:
+def pair_similarities(df: DataFrame, key: str, image: str, text: str, draws: int | None = None) -> DataFrame:
     """Kind (same, random), similarity. Zero vectors are skipped.
 
-    Random pairs are two hash-ordered draws of at most `draws` rows matched by their place; pairs of a row
-    with itself are skipped. Each task keeps its own candidates, so no more than that many rows meet.
+    All rows are numbered by two keyed hashes, and rows with the same number are a random pair: as many as there are
+    rows, or `draws` if given. Pairs of a row with itself are skipped.
     """
     same = df.select(F.lit("same").alias("kind"), cosine(F.col(image), F.col(text)).alias("similarity"))
 
     def draw(salt: str, vector: str) -> DataFrame:
-        top = df.select(keyed_hash(key, salt).alias("h"), F.col(key).alias("id"), F.col(vector).alias("v"))
-        rows = top.orderBy("h", "id").limit(draws).agg(F.array_sort(F.collect_list(F.struct("h", "id", "v"))).alias("a"))
-        return rows.select(F.posexplode("a").alias("place", "s"))
+        rows = df.select(keyed_hash(key, salt).alias("h"), F.col(key).alias("id"), F.col(vector).alias("v"))
+        placed = number_rows(rows, [], ["h", "id"], "place")
+        return placed if draws is None else placed.where(F.col("place") <= draws)
 
-    left = draw("i", image).select("place", F.col("s.id").alias("id_i"), F.col("s.v").alias("v_i"))
-    right = draw("j", text).select("place", F.col("s.id").alias("id_j"), F.col("s.v").alias("v_j"))
+    left = draw("i", image).select("place", F.col("id").alias("id_i"), F.col("v").alias("v_i"))
+    right = draw("j", text).select("place", F.col("id").alias("id_j"), F.col("v").alias("v_j"))
     matched = left.join(right, "place").where(F.col("id_i") != F.col("id_j"))
     random = matched.select(F.lit("random").alias("kind"), cosine(F.col("v_i"), F.col("v_j")).alias("similarity"))
     return same.unionByName(random).where(F.col("similarity").isNotNull())

@@ -2,46 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.settings import OCR_CONFIDENCE, OCR_IMAGE_CHARS, OCR_POST_CHARS
-
-
-def _joined(df: DataFrame, groups: list[str], order: str, limit: int) -> DataFrame:
-    """Texts of a group joined by spaces and cut to `limit` characters.
-
-    Every text after the first adds at least its space, so the first limit + 1 texts hold all of the
-    result; the ranking keeps that many per task before the shuffle, whatever the size of the group.
-    """
-    first = Window.partitionBy(*groups).orderBy(order)
-    head = df.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit + 1)
-    texts = F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col("text").alias("t"))))
-    return head.groupBy(*groups).agg(
-        F.substring(F.array_join(F.transform(texts, lambda s: s["t"]), " "), 1, limit).alias("text")
-    )
-
-
-def image_texts(tokens: DataFrame) -> DataFrame:
-    """Per post_id, image_id: text and mean confidence of the tokens above the confidence floor."""
-    kept = tokens.where(F.col("conf") > OCR_CONFIDENCE)
-    keys = ["post_id", "image_id"]
-    texts = _joined(kept.select(*keys, "pos", "text"), keys, "pos", OCR_IMAGE_CHARS)
-    means = kept.groupBy(*keys).agg(F.avg("conf").alias("conf"))
-    return texts.join(means, keys)
-
-
-def aggregate_tokens(tokens: DataFrame) -> DataFrame:
-    """Per post: non-empty image texts in image order and the highest image confidence; '' and 0 without text."""
-    images = image_texts(tokens).where(F.col("text") != "")
-    texts = _joined(images.select("post_id", "image_id", "text"), ["post_id"], "image_id", OCR_POST_CHARS)
-    best = images.groupBy("post_id").agg(F.max("conf").alias("conf"))
-    return (
-        tokens.select("post_id").distinct()
-        .join(texts, "post_id", "left").join(best, "post_id", "left")
-        .select(
-            "post_id",
-            F.coalesce("text", F.lit("")).alias("ocr_text"),
-            F.coalesce("conf", F.lit(0.0)).alias("ocr_confidence"),
-        )
-    )
+from postlens.settings import OCR_CONFIDENCE
+
+
+def _joined(order: str, text: str, most: int | None) -> Column:
+    """Texts of a group in order, joined by spaces; cut to `most` characters if given."""
+    texts = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("t"))))
+    joined = F.array_join(F.transform(texts, lambda s: s["t"]), " ")
+    return joined if most is None else F.substring(joined, 1, most)
+
+
+def image_texts(tokens: DataFrame, most: int | None = None) -> DataFrame:
+    """Per post_id, image_id: text and mean confidence of the tokens above the confidence floor; both are null for an
+    image without such tokens, so no post is lost. Whole texts unless a caller sets `most` characters."""
+    good = F.col("conf") > OCR_CONFIDENCE
+    kept = tokens.withColumns({"text": F.when(good, F.col("text")), "conf": F.when(good, F.col("conf")), "pos": F.when(good, F.col("pos"))})
+    sums = kept.groupBy("post_id", "image_id").agg(_joined("pos", "text", most).alias("text"), F.avg("conf").alias("conf"))
+    return sums.withColumn("text", F.when(F.col("conf").isNotNull(), F.col("text")))
+
+
+def aggregate_tokens(tokens: DataFrame, image_chars: int | None = None, post_chars: int | None = None) -> DataFrame:
+    """Per post: non-empty image texts in image order and the highest image confidence; '' and 0 without text.
+
+    Two sums over the tokens: by image, then by post. A post is one row of output, so its text meets in one row."""
+    images = image_texts(tokens, image_chars)
+    said = F.col("text") != ""
+    images = images.select("post_id", F.when(said, F.col("image_id")).alias("image_id"), F.when(said, F.col("text")).alias("text"), F.when(said, F.col("conf")).alias("conf"))
+    return images.groupBy("post_id").agg(
+        _joined("image_id", "text", post_chars).alias("ocr_text"), F.coalesce(F.max("conf"), F.lit(0.0)).alias("ocr_confidence"))

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -194,8 +195,8 @@ def compare_models(
             )
             rows.append((name, *[float(line[c]) if line[c] is not None else None
                                  for c in ("mse", "mae", "rmse", "r2", "spearman", "kendall_tau")], seconds, None))
-        except Exception as error:  # a model that fails is a line of the comparison
-            rows.append((name, None, None, None, None, None, None, time.time() - start, str(error)[:300]))
+        except (IllegalArgumentException, AnalysisException, ValueError) as error:  # a model that does not fit these rows
+            rows.append((name, None, None, None, None, None, None, time.time() - start, str(error)))
     scores = literal_rows(
         spark, rows,
         "model string, mse double, mae double, rmse double, r2 double, spearman double, kendall_tau double,"

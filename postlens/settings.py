@@ -43,11 +43,11 @@ TASK_WEIGHTS = {"ctr": 3.0, "sort_score": 3.0, "interaction_rate": 2.0, "ces_rat
 TAG_COLUMNS = ["intention_lv1", "intention_lv2is_mcn", "taxonomy1", "taxonomy2", "taxonomy3"]
 DEFAULT_TAG_WORDS = ["其他", "None", "null", "nan", "", "unknown", "未知", "暂无"]
 
-# Content cutting: a text above `limit` is cut into at most `chunks` pieces of `size` characters.
-CONTENT_LIMIT, CHUNK_SIZE, MAX_CHUNKS = 200, 52, 4
+# Content cutting: a text above CONTENT_LIMIT characters is cut into pieces of CHUNK_SIZE.
+CONTENT_LIMIT, CHUNK_SIZE = 200, 52
 
-# Token aggregation: confidence floor, characters kept per image and per post.
-OCR_CONFIDENCE, OCR_IMAGE_CHARS, OCR_POST_CHARS = 0.3, 200, 500
+# Token aggregation: confidence floor.
+OCR_CONFIDENCE = 0.3
 
 # Vector groups, in output order.
 VECTOR_PREFIXES = {

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.vectors import l2_norm
@@ -26,13 +27,22 @@ def verify_output(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("files"), (F.coalesce(F.sum("size"), F.lit(0)) / 1048576.0).alias("mb"))
 
 
-def scan_directory(df: DataFrame, groups: Mapping[str, str]) -> DataFrame:
+def relative_path(base: str | None = None) -> Column:
+    """The path of a row's file: below `base` if given. Its name alone does not tell files of two folders apart."""
+    path = F.col("_metadata.file_path")
+    if not base:
+        return path
+    folder = base.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+    return F.when(F.contains(path, F.lit("/" + folder)), F.element_at(F.split(path, re.escape("/" + folder), 2), 2)).otherwise(path)
+
+
+def scan_directory(df: DataFrame, groups: Mapping[str, str], base: str | None = None) -> DataFrame:
     """Per file its size, rows, columns and which vector groups hold values; the line without a file is the total.
 
     `groups` maps a group name to a column of that group.
     """
     present = {g: c for g, c in groups.items() if c in df.columns}
-    per_file = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+    per_file = df.groupBy(relative_path(base).alias("file")).agg(
         F.max("_metadata.file_size").alias("size"), F.count(F.lit(1)).alias("rows"),
         *[(F.count(c) > 0).alias(f"has_{g}") for g, c in present.items()])
     return per_file.rollup("file").agg(
@@ -40,8 +50,8 @@ def scan_directory(df: DataFrame, groups: Mapping[str, str]) -> DataFrame:
         F.count(F.lit(1)).alias("files"), *[F.bool_or(f"has_{g}").alias(f"has_{g}") for g in present])
 
 
-def file_rows(df: DataFrame) -> DataFrame:
-    return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+def file_rows(df: DataFrame, base: str | None = None) -> DataFrame:
+    return df.groupBy(relative_path(base).alias("file")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def batch_plan(files: DataFrame, size: int) -> DataFrame:

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from postlens.sources.audit import relative_path
+
 STAMP = "%Y%m%d_%H%M%S"
 
 
@@ -15,11 +17,14 @@ def batch_path(out: str, start: int, end: int, stamp: datetime) -> str:
 
 
 def save_batch(
-    df: DataFrame, out: str, start: int, end: int, stamp: datetime, files: int = 200, compression: str = "snappy"
+    df: DataFrame, out: str, start: int, end: int, stamp: datetime, files: int | None = None, compression: str = "snappy",
+    rows_per_file: int = 1_000_000,
 ) -> str:
-    """Between 10 and 200 files of one batch and run; the path is the partition."""
+    """Files of one batch and run; the path is the partition. Rows stay in the tasks that made them, unless the
+    caller asks for a number of files; no file gets more than `rows_per_file` rows."""
     path = batch_path(out, start, end, stamp)
-    df.repartition(min(200, max(10, files))).write.mode("overwrite").option("compression", compression).parquet(path)
+    rows = df if files is None else df.repartition(max(1, files))
+    rows.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", rows_per_file).parquet(path)
     return path
 
 
@@ -28,9 +33,10 @@ def save_per_source(df: DataFrame, out: str, source: str = "source_file") -> Non
     df.write.mode("overwrite").partitionBy(source).parquet(out)
 
 
-def with_source(df: DataFrame) -> DataFrame:
-    """The input file of every row, for `save_per_source`."""
-    return df.withColumn("source_file", F.concat(F.lit("incremental_"), F.col("_metadata.file_name")))
+def with_source(df: DataFrame, base: str | None = None) -> DataFrame:
+    """The input file of every row, for `save_per_source`: its path below `base`, so that files of one name in two folders
+    stay apart; the whole path without a base."""
+    return df.withColumn("source_file", F.concat(F.lit("incremental_"), relative_path(base)))
 
 
 def save_csv(df: DataFrame, out: str, order: str | None = None) -> None:

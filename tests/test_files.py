@@ -82,6 +82,21 @@ def test_output_per_source_and_statistics(spark, numbered, tmp_path):
     assert stats["rows"] == 46 and stats["rows_per_second"] == 23 and stats["files_in"] == 4 and stats["mb_out"] > 0
 
 
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder, n in (("a", 5), ("b", 7)):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / "in" / folder))
+        made = next((tmp_path / "in" / folder).glob("part-*.parquet"))
+        made.rename(made.with_name("part-00000.parquet"))
+    base = str(tmp_path / "in")
+    df = spark.read.option("recursiveFileLookup", "true").parquet(base)
+    want = {"a/part-00000.parquet": 5, "b/part-00000.parquet": 7}
+    assert {r["file"]: r["rows"] for r in audit.file_rows(df, base).collect()} == want
+    assert {r["file"]: r["rows"] for r in audit.scan_directory(df, {}, base).collect() if r["file"]} == want
+    assert audit.file_rows(df).count() == 2
+    sources = sinks.with_source(df, base).groupBy("source_file").count().collect()
+    assert {r["source_file"]: r["count"] for r in sources} == {f"incremental_{k}": v for k, v in want.items()}
+
+
 def test_csv_and_json(spark, tmp_path):
     df = spark.createDataFrame([(0, "a", None), (1, "b", "c")], "position int, x string, y string")
     sinks.save_csv(df, str(tmp_path / "c"), "position")

@@ -81,3 +81,8 @@ def test_auc_with_ties(spark):
     rows = [("t", 1, 0.9), ("t", 1, 0.5), ("t", 0, 0.5), ("t", 0, 0.1)]
     df = spark.createDataFrame(rows, "task string, label int, y_pred double")
     assert auc(df).head()["auc"] == pytest.approx(0.875)
+
+
+@pytest.mark.parametrize("dof", [9.9e6, 1.1e7, 1e11, 1e13, 1e15])
+def test_p_values_do_not_drift_with_the_degrees_of_freedom(dof):
+    assert student_p(2.0, dof) == pytest.approx(math.erfc(math.sqrt(2.0)), abs=1e-7)

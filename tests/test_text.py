@@ -34,13 +34,17 @@ def test_inner_urls(spark, raw, ident, want):
     assert one(spark, text.inner_urls(F.col("u"), F.col("i"), 3), u=raw, i=ident) == want
 
 
+def test_all_inner_urls_without_a_bound(spark):
+    assert len(one(spark, text.inner_urls(F.col("u"), F.col("i")), u=",".join(f"u{i}" for i in range(40)), i="u7")) == 39
+
+
 @pytest.mark.parametrize("raw, want", [("['a', b]", "a"), ("x,y", "x"), ("", ""), (None, ""), ("[]", "")])
 def test_first_url(spark, raw, want):
     assert one(spark, text.first_url(F.col("u")), u=raw) == want
 
 
 @pytest.mark.parametrize("length, want", [
-    (1, [1]), (200, [200]), (201, [52, 52, 52, 45]), (208, [52] * 4), (500, [52] * 4),
+    (1, [1]), (200, [200]), (201, [52, 52, 52, 45]), (208, [52] * 4), (500, [52] * 9 + [32]),
 ])
 def test_chunk_lengths(spark, length, want):
     pieces = one(spark, text.content_chunks(F.col("t")), t="x" * length)
@@ -54,7 +58,8 @@ def test_blank_content_has_no_chunks(spark):
 
 def test_chunks_count_characters_not_bytes(spark):
     body = "内容😀" * 70
-    assert "".join(one(spark, text.content_chunks(F.col("t")), t=body)) == body[:208]
+    assert "".join(one(spark, text.content_chunks(F.col("t")), t=body)) == body
+    assert len(one(spark, text.content_chunks(F.col("t"), most=4), t=body)) == 4
 
 
 def test_encoder_text(spark):
@@ -75,7 +80,9 @@ def test_long_token_groups_keep_their_head(spark):
     rows = [(1, 1, i, "ab", 0.9) for i in range(500)] + [(1, 2, 0, "z", 0.2)] + [(2, 5, 0, "q", 0.1)]
     rows += [(3, i, 0, "t", 0.5 + i / 1000) for i in range(400)]
     df = spark.createDataFrame(rows, "post_id int, image_id int, pos int, text string, conf double")
-    out = {r["post_id"]: r for r in aggregate_tokens(df).collect()}
+    out = {r["post_id"]: r for r in aggregate_tokens(df, 200, 500).collect()}
     assert out[1]["ocr_text"] == " ".join(["ab"] * 500)[:200] and out[1]["ocr_confidence"] == pytest.approx(0.9)
     assert out[2]["ocr_text"] == "" and out[2]["ocr_confidence"] == 0.0
+    whole = {r["post_id"]: r["ocr_text"] for r in aggregate_tokens(df).collect()}
+    assert whole == {1: " ".join(["ab"] * 500), 2: "", 3: " ".join(["t"] * 400)}
     assert out[3]["ocr_text"] == " ".join(["t"] * 400)[:500] and out[3]["ocr_confidence"] == pytest.approx(0.899)
