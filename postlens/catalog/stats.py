@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postlens.catalog import fixtures as fx
-from postlens.catalog.registry import register
+from postlens.catalog.registry import register, student_p_sql
 from postlens.catalog.text import TARGETS_SQL
 from postlens.operators import encoding, filters, metrics, ordering, profile, sampling, targets, taxonomy
 
@@ -465,7 +465,11 @@ def spearman(spark, sf):
     return metrics.spearman(fx.predictions(spark, sf), with_p=False)
 
 
-@register("spearman_p_value")
+@register(
+    "spearman_p_value",
+    _RANKS + f""", c AS (SELECT task, count(*) AS valid_samples, corr(a, b) AS spearman FROM r GROUP BY task)
+      SELECT *, {student_p_sql('(spearman * sqrt((valid_samples - 2) / (1 - spearman * spearman)))', '(valid_samples - 2)')} AS spearman_p FROM c""",
+    ["predictions"], ["spearman", "spearman_p"])
 def spearman_p(spark, sf):
     return metrics.spearman(fx.predictions(spark, sf))
 

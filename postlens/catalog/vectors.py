@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postlens.catalog import fixtures as fx
-from postlens.catalog.registry import register
+from postlens.catalog.registry import register, student_p_sql
 from postlens.functions import vectors as vx
 from postlens.operators import clustering, embedding, filters, history, kendall
 
@@ -234,7 +234,11 @@ def t_test(spark, sf):
     return embedding.t_test(_similarities(spark, sf), with_p=False)
 
 
-@register("t_test_p_value")
+@register(
+    "t_test_p_value",
+    _SIMS + _SIDES + f""", t AS (SELECT (a - b) / sqrt((va * na + vb * nb) / (na + nb - 2) * (1 / na + 1 / nb)) AS t_statistic, na + nb - 2 AS dof FROM m)
+      SELECT t_statistic, dof, {student_p_sql('t_statistic', 'dof')} AS p_value FROM t""",
+    ["note_vectors"], ["t_statistic", "dof", "p_value"])
 def t_test_p(spark, sf):
     return embedding.t_test(_similarities(spark, sf))
 
@@ -314,6 +318,20 @@ def tau(spark, sf):
     return kendall.kendall_tau(fx.predictions(spark, sf), with_p=False)
 
 
+@register(
+    "spectrum_moments",
+    f"""WITH {_DIMS}, w AS (SELECT note_id FROM e GROUP BY 1 HAVING bool_or(x <> 0)),
+      c AS (SELECT a.dim AS i, b.dim AS j, covar_samp(CAST(a.x AS DOUBLE), CAST(b.x AS DOUBLE)) AS c
+            FROM e a JOIN e b USING (note_id) JOIN w USING (note_id) GROUP BY 1, 2)
+      SELECT count(DISTINCT i) AS dims, 1.0E0 AS ratio_sum, sum(c * c) / pow(sum(c) FILTER (WHERE i = j), 2) AS ratio_square_sum FROM c""",
+    ["note_vectors"], ["ratio_sum", "ratio_square_sum"],
+)
+def spectrum_moments(spark, sf):
+    """The ratios add to one, and their squares to the covariance's squared norm over its squared trace."""
+    ratios = embedding.explained_variance(fx.note_vectors(spark, sf), "image_vec")
+    return ratios.agg(F.count(F.lit(1)).alias("dims"), F.sum("ratio").alias("ratio_sum"), F.sum(F.col("ratio") ** 2).alias("ratio_square_sum"))
+
+
 @register("kendall_p_value")
 def tau_p(spark, sf):
     return kendall.kendall_tau(fx.predictions(spark, sf))
