@@ -129,6 +129,49 @@ def csv_roundtrip(spark, sf):
     return spark.read.option("header", True).schema("note_id string, title string, taxonomy2 string").csv(out)
 
 
+@register("json_roundtrip", "SELECT note_id, title, taxonomy2 FROM note_info", ["note_info"])
+def json_roundtrip(spark, sf):
+    out = f"{checkpoint_dir(spark)}/json-{uuid.uuid4().hex}"
+    sinks.save_json(fx.note_info(spark, sf).select("note_id", "title", "taxonomy2"), out)
+    return spark.read.schema("note_id string, title string, taxonomy2 string").json(out)
+
+
+@register("pruned_read", "SELECT o_orderkey, o_totalprice FROM orders", doubles=["o_totalprice"])
+def pruned_read(spark, sf):
+    return readers.read_tree(spark, f"{sf}/orders.parquet", columns=["o_orderkey", "o_totalprice", "absent"])
+
+
+@register("batch_range_read", "SELECT note_id, title FROM note_info", ["note_info"])
+def batch_range_read(spark, sf):
+    """Numbered files below the shared folder, read again as two ranges of numbers."""
+    out = f"{checkpoint_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    fx.note_info(spark, sf).select("note_id", "title").repartition(4).write.parquet(out)
+    return readers.read_batches(spark, out, 0, 1).unionByName(readers.read_batches(spark, out, 2, 3))
+
+
+@register("corrupt_skip", "SELECT note_id, title FROM note_info", ["note_info"])
+def corrupt_skip(spark, sf):
+    """A tree with files that are no parquet: only those are left out."""
+    out = f"{checkpoint_dir(spark)}/mixed-{uuid.uuid4().hex}"
+    rows = fx.note_info(spark, sf).select("note_id", "title")
+    rows.write.parquet(f"{out}/good")
+    rows.select("title").write.option("lineSep", "|").text(f"{out}/bad")
+    return readers.read_tree(spark, out, skip_corrupt=True, schema=rows.schema)
+
+
+@register(
+    "per_source_output",
+    " UNION ALL ".join(f"SELECT 'incremental_{t}.parquet' AS source_file, count(*) AS rows FROM {t}" for t in ("customer", "supplier")),
+)
+def per_source_output(spark, sf):
+    """Rows written apart by the file they came from, and counted again."""
+    out = f"{checkpoint_dir(spark)}/sources-{uuid.uuid4().hex}"
+    for t in ("customer", "supplier"):
+        sinks.save_per_source(sinks.with_source(spark.read.parquet(f"{sf}/{t}.parquet"), sf), f"{out}/{t}")
+    saved = readers.union_all([spark.read.parquet(f"{out}/{t}") for t in ("customer", "supplier")])
+    return saved.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+
+
 from postlens.catalog.registry import ORACLES  # noqa: E402
 
 ORACLES["csv_roundtrip"] = ORACLES["csv_roundtrip"].replace("title, taxonomy2 FROM", "title, trim(taxonomy2) AS taxonomy2 FROM")

@@ -14,8 +14,11 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*", key: Column
 
 
 def attach_cover(posts: DataFrame, images: DataFrame, url: str = "cover_url", name: str = "cover_image") -> DataFrame:
-    """Left join; a URL without an image leaves NULL."""
-    return posts.join(images.select(F.col("url").alias(url), F.col("image").alias(name)), url, "left")
+    """Left join; a URL without an image leaves NULL. Posts without a URL have nothing to join and stay where they are,
+    so that they do not meet in one task."""
+    named, bare = posts.where(F.col(url).isNotNull()), posts.where(F.col(url).isNull())
+    joined = named.join(images.select(F.col("url").alias(url), F.col("image").alias(name)), url, "left")
+    return joined.unionByName(bare.withColumn(name, F.lit(None).cast("binary")))
 
 
 def attach_inner(
