@@ -157,3 +157,28 @@ def measure_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT row, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d),
+g AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, win) AS n FROM (
+    SELECT row, unnest(range(1, len(ws) - 3)) AS i,
+      unnest(list_transform(range(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4])) AS win
+    FROM w WHERE len(ws) >= 5)),
+cover AS (SELECT row, count(DISTINCT i + k) AS n FROM g, range(5) r(k) WHERE g.n > 1 GROUP BY row),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(cover.n, 0) AS n_repeat_words, len(lines) AS n_lines
+  FROM w LEFT JOIN cover USING (row)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
+    OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
+FROM b
+"""

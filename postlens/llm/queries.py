@@ -44,7 +44,7 @@ register("op3_warc", warc.archived_pages, "pages", sql=warc.SQL)
 register("op4_token_counts", token_counts.count_tokens)
 register("op5_token_binary", token_binary.encode_documents)
 register("op6_decontamination", decontamination.leaks, "documents", "benchmark")
-register("op7_quality_cascade", quality_cascade.measure_documents)
-register("op8_near_dup", lambda docs: near_dup.near_duplicates(docs, near_dup.Setting(width=2)))
+register("op7_quality_cascade", quality_cascade.measure_documents, sql=quality_cascade.SQL)
+register("op8_near_dup", lambda docs: near_dup.near_duplicates(docs, near_dup.Setting(width=2)), sql=near_dup.SQL)
 register("op9_lm_scoring", lm_scoring.scored_documents)
 register("op10_language_id", language_id.language_of_documents)

@@ -9,7 +9,7 @@ ODD_TEXTS = [None, "", " \n\t ", "one", "one two", "tie tie tie tie", "1234 !!",
 def odd_docs(spark):
     """Nulls in every column, empty and odd texts, repeated rows, ties, one long text, extra columns of clashing names."""
     rows = [(i, t, "en" if i % 2 else None, None, len(t or "")) for i, t in enumerate(ODD_TEXTS)]
-    rows += [rows[14], (None, None, None, None, None), (None, "a null id has text", "en", "s", 1), (400, " ".join(f"w{i % 977}" for i in range(60_000)), "en", "long", 5)]
+    rows += [rows[14], (None, None, None, None, None), (None, "a null id has text", "en", "s", 1), (400, " ".join(f"w{i}" for i in range(60_000)), "en", "long", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     clash = ["score", "n_tokens", "key", "a", "b", "h1", "rep", "node", "component", "cluster", "window", "task", "side", "kept", "rejected_by", "lang_pred", "words", "hash", "item_id", "tie"]
     return docs.withColumns({c: F.lit("x") for c in clash})

@@ -14,7 +14,7 @@ from tests.llm.conftest import ODD_TEXTS, texts_of
 
 def noise(n=400):
     rng = random.Random(5)
-    parts = ["a", "B", "é", "ß", "1", "22", ".", ",", "'", "'s", "'ll", "!", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", " ", "▁", "_", "word", "Word,", "it's", "<s>", "<|endoftext|>", "漢字", "🙂", "́", "ﬁ", "Σ"]
+    parts = ["a", "B", "é", "ß", "1", "22", ".", ",", "'", "'s", "'ll", "!", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", " ", "▁", "_", "word", "Word,", "it's", "<s>", "<|endoftext|>", "<|EndOfText|>", "漢字", "🙂", "́", "ﬁ", "Σ"]
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(n)]
 
 
