@@ -2,11 +2,13 @@
 
 import uuid
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from postlens.catalog import fixtures as fx
-from postlens.catalog.registry import register
+from postlens.catalog.registry import ORACLES, register
 from postlens.catalog.stats import target_rows
+from postlens.catalog.text import TARGETS_SQL
 from postlens.functions import numeric
 from postlens.operators import contracts, embedding, encoder_stage, sampling
 from postlens.operators.clustering import cluster_sweep
@@ -79,6 +81,47 @@ def prepared_features(spark, sf):
     return rows.select("note_id", "split", F.size(vector_to_array("features")).alias("width"))
 
 
+_SPLIT_ROWS = f"""t AS ({TARGETS_SQL}),
+  r AS (SELECT note_id, title_length, ctr, CAST('0x' || substr(md5('42' || note_id), 1, 8) AS BIGINT) % 10000 < 2000 AS val
+        FROM note_vectors JOIN note_info USING (note_id) JOIN t USING (note_id))"""
+
+
+def _dense_only(spark, sf):
+    rows = cut_lineage(sampling.train_val(evaluation_rows(spark, sf), "note_id"))
+    model = tr.fit_features(rows.where("split = 'train'"), tr.FeatureSpec([], ["title_length"], {}))
+    return model.transform(rows, drop_zero=True)
+
+
+@register(
+    "prepared_dense",
+    f"""WITH {_SPLIT_ROWS}, m AS (SELECT avg(title_length) AS a, stddev_pop(title_length) AS s FROM r WHERE NOT val)
+      SELECT note_id, CASE WHEN val THEN 'val' ELSE 'train' END AS split, CAST((title_length - a) / s AS FLOAT) AS x FROM r, m""",
+    ["note_info", "note_stats", "note_vectors"], ["x"],
+)
+def prepared_dense(spark, sf):
+    """A dense feature, scaled by the training rows alone."""
+    from pyspark.ml.functions import vector_to_array
+
+    return _dense_only(spark, sf).select("note_id", "split", vector_to_array("features")[0].alias("x"))
+
+
+@register(
+    "single_feature_fit",
+    f"""WITH {_SPLIT_ROWS}, f AS (SELECT regr_slope(ctr, title_length) AS b, regr_intercept(ctr, title_length) AS a FROM r WHERE NOT val),
+      p AS (SELECT CAST(ctr AS DOUBLE) AS y, a + b * title_length AS q FROM r, f WHERE val)
+      SELECT 'linear' AS model, avg((y - q) ** 2) AS mse, avg(abs(y - q)) AS mae, sqrt(avg((y - q) ** 2)) AS rmse,
+        1 - avg((y - q) ** 2) / var_pop(y) AS r2 FROM p""",
+    ["note_info", "note_stats", "note_vectors"], ["mse", "mae", "rmse", "r2"],
+)
+def single_feature_fit(spark, sf):
+    """M7: without a penalty, a fit on one feature is the regression line."""
+    rows = _dense_only(spark, sf).persist()
+    scores, _ = tr.compare_models(
+        rows.where("split = 'train'"), rows.where("split = 'val'"), "ctr", {"linear": LinearRegression(regParam=0.0)})
+    rows.unpersist()
+    return scores.select("model", "mse", "mae", "rmse", "r2")
+
+
 @register("model_comparison")
 def model_comparison(spark, sf):
     rows = _prepared(spark, sf)
@@ -262,18 +305,22 @@ def feature_stage(spark, sf):
     return wide.unpivot("note_id", names, "feature", "x").withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
-@register("incremental_features", "SELECT doc_id, 8 AS dims FROM documents")
+@register("incremental_features", ORACLES["encode_content"])
 def incremental_features(spark, sf):
-    """New files only: the documents of the run's directory, streamed through the encoder stage."""
-    docs = fx.table(spark, sf, "documents")
+    """Two runs over a growing folder: the second sees the files that the first did not, and each document is encoded once."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
     work = f"{checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
     spec = encoder_stage.hash_encoder(8)
 
     def transform(rows):
         return rows.select("doc_id", encoder_stage.encode_content(F.col("text"), spec).alias("content_vec"))
 
-    run_incremental(spark, f"{sf}/documents.parquet", f"{work}/out", f"{work}/checkpoint", docs.schema, transform)
-    return spark.read.parquet(f"{work}/out").select("doc_id", F.size("content_vec").alias("dims"))
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    for n, part in enumerate((docs.where(~late), docs.where(late))):
+        part.write.parquet(f"{work}/in/{n}")
+        run_incremental(spark, f"{work}/in", f"{work}/out", f"{work}/checkpoint", docs.schema, transform)
+    vectors = spark.read.parquet(f"{work}/out").select("doc_id", F.posexplode("content_vec").alias("dim", "x"))
+    return vectors.withColumn("x", F.round(F.col("x").cast("double"), 4))
 
 
 _FILES = ("customer", "lineitem", "orders", "part", "supplier")
