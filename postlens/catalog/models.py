@@ -53,7 +53,7 @@ def ablation(spark, sf):
 
 @register("contributions")
 def contributions(spark, sf):
-    return ab.contributions(ab.ablation(evaluation_rows(spark, sf), trees=10))
+    return ab.contributions(ab.ablation(evaluation_rows(spark, sf)))
 
 
 @register("click_prediction")
@@ -70,7 +70,7 @@ def _prepared(spark, sf, pca=None):
     rows = cut_lineage(sampling.train_val(evaluation_rows(spark, sf), "note_id"))
     spec = tr.FeatureSpec(["taxonomy1", "taxonomy2"], ["title_length"], VECTORS, pca=pca)
     model = tr.fit_features(rows.where("split = 'train'"), spec)
-    return cut_lineage(model.transform(rows, drop_zero=True)).persist()
+    return cut_lineage(model.transform(rows, drop_zero=True))
 
 
 @register("prepared_features")
@@ -115,10 +115,9 @@ def prepared_dense(spark, sf):
 )
 def single_feature_fit(spark, sf):
     """M7: without a penalty, a fit on one feature is the regression line."""
-    rows = _dense_only(spark, sf).persist()
+    rows = cut_lineage(_dense_only(spark, sf))
     scores, _ = tr.compare_models(
         rows.where("split = 'train'"), rows.where("split = 'val'"), "ctr", {"linear": LinearRegression(regParam=0.0)})
-    rows.unpersist()
     return scores.select("model", "mse", "mae", "rmse", "r2")
 
 
@@ -147,12 +146,12 @@ def multitask_scores(spark, sf):
 
 @register("embedding_report")
 def embedding_report(spark, sf):
-    return rp.embedding_report(evaluation_rows(spark, sf), min_imp=500, counts=(5, 10), trees=10)
+    return rp.embedding_report(evaluation_rows(spark, sf), min_imp=500)
 
 
 @register("diagnosis")
 def diagnosis(spark, sf):
-    report = rp.embedding_report(evaluation_rows(spark, sf).drop("ctr"), min_imp=500, counts=(5, 10))
+    report = rp.embedding_report(evaluation_rows(spark, sf), min_imp=500)
     fired = rp.diagnose(report).withColumnRenamed("rule", "name")
     return fired.unionByName(rp.recommend(report).withColumnRenamed("recommendation", "name"))
 

@@ -105,12 +105,12 @@ def cluster_sweep(
     """
     spark = df.sparkSession
     scaled = standardised(df.drop("cluster"), vector).withColumn("features", array_to_vector("scaled"))
-    scaled = cut_lineage(scaled).persist()
+    scaled = cut_lineage(scaled)
     n, found = scaled.count(), []
     if n >= 100:
         for k in [k for k in counts if k <= n // 2]:
             model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
-            rows = cut_lineage(model.transform(scaled).select("cluster", "scaled"))
+            rows = model.transform(scaled).select("cluster", "scaled")
             if rows.select("cluster").distinct().limit(2).count() < 2:
                 continue
             score = silhouette_squared(rows, "scaled")

@@ -88,11 +88,6 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str, *extra: Colum
     return df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
-def ordered_counts(df: DataFrame, groups: Sequence[str], value: str, *extra: Column) -> DataFrame:
-    """value_counts with `before` and `total`, in rows of `df`."""
-    return running_weight(value_counts(df, groups, value, *extra), groups, [value], F.col("n"))
-
-
 def weighted_ranks(df: DataFrame, groups: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
     """Average rank of every distinct value, where a row stands for `weight` equal rows; `total` rows per group."""
     folded = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.sum(weight).alias("_n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -175,7 +174,3 @@ def importance(
     return literal_rows(
         df.sparkSession, lines,
         "feature_group string, mean_importance double, max_importance double, top_dims array<int>")
-
-
-def feature_set_names() -> Sequence[str]:
-    return list(FEATURE_SETS)

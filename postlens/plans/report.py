@@ -40,6 +40,10 @@ RECOMMENDATIONS = [
 ]
 
 
+# Rows that splits and folds of the task layer need; with fewer, a line says how many there are.
+LEAST_LABELS = 100
+
+
 def _long(df: DataFrame, layer: str, group: str | None, names: Sequence[str], group_column: str | None = None) -> DataFrame:
     owner = F.col(group_column) if group_column else F.lit(group)
     lines = F.array(*[
@@ -109,7 +113,10 @@ def embedding_report(
 
     if label in df.columns:
         labelled = valid_labels(rows, label)
-        if labelled.limit(100).count() >= 100:
+        enough = labelled.limit(LEAST_LABELS).count()
+        if enough < LEAST_LABELS:
+            parts.append(_long(labelled.agg(F.count(F.lit(1)).alias("too_few_labelled_rows")), "task", None, ["too_few_labelled_rows"]))
+        else:
             for group, vector in vectors.items():
                 r = embedding.label_correlation_summary(embedding.label_correlation(labelled, vector, label))
                 parts.append(_long(r.withColumnsRenamed(
