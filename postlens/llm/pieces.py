@@ -7,6 +7,7 @@ at white space after a character that is none (`tokenizers` files), or at a spac
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from functools import lru_cache
@@ -74,11 +75,14 @@ class PieceCache:
         self.used += total
         self.place.update(zip(missing, range(n, n + len(rows)), strict=True))
 
-    def text_places(self, texts: pa.Array, spaced: bool, odd: str, split) -> tuple[np.ndarray, np.ndarray]:
+    def text_places(self, texts: pa.Array, spaced: bool, odd: str, split, folded: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each text: their number per text, and the place of every piece.
 
         spaced: a piece carries the space before it, and there are cuts at line ends and before stops, too. odd: a
-        pattern of pieces beside which a cut might not be safe; their texts go to `split`, which cuts by rule."""
+        pattern of pieces beside which a cut might not be safe; their texts go to `split`, which cuts by rule. folded: the tokenizer lower-cases and drops white space, so
+        pieces that differ in these only are one; special tokens keep their case."""
+        whole = texts
+        texts = pc.ascii_lower(texts) if folded else texts
         marked = pc.replace_substring_regex(pc.replace_substring_regex(texts, *STOP), *LINE) if spaced else texts
         lists = pc.split_pattern(marked, " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -89,14 +93,18 @@ class PieceCache:
         first = starts_of(counts)
         strange = np.logical_or.reduceat(flagged[codes], first) if len(codes) else np.zeros(len(counts), bool)
         if spaced:
-            strange |= pc.match_substring_regex(texts, ODD.pattern).to_numpy(zero_copy_only=False)
-        own = {int(i): split(texts[int(i)].as_py()) for i in np.flatnonzero(strange)}
+            strange |= pc.match_substring_regex(whole, ODD.pattern).to_numpy(zero_copy_only=False)
+        if folded:
+            strange |= pc.match_substring(whole, "<|").to_numpy(zero_copy_only=False)
+        own = {int(i): split(whole[int(i)].as_py()) for i in np.flatnonzero(strange)}
         lead = np.zeros(len(codes), bool)
         lead[first] = spaced
         normal = ~np.repeat(strange, counts)
         names, where = [], []
         blank = pa.scalar(" ", distinct.type)
         inner = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("", distinct.type), distinct, blank), " \x1f", "") if spaced else distinct
+        if folded:
+            inner = pc.utf8_trim_whitespace(inner)
         for group, form in ((normal & ~lead, inner), (normal & lead, distinct)):
             used = np.flatnonzero(np.bincount(codes[group], minlength=len(distinct)))
             to = np.zeros(len(distinct), np.int64)
@@ -141,6 +149,11 @@ class JsonTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.cache = PieceCache(self._encode)
+        made = json.loads(self.library.to_str())
+        kinds = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+        cuts = [x for x in (made["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        # Words of any case, and nothing of the white space between them.
+        self.folded = "Lowercase" in kinds and [(x["behavior"], x["invert"]) for x in cuts] == [("Removed", True)]
 
     def _encode(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for i in range(0, len(parts), 4096) for e in self.library.encode_batch_fast(parts[i : i + 4096], add_special_tokens=False)]
@@ -152,7 +165,7 @@ class JsonTokenizer:
         return [text] if ODD.search(text) else CHUNK.findall(text)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.ids(*self.cache.text_places(texts, True, ODD_EDGE, self._split))
+        return self.cache.ids(*self.cache.text_places(texts, True, ODD_EDGE, self._split, self.folded))
 
 
 class PieceTokenizer:
