@@ -16,17 +16,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     """node, component: the smallest node it is linked to over any number of edges. Nodes without an edge to another
     node, and edges with a null end, are left out.
 
-    Each round every node's smallest neighbour is a sum per node, joined back to its edges, so a node with very many
-    edges is split like any other join. Rounds are written to the shared folder."""
+    Each round every node's smallest neighbour is a sum per node, written and joined back to the edges: a plain join of
+    two shuffles, of which Spark splits the part of a node with very many edges. Rounds are written to the shared folder."""
     both = edges.where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}")
     now = materialise(both.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     mark = _mark(now)
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        ends = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select(F.col("lo"), F.col("hi")))
-        least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ends.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        # Large star: a node's larger neighbours go to the smallest of its neighbours and itself.
+        least = materialise(now.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
+        large = now.join(least, now["lo"] == least["u"], "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
+        # Small star: its smaller neighbours and itself go to the smallest of these.
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         after = materialise(small.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct())

@@ -118,7 +118,8 @@ def classes(docs: DataFrame, s: Setting) -> DataFrame:
             )
 
     rows = materialise(docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long"))
-    least = rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join is one of two plain shuffles and a class of very many documents is split.
+    least = materialise(rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     return rows.join(least, ["h1", "h2"], "left").select("doc_id", "n_shingles", "rep")
 
 
@@ -169,14 +170,15 @@ def blocks(members: DataFrame, s: Setting) -> DataFrame:
     A small cluster is one task. A larger one is cut into size classes, of which only neighbours can have links, and
     those into blocks of bounded rows and shingles; each task gets one block, or two."""
     ratio = 100 / s.percent
-    sums = members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("load"))
+    # Sums are written before they are joined back, so that a large cluster's rows are split.
+    sums = materialise(members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("load")))
     small = (F.col("rows") <= s.block_rows) & (F.col("load") <= s.block_shingles)
     sized = members.join(sums.where("rows > 1"), "cluster").withColumn("bin", F.when(small, F.lit(-2)).otherwise(F.floor(F.log(F.col("n")) / float(np.log(ratio)) + 1e-9)).cast("int")).drop("rows", "load")
     parts = sized.groupBy("cluster", "bin").agg(F.count("*").alias("rows"), F.sum("n").alias("load"))
     parts = parts.withColumn("k", F.ceil(F.greatest(F.col("rows") / s.block_rows, F.col("load") / s.block_shingles, F.lit(1))).cast("int"))
     w = Window.partitionBy("cluster").orderBy("bin")
     near = lambda f: F.when(f("bin").over(w) == F.col("bin") + (1 if f is F.lead else -1), f("k").over(w)).otherwise(0)
-    parts = parts.select("cluster", "bin", "k", near(F.lead).alias("up"), near(F.lag).alias("down"))
+    parts = materialise(parts.select("cluster", "bin", "k", near(F.lead).alias("up"), near(F.lag).alias("down")))
     placed = sized.join(parts, ["cluster", "bin"]).withColumn("own", F.pmod(F.xxhash64("member"), F.col("k")).cast("int"))
 
     def meet(count: str, fn) -> F.Column:
