@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Cuts batches so that texts of one piece add up to about `limit` bytes; a longer text stands alone. Null texts are empty."""
+# What a worker keeps for its next task of the same operator, each with a way to let go of it.
+HELD: list[Callable[[], None]] = []
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, keep_held: bool = False) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Cuts batches so that texts of one piece add up to about `limit` bytes; a longer text stands alone. Null texts are empty.
+
+    A worker that turns to this work lets go of what it holds for other operators, unless `keep_held`, and gives memory
+    back when it is done."""
+    if not keep_held:
+        for let_go in HELD:
+            let_go()
+    try:
+        yield from _slices(batches, column, limit)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -39,7 +39,7 @@ def letter_codes() -> np.ndarray:
 
 
 def grams(texts: pa.Array, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket) of every n-gram in whole texts, in the order of texts, and which texts have a letter.
+    """(text, bucket) of every n-gram in whole texts, by order, then text, and which texts have a letter.
 
     Runs of other characters count as one space. An n-gram lies within a text and has a letter."""
     strings = texts.to_pylist()
@@ -68,9 +68,7 @@ def grams(texts: pa.Array, buckets: int = BUCKETS, orders: tuple[int, ...] = ORD
         found.append((h[letter] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - buckets.bit_length() + 1))
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), lettered
-    owner, bucket = np.concatenate(owners), np.concatenate(found).astype(np.int64)
-    order = np.argsort(owner, kind="stable")
-    return owner[order], bucket[order], lettered
+    return np.concatenate(owners), np.concatenate(found).astype(np.int64), lettered
 
 
 def fit(labelled: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, smoothing: float = SMOOTHING, most_languages: int = MOST_LANGUAGES) -> Model:
@@ -82,7 +80,7 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = O
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, limit=1 << 20):
             langs = np.array(batch.column("lang").to_pylist(), object)
             owner, bucket, _ = grams(texts, buckets, orders)
             for lang in set(langs.tolist()):
@@ -119,10 +117,10 @@ def log_scores(texts: pa.Array, model: Model, buckets: int, orders: tuple[int, .
     texts have a letter."""
     owner, bucket, lettered = grams(texts, buckets, orders)
     scores = np.tile(model.prior, (len(texts), 1))
-    for i in range(0, len(owner), 1 << 20):
-        o = owner[i : i + (1 << 20)]
+    for i in range(0, len(owner), 1 << 18):
+        o = owner[i : i + (1 << 18)]
         first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-        scores[o[first]] += np.add.reduceat(model.weights[bucket[i : i + (1 << 20)]].astype(np.float64), first, axis=0)
+        np.add.at(scores, o[first], np.add.reduceat(model.weights[bucket[i : i + (1 << 18)]].astype(np.float64), first, axis=0))
     return scores, lettered
 
 
@@ -139,7 +137,7 @@ def predict(docs: DataFrame, model: Model, buckets: int = BUCKETS, orders: tuple
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, limit=1 << 20):
             best, sure = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if known.languages:
                 scores, lettered = log_scores(texts, known, buckets, orders)

@@ -25,7 +25,7 @@ class Setting:
     digits: int = 64
     embedding: int = 8
     hidden: int = 32
-    rounds: int = 3
+    rounds: int = 2
     batch: int = 4096
     rate: float = 1.0
     block: int = 1024
@@ -78,41 +78,51 @@ def contexts(owner: np.ndarray, bucket: np.ndarray, s: Setting) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _exponentials(x: np.ndarray, w: np.ndarray, b: np.ndarray, digit: np.ndarray, largest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of z = x w + b: the values at `digit`, the exponentials, and their sums by row, for inputs of at most `largest` in
+    size. Rows are shifted by their maximum only where the weights are large enough for an overflow."""
+    z = x @ w
+    z += b
+    if largest * np.abs(w).sum(axis=0).max() + np.abs(b).max() > 60:
+        z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), digit]
+    np.exp(z, out=z)
+    return own, z, z @ np.ones(z.shape[1], z.dtype)
+
+
+def _layers(p: Parameters, context: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Input, hidden layer, hidden layer with the first digit, and a bound of the latter's values."""
+    x = p[0][context].reshape(len(context), -1)
+    h = np.tanh(x @ p[1] + p[2])
+    return x, h, h + p[5][first], 1 + float(np.abs(p[5]).max())
 
 
 def log_probabilities(p: Parameters, context: np.ndarray, target: np.ndarray, s: Setting) -> np.ndarray:
     """Log probability of each target given its context."""
-    embed, w1, b1, w2, b2, digit, w3, b3 = p
     first, second = target // s.digits, target % s.digits
-    x = embed[context].reshape(len(target), -1)
-    h = np.tanh(x @ w1 + b1)
-    rows = np.arange(len(target))
-    return _log_softmax(h @ w2 + b2)[rows, first] + _log_softmax((h + digit[first]) @ w3 + b3)[rows, second]
+    _, h, joint, bound = _layers(p, context, first)
+    z2, _, sum2 = _exponentials(h, p[3], p[4], first, 1.0)
+    z3, _, sum3 = _exponentials(joint, p[6], p[7], second, bound)
+    return z2 + z3 - np.log(sum2) - np.log(sum3)
 
 
 def gradients(p: Parameters, context: np.ndarray, target: np.ndarray, s: Setting) -> Parameters:
     """Of the mean log loss."""
-    embed, w1, b1, w2, b2, digit, w3, b3 = p
-    n, rows = len(target), np.arange(len(target))
-    first, second = target // s.digits, target % s.digits
-    x = embed[context].reshape(n, -1)
-    h = np.tanh(x @ w1 + b1)
-    g2 = np.exp(_log_softmax(h @ w2 + b2))
-    g2[rows, first] -= 1
-    joint = h + digit[first]
-    g3 = np.exp(_log_softmax(joint @ w3 + b3))
-    g3[rows, second] -= 1
-    g2, g3 = g2 / n, g3 / n
-    gj = g3 @ w3.T
-    gh = (g2 @ w2.T + gj) * (1 - h * h)
-    gx = (gh @ w1.T).reshape(-1, s.embedding)
+    n, first, second, rows = len(target), target // s.digits, target % s.digits, np.arange(len(target))
+    x, h, joint, bound = _layers(p, context, first)
+    _, g2, sum2 = _exponentials(h, p[3], p[4], first, 1.0)
+    _, g3, sum3 = _exponentials(joint, p[6], p[7], second, bound)
+    for g, total, digit in ((g2, sum2, first), (g3, sum3, second)):
+        g *= (1 / (n * total))[:, None]
+        g[rows, digit] -= g.dtype.type(1 / n)
+    gj = g3 @ p[6].T
+    gh = (g2 @ p[3].T + gj) * (1 - h * h)
+    gx = (gh @ p[1].T).reshape(-1, s.embedding)
     place = context.ravel()
-    ge = np.stack([np.bincount(place, gx[:, k], len(embed)) for k in range(s.embedding)], axis=1)
-    gd = np.stack([np.bincount(first, gj[:, k], s.digits) for k in range(s.hidden)], axis=1)
-    return [g.astype(p[i].dtype) for i, g in enumerate((ge, x.T @ gh, gh.sum(0), h.T @ g2, g2.sum(0), gd, joint.T @ g3, g3.sum(0)))]
+    ge = np.stack([np.bincount(place, gx[:, k], len(p[0])) for k in range(s.embedding)], axis=1)
+    is_first = (first[:, None] == np.arange(s.digits)).astype(gj.dtype)
+    each = ge, x.T @ gh, gh.sum(0), h.T @ g2, g2.sum(0), is_first.T @ gj, joint.T @ g3, g3.sum(0)
+    return [g.astype(q.dtype) for g, q in zip(each, p, strict=True)]
 
 
 class Descent:
@@ -143,7 +153,7 @@ def train(docs: DataFrame, s: Setting = Setting()) -> Parameters:
 
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, sent=sent) -> Iterator[pa.RecordBatch]:
             descent, seen, contexts_held, targets_held, held = Descent(shaped(sent.value, s), s), 0, [], [], 0
-            for _, texts in text_slices(batches, limit=1 << 20):
+            for _, texts in text_slices(batches):
                 owner, bucket = sequences(texts, s)
                 own = np.arange(turn, len(bucket), s.rounds)
                 if not len(own):
@@ -188,8 +198,8 @@ def score(docs: DataFrame, parameters: Parameters, s: Setting = Setting()) -> Da
             owner, bucket = sequences(texts, s)
             context = contexts(owner, bucket, s)
             logs = np.zeros(len(bucket), np.float64)
-            for i in range(0, len(bucket), s.batch):
-                logs[i : i + s.batch] = log_probabilities(p, context[i : i + s.batch], bucket[i : i + s.batch], s)
+            for i in range(0, len(bucket), 1024):  # few enough to stay in a core's cache
+                logs[i : i + 1024] = log_probabilities(p, context[i : i + 1024], bucket[i : i + 1024], s)
             n = np.bincount(owner, minlength=batch.num_rows)
             total = np.bincount(owner, logs, batch.num_rows).astype(np.float64)  # whole numbers where there are no words
             mean = total / np.maximum(n, 1)

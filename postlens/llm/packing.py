@@ -62,7 +62,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = WIND
         coder, windows = json_tokenizer(tokenizer_path(tokenizer)), OpenWindows(size, most)
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, keep_held=True):
             counts, ids = coder.encode(texts)
             first = starts_of(counts)
             for key, begin, n in zip(batch.column("doc_id").to_pylist(), first.tolist(), counts.tolist(), strict=True):

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from postlens.llm.common import ragged, starts_of
+from postlens.llm.common import HELD, ragged, starts_of
 
 CHUNK = re.compile(r"\s*\S+|\s+")
 # A letter or digit before a full stop or comma ends a pre-token in both vocabularies, as does any character before a
@@ -29,7 +29,7 @@ CUT = re.compile(r"(?<=[^ ]) (?= *[^ ])")
 # Pieces with white space at an end, none at all, or control characters that the libraries take differently.
 _SPACE = r"[\s\x0b\x1c-\x1e\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ODD_EDGE = rf"\A\z|\A{_SPACE}|{_SPACE}\z"
-MOST_PIECES = 1_000_000
+MOST_PIECES = 700_000
 
 
 class PieceCache:
@@ -204,6 +204,9 @@ def piece_tokenizer(path: str) -> PieceTokenizer:
     return PieceTokenizer(path)
 
 
+HELD += [json_tokenizer.cache_clear, piece_tokenizer.cache_clear]
+
+
 def tokenizer_path(name: str) -> str:
     """Where the worker at hand has a public tokenizer's file."""
     import public_tokenizers

@@ -146,11 +146,11 @@ def blocks_in(content: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np.n
         yield shard, place, [None if x else k for k, x in zip(keys.tolist(), null, strict=True)], counts.astype(np.int64), decode(coded, first.astype(np.int64), n)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, shards: int | None = None, block_ids: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, shards: int | None = None, block_ids: int = 1 << 20, file_blocks: int = 16) -> None:
     """Writes the ids of every whole text, each with `end_id` after it, in ascending doc_id order over shards and blocks.
 
-    Shards are ranges of doc_id (ties: of a hash of the text), so their number follows the input and a hot doc_id does
-    not make a hot shard. Null and empty texts are `end_id` alone; a null doc_id comes first; rows that repeat are
+    Shards are ranges of doc_id (ties: of a hash of the text), so a hot doc_id does not make a hot shard; a shard's
+    files have at most `file_blocks` blocks each, whatever the number of shards. Null and empty texts are `end_id` alone; a null doc_id comes first; rows that repeat are
     written each; other columns are not read. An empty table writes no blocks."""
     spark = docs.sparkSession
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
             body = block_bytes(shard, place, keys, np.concatenate(counts), np.concatenate(parts))
             return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["block"])
 
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, keep_held=True):
             n, ids = coder.encode(texts)
             keys += batch.column("doc_id").to_pylist()
             counts.append(n + 1)
@@ -180,7 +180,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
 
     ranged = docs.select("doc_id", "text", tie.alias("tie")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     # The text writer puts a value's bytes into the file as they are, and commits a task's file as a whole.
-    ranged.select("doc_id", "text").mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    ranged.select("doc_id", "text").mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_blocks).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = piece_tokenizer(tokenizer_path(tokenizer))
-        for batch, texts in text_slices(batches, limit=batch_bytes):
+        for batch, texts in text_slices(batches, limit=batch_bytes, keep_held=True):
             n = counter.count(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(text_bytes(texts)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]

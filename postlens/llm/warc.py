@@ -97,7 +97,8 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     segments of at most `segment_bytes`, and a file has at most `records_per_file` records."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html")).withColumn("sha", F.sha1("html"))
-    copies = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sums = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    copies = materialise(sums.where("n > 1").drop("n"))  # a join of two plain shuffles, which splits a payload of very many pages
     rows = rows.join(copies, "sha", "left").select("page_id", "url", "html", "first")
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
