@@ -3,10 +3,12 @@ hash-joined, and what fills the placeholders must agree. DataFrame functions onl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE, LEAST_WORDS, LEAST_PERCENT = 8, 4, 4, 50
+WINDOW, LEAST_WORDS, LEAST_PERCENT = 8, 4, 50
 # Units that count as such behind a number.
 UNITS = (
     "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles",
@@ -36,45 +38,61 @@ def template(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def _windows(rows: DataFrame, keys: list[str], width: Column, stride: Column) -> DataFrame:
-    """keys, at, hash, raw: a window of `width` words at every `stride` words, from text."""
-    words = rows.select(*keys, width.alias("_width"), stride.alias("_stride"), tokens(F.col("text")).alias("_words"))
-    both = words.where(F.size("_words") >= F.col("_width")).withColumn("_template", template(F.col("_words")))
-    places = F.sequence(F.lit(0), F.size("_template") - F.col("_width"), F.col("_stride"))
-    window = F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("_template", i + 1, F.col("_width"))).alias("hash"), F.slice("_words", i + 1, F.col("_width")).alias("raw")))
-    # size() of both arrays in this select keeps them columns of their own: they are not built again for each window.
-    exploded = both.select(*keys, F.size("_words").alias("words"), F.explode(window).alias("w"))
-    return exploded.select(*keys, "words", "w.at", "w.hash", "w.raw")
+def _tokenised(rows: DataFrame, key: str) -> DataFrame:
+    """key, _words, _codes: the words of each text and a hash of each word's template."""
+    words = rows.where(F.col(key).isNotNull()).select(key, tokens(F.col("text")).alias("_words"))
+    return words.withColumn("_codes", F.transform(template(F.col("_words")), lambda w: F.xxhash64(w)))
+
+
+def _at_every_word(width: int, one: Callable[[Column], Column], kind: str) -> Column:
+    """Array of one(i) for each word i at which a window begins."""
+    # size() beside the use of the array in a lambda keeps it a column of its own: it is not built again for each window.
+    last = F.size("_codes") - width
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast(f"array<{kind}>"))
+
 
+def _hash(width: int) -> Callable[[Column], Column]:
+    return lambda i: F.xxhash64(F.slice("_codes", i + 1, width))
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, least_words: int = LEAST_WORDS, least_percent: int = LEAST_PERCENT) -> DataFrame:
+
+def _windows(words: DataFrame, key: str, width: int) -> DataFrame:
+    """key, words, at, hash, raw: a window of `width` words at every word."""
+    window = _at_every_word(width, lambda i: F.struct(i.alias("at"), _hash(width)(i).alias("hash"), F.slice("_words", i + 1, width).alias("raw")), "struct<at:int,hash:bigint,raw:array<string>>")
+    return words.select(key, F.size("_words").alias("words"), F.explode_outer(window).alias("w")).where("w IS NOT NULL").select(key, "words", "w.at", "w.hash", "w.raw")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """doc_id, item_id, item_words, covered, reparameterised: benchmark items of which a document has at least
     `least_percent` percent, as text or with other numbers, names and units.
 
-    Windows of `window` words lie at every word of an item and at every `stride` words of a document: a run of at least
-    window + stride - 1 words that both have is found wherever it lies. Hits of a document and an item that have the same
+    Windows of `window` words lie at every word of items and documents: a run of at least `window` words that both have is
+    found and covered whole wherever it lies. Hits of a document and an item that have the same
     shift belong together; within a shift each filler of the item must stand for one filler of the document, each word
     that is no placeholder must be equal, and a window needs more words than placeholders. Items shorter than a window are matched
     whole, against every place of a document; those of under `least_words` words match nothing. covered counts words
     of the item in hits, overlaps once; reparameterised is true if a filler differs.
 
     Null and empty texts and null ids match nothing. Repeated rows of a document count once. Other columns are not read.
-    Empty tables give no rows. Hits are joined by hash; the benchmark's windows are broadcast only where Spark finds
-    them small."""
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
-    sized = items.select("item_id", F.size(tokens(F.col("text"))).alias("n"))
-    short = [r.n for r in sized.where(f"n >= {least_words} AND n < {window}").select("n").distinct().collect()]  # at most window - least_words
-    found = None
+    Empty tables give no rows. Each document's distinct hashes are joined first, so that words of windows are built for
+    documents with a hit only. The benchmark's windows are broadcast only where Spark finds them small."""
+    items = _tokenised(benchmark, "item_id")
+    n = F.size("_words")
+    short = [r.n for r in items.select(n.alias("n")).where(f"n >= {least_words} AND n < {window}").distinct().collect()]  # at most window - least_words
+    ours = None
     for width in [window, *sorted(short)]:
-        fit = items
-        if width < window:
-            fit = items.join(sized.where(f"n = {width}").select("item_id"), "item_id", "left_semi")
-        ours = _windows(fit, ["item_id"], F.lit(width), F.lit(1)).select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("raw").alias("item_raw"))
+        of_width = _windows(items.where(n == width if width < window else n >= width), "item_id", width)
+        of_width = of_width.select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("raw").alias("item_raw"), F.lit(width).alias("width"))
         held = F.size(F.filter("item_raw", lambda w: ~_filler(w)))
-        ours = ours.where(2 * held > width)
-        theirs = _windows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), ["doc_id"], F.lit(width), F.lit(stride if width == window else 1))
-        hits = theirs.join(ours, "hash").select("doc_id", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_raw").alias("i"), F.col("raw").alias("d")).alias("pairs"), F.lit(width).alias("width"))
-        found = hits if found is None else found.unionByName(hits)
+        of_width = of_width.where(2 * held > width)
+        ours = of_width if ours is None else ours.unionByName(of_width)
+    seen = F.array_distinct(F.concat(*(_at_every_word(width, _hash(width), "bigint") for width in [window, *sorted(short)])))
+    near = _tokenised(docs, "doc_id").select("doc_id", F.explode_outer(seen).alias("hash")).join(ours.select("hash"), "hash", "left_semi").select("doc_id").distinct()
+    close = _tokenised(docs.select("doc_id", "text").join(near, "doc_id", "left_semi"), "doc_id")
+    theirs = None
+    for width in [window, *sorted(short)]:
+        of_width = _windows(close, "doc_id", width).select("doc_id", "at", "hash", "raw", F.lit(width).alias("width"))
+        theirs = of_width if theirs is None else theirs.unionByName(of_width)
+    found = theirs.join(ours, ["hash", "width"]).select("doc_id", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_raw").alias("i"), F.col("raw").alias("d")).alias("pairs"), "width")
     # A hash alone is no proof: words that are no placeholders must be equal, fillers of one kind.
     sound = F.forall("pairs", lambda p: F.when(_filler(p["i"]), _kind(p["i"]) == _kind(p["d"])).otherwise(p["i"] == p["d"]))
     fillers = F.filter("pairs", lambda p: _filler(p["i"]))

@@ -87,3 +87,12 @@ def test_documents(spark, sf_dir):
 def test_no_python_in_plan(spark, sf_dir):
     leaks = dec.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     assert "Python" not in leaks._jdf.queryExecution().toString() and "Arrow" not in leaks._jdf.queryExecution().toString()
+
+
+def test_short_and_partial_runs_at_every_offset(spark):
+    nine = "seven green boats drift slowly past our old mill"
+    long = "a quiet stream turns west below the broken bridge where four herons stand and wait for evening rain"
+    half = " ".join(long.split()[3:12])  # 9 of 18 words
+    d = spark.createDataFrame([(10 * k + j, "zz " * k + t + " yy") for k in range(4) for j, t in enumerate((nine, half))], "doc_id long, text string")
+    rows = dec.leaks(d, spark.createDataFrame([(1, nine), (2, long)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.covered) for r in rows} == {(10 * k + j, j + 1, 9) for k in range(4) for j in range(2)}
