@@ -18,12 +18,15 @@ UNITS = (
     "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "mph", "kmh", "degrees",
 )
 NAME, UNIT, NUMBER = "\x01", "\x02", "<number>"
+CODES = ("_template", "_caseless", "_plain")
+SPACE = r"[\x01\x02\s\x1c-\x1f\x85\p{Z}]"
 
 
 def tokens(text: Column) -> Column:
     """Words and numbers of a text, in lower case and without punctuation. A name is marked with a leading NAME, a unit with
     a leading UNIT. A name is a capitalised word after a lower-case letter, digit, comma or bracket and one space."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01\x02]", " ")
+    # Runs of white space, and white space other than a space, count as one space; so do the marks.
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"{SPACE[:-1]}]{{2,}}|{SPACE[:-1]}&&[^ ]]", " ")
     marked = F.regexp_replace(marked, r"(?<=[\p{Ll}\p{N},;:)] )(\p{Lu}\p{Ll})", NAME + "$1")
     marked = F.regexp_replace(marked, rf"(?<=\p{{N}} |\p{{N}})({'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", UNIT + "$1")
     return F.regexp_extract_all(F.lower(marked), F.lit(r"\p{N}+(?:[.,]\p{N}+)*|[\x01\x02]?[\p{L}\p{M}]+"), 0)
@@ -39,26 +42,34 @@ def template(words: Column) -> Column:
 
 
 def _tokenised(rows: DataFrame, key: str) -> DataFrame:
-    """key, _words, _codes: the words of each text and a hash of each word's template."""
+    """key, _words, _template, _caseless, _plain: the words of each text; hashes of each word's template, of the word where it
+    is no number, and of the word."""
     words = rows.where(F.col(key).isNotNull()).select(key, tokens(F.col("text")).alias("_words"))
-    return words.withColumn("_codes", F.transform(template(F.col("_words")), lambda w: F.xxhash64(w)))
+    caseless = F.transform("_words", lambda w: F.xxhash64(F.when(w.rlike(r"^\p{N}"), NUMBER).otherwise(_bare(w))))
+    return words.withColumns({"_caseless": caseless, "_template": F.transform(template(F.col("_words")), lambda w: F.xxhash64(w)), "_plain": F.transform("_words", lambda w: F.xxhash64(_bare(w)))})
 
 
 def _at_every_word(width: int, one: Callable[[Column], Column], kind: str) -> Column:
     """Array of one(i) for each word i at which a window begins."""
-    # size() beside the use of the array in a lambda keeps it a column of its own: it is not built again for each window.
-    last = F.size("_codes") - width
+    # size() beside the use of the arrays in a lambda keeps them columns of their own: they are not built again for each window.
+    last = F.least(F.size("_template"), F.size("_caseless"), F.size("_plain")) - width
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
-def _hash(width: int) -> Callable[[Column], Column]:
-    return lambda i: F.xxhash64(F.slice("_codes", i + 1, width))
+def _hash(codes: str, width: int) -> Callable[[Column], Column]:
+    return lambda i: F.xxhash64(F.slice(codes, i + 1, width))
 
 
 def _windows(words: DataFrame, key: str, width: int) -> DataFrame:
-    """key, words, at, hash, raw: a window of `width` words at every word."""
-    window = _at_every_word(width, lambda i: F.struct(i.alias("at"), _hash(width)(i).alias("hash"), F.slice("_words", i + 1, width).alias("raw")), "struct<at:int,hash:bigint,raw:array<string>>")
-    return words.select(key, F.size("_words").alias("words"), F.explode_outer(window).alias("w")).where("w IS NOT NULL").select(key, "words", "w.at", "w.hash", "w.raw")
+    """key, words, at, template, caseless, plain, raw: a window of `width` words at every word, with its three hashes."""
+    window = _at_every_word(width, lambda i: F.struct(i.alias("at"), *(_hash(c, width)(i).alias(c[1:]) for c in CODES), F.slice("_words", i + 1, width).alias("raw")), f"struct<at:int,{','.join(f'{c[1:]}:bigint' for c in CODES)},raw:array<string>>")
+    return words.select(key, F.size("_words").alias("words"), F.explode_outer(window).alias("w")).where("w IS NOT NULL").select(key, "words", "w.*")
+
+
+def _hashed(windows: DataFrame, *hashes: Column) -> DataFrame:
+    """Each window once for each of its different hashes that are not null."""
+    each = F.array_distinct(F.filter(F.array(*hashes), lambda h: h.isNotNull()))
+    return windows.withColumn("hash", F.explode(each)).drop(*(c[1:] for c in CODES))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, least_percent: int = LEAST_PERCENT) -> DataFrame:
@@ -68,7 +79,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_wor
     Windows of `window` words lie at every word of items and documents: a run of at least `window` words that both have is
     found and covered whole wherever it lies. Hits of a document and an item that have the same
     shift belong together; within a shift each filler of the item must stand for one filler of the document, each word
-    that is no placeholder must be equal, and a window needs more words than placeholders. Items shorter than a window are matched
+    that is no placeholder must be equal, and a window needs more words than placeholders. Windows also meet by their words,
+    and by their words but for numbers: equal words are equal whatever marks they have, so a copy counts in any case, setting
+    and line breaks. Items shorter than a window are matched
     whole, against every place of a document; those of under `least_words` words match nothing. covered counts words
     of the item in hits, overlaps once; reparameterised is true if a filler differs.
 
@@ -81,32 +94,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_wor
     ours = None
     for width in [window, *sorted(short)]:
         of_width = _windows(items.where(n == width if width < window else n >= width), "item_id", width)
-        of_width = of_width.select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("raw").alias("item_raw"), F.lit(width).alias("width"))
-        held = F.size(F.filter("item_raw", lambda w: ~_filler(w)))
+        held = F.size(F.filter("raw", lambda w: ~_filler(w)))
         of_width = of_width.where(2 * held > width)
+        # What stands before an item may mark its first word as a name or unit.
+        marked = [F.when(F.col("at") == 0, F.xxhash64(F.concat(F.array(F.xxhash64(F.lit(mark))), F.transform(template(F.slice("raw", 2, width - 1)), lambda w: F.xxhash64(w))))) for mark in (NAME, UNIT)]
+        of_width = _hashed(of_width, *(F.col(c[1:]) for c in CODES), *marked)
+        of_width = of_width.select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("raw").alias("item_raw"), F.lit(width).alias("width"))
         ours = of_width if ours is None else ours.unionByName(of_width)
-    seen = F.array_distinct(F.concat(*(_at_every_word(width, _hash(width), "bigint") for width in [window, *sorted(short)])))
+    seen = F.array_distinct(F.concat(*(_at_every_word(width, _hash(codes, width), "bigint") for width in [window, *sorted(short)] for codes in CODES)))
     near = _tokenised(docs, "doc_id").select("doc_id", F.explode_outer(seen).alias("hash")).join(ours.select("hash"), "hash", "left_semi").select("doc_id").distinct()
     close = _tokenised(docs.select("doc_id", "text").join(near, "doc_id", "left_semi"), "doc_id")
     theirs = None
     for width in [window, *sorted(short)]:
-        of_width = _windows(close, "doc_id", width).select("doc_id", "at", "hash", "raw", F.lit(width).alias("width"))
+        of_width = _hashed(_windows(close, "doc_id", width), *(F.col(c[1:]) for c in CODES)).select("doc_id", "at", "hash", "raw", F.lit(width).alias("width"))
         theirs = of_width if theirs is None else theirs.unionByName(of_width)
     found = theirs.join(ours, ["hash", "width"]).select("doc_id", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_raw").alias("i"), F.col("raw").alias("d")).alias("pairs"), "width")
-    # A hash alone is no proof: words that are no placeholders must be equal, fillers of one kind.
-    sound = F.forall("pairs", lambda p: F.when(_filler(p["i"]), _kind(p["i"]) == _kind(p["d"])).otherwise(p["i"] == p["d"]))
-    fillers = F.filter("pairs", lambda p: _filler(p["i"]))
+    # A hash alone is no proof: words must be equal but for their marks, or fillers of one kind.
+    sound = F.forall("pairs", lambda p: (_bare(p["i"]) == _bare(p["d"])) | (_filler(p["i"]) & F.coalesce(_kind(p["i"]) == _kind(p["d"]), F.lit(False))))
+    fillers = F.transform(F.filter("pairs", lambda p: _filler(p["i"])), lambda p: F.struct(p["i"].alias("i"), _bare(p["d"]).alias("d")))
     by_shift = found.where(sound).select("doc_id", "item_id", "item_words", "shift", "item_at", "width", fillers.alias("fillers"))
     # One shift has at most one hit for each place of the item: the group is bounded by the item.
     shifts = by_shift.groupBy("doc_id", "item_id", "item_words", "shift", "width").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("fillers"))).alias("fillers"))
     agree = F.size(F.array_distinct(F.transform("fillers", lambda p: p["i"]))) == F.size("fillers")
     cells = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("width") - 1))))
-    shifts = shifts.where(agree).select("doc_id", "item_id", "item_words", cells.alias("cells"), F.exists("fillers", lambda p: p["i"] != p["d"]).alias("changed"))
+    shifts = shifts.where(agree).select("doc_id", "item_id", "item_words", cells.alias("cells"), F.exists("fillers", lambda p: _bare(p["i"]) != p["d"]).alias("changed"))
     whole = shifts.groupBy("doc_id", "item_id", "item_words").agg(F.size(F.array_distinct(F.flatten(F.collect_set("cells")))).cast("long").alias("covered"), F.max("changed").alias("reparameterised"))
     enough = 100 * F.col("covered") >= least_percent * F.col("item_words")
     return whole.where(enough).select("doc_id", "item_id", F.col("item_words").cast("long").alias("item_words"), "covered", "reparameterised")
 
 
+def _bare(w: Column) -> Column:
+    return F.translate(w, NAME + UNIT, "")
+
+
 def _filler(w: Column) -> Column:
     return w.rlike(r"^[\x01\x02\p{N}]")
 

@@ -96,3 +96,14 @@ def test_short_and_partial_runs_at_every_offset(spark):
     d = spark.createDataFrame([(10 * k + j, "zz " * k + t + " yy") for k in range(4) for j, t in enumerate((nine, half))], "doc_id long, text string")
     rows = dec.leaks(d, spark.createDataFrame([(1, nine), (2, long)], "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.covered) for r in rows} == {(10 * k + j, j + 1, 9) for k in range(4) for j in range(2)}
+
+
+def test_copies_in_another_setting_case_or_wrapping(spark):
+    capital = "What is the capital of France?"
+    items = spark.createDataFrame([(1, ITEM), (2, capital)], "item_id long, text string")
+    docs = [(1, ITEM.upper()), (2, ITEM.lower()), (3, ITEM.replace(" ", "\n ").replace("fast", "fast,")), (4, OTHER.replace(" ", " \r\n")), (5, INCONSISTENT)]
+    docs += [(10 + i, before + capital) for i, before in enumerate(("", "Question: ", "1) ", "well, ", "he asks ", "QUESTION\n"))]
+    docs += [(20, "Question: " + capital.replace("France", "Spain")), (21, "Question: " + capital.replace("What", "Where")), (22, capital.upper()), (23, ITEM.lower().replace(" 9 ", " 11 ").replace("120", "300"))]
+    got = {(r.doc_id, r.item_id): (r.covered, r.reparameterised) for r in dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    n = len(ITEM.split())
+    assert got == {(1, 1): (n, False), (2, 1): (n, False), (3, 1): (n, False), (4, 1): (n, True), (20, 2): (6, True), (22, 2): (6, False), (23, 1): (n, True)} | {(10 + i, 2): (6, False) for i in range(6)}
