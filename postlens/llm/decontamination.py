@@ -79,7 +79,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_wor
     Windows of `window` words lie at every word of items and documents: a run of at least `window` words that both have is
     found and covered whole wherever it lies. Hits of a document and an item that have the same
     shift belong together; within a shift each filler of the item must stand for one filler of the document, each word
-    that is no placeholder must be equal, and a window needs more words than placeholders. Windows also meet by their words,
+    that is no placeholder must be equal, and a window with other fillers needs more words than placeholders. Windows also meet by their words,
     and by their words but for numbers: equal words are equal whatever marks they have, so a copy counts in any case, setting
     and line breaks. Items shorter than a window are matched
     whole, against every place of a document; those of under `least_words` words match nothing. covered counts words
@@ -94,12 +94,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_wor
     ours = None
     for width in [window, *sorted(short)]:
         of_width = _windows(items.where(n == width if width < window else n >= width), "item_id", width)
-        held = F.size(F.filter("raw", lambda w: ~_filler(w)))
-        of_width = of_width.where(2 * held > width)
+        of_width = of_width.withColumn("rich", 2 * F.size(F.filter("raw", _filler)) >= width)
         # What stands before an item may mark its first word as a name or unit.
         marked = [F.when(F.col("at") == 0, F.xxhash64(F.concat(F.array(F.xxhash64(F.lit(mark))), F.transform(template(F.slice("raw", 2, width - 1)), lambda w: F.xxhash64(w))))) for mark in (NAME, UNIT)]
-        of_width = _hashed(of_width, *(F.col(c[1:]) for c in CODES), *marked)
-        of_width = of_width.select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("raw").alias("item_raw"), F.lit(width).alias("width"))
+        # Windows of placeholders would meet nearly everything by template: they meet by their words only.
+        of_width = _hashed(of_width, F.col("plain"), *(F.when(~F.col("rich"), h) for h in (F.col("template"), F.col("caseless"), *marked)))
+        of_width = of_width.select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("raw").alias("item_raw"), "rich", F.lit(width).alias("width"))
         ours = of_width if ours is None else ours.unionByName(of_width)
     seen = F.array_distinct(F.concat(*(_at_every_word(width, _hash(codes, width), "bigint") for width in [window, *sorted(short)] for codes in CODES)))
     near = _tokenised(docs, "doc_id").select("doc_id", F.explode_outer(seen).alias("hash")).join(ours.select("hash"), "hash", "left_semi").select("doc_id").distinct()
@@ -108,9 +108,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_wor
     for width in [window, *sorted(short)]:
         of_width = _hashed(_windows(close, "doc_id", width), *(F.col(c[1:]) for c in CODES)).select("doc_id", "at", "hash", "raw", F.lit(width).alias("width"))
         theirs = of_width if theirs is None else theirs.unionByName(of_width)
-    found = theirs.join(ours, ["hash", "width"]).select("doc_id", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_raw").alias("i"), F.col("raw").alias("d")).alias("pairs"), "width")
+    found = theirs.join(ours, ["hash", "width"]).select("doc_id", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_raw").alias("i"), F.col("raw").alias("d")).alias("pairs"), "rich", "width")
     # A hash alone is no proof: words must be equal but for their marks, or fillers of one kind.
-    sound = F.forall("pairs", lambda p: (_bare(p["i"]) == _bare(p["d"])) | (_filler(p["i"]) & F.coalesce(_kind(p["i"]) == _kind(p["d"]), F.lit(False))))
+    sound = F.forall("pairs", lambda p: (_bare(p["i"]) == _bare(p["d"])) | (~F.col("rich") & _filler(p["i"]) & F.coalesce(_kind(p["i"]) == _kind(p["d"]), F.lit(False))))
     fillers = F.transform(F.filter("pairs", lambda p: _filler(p["i"])), lambda p: F.struct(p["i"].alias("i"), _bare(p["d"]).alias("d")))
     by_shift = found.where(sound).select("doc_id", "item_id", "item_words", "shift", "item_at", "width", fillers.alias("fillers"))
     # One shift has at most one hit for each place of the item: the group is bounded by the item.

@@ -107,3 +107,13 @@ def test_copies_in_another_setting_case_or_wrapping(spark):
     got = {(r.doc_id, r.item_id): (r.covered, r.reparameterised) for r in dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     n = len(ITEM.split())
     assert got == {(1, 1): (n, False), (2, 1): (n, False), (3, 1): (n, False), (4, 1): (n, True), (20, 2): (6, True), (22, 2): (6, False), (23, 1): (n, True)} | {(10 + i, 2): (6, False) for i in range(6)}
+
+
+def test_copies_of_items_full_of_placeholders(spark):
+    sums = "Compute 12 + 7 * 3 - 4 / 2 + 9 * 6."
+    train = "If the trains of Anna, Boris, Carla, Doris and Emil leave at 9, Anna drives 120 km, Boris drives 80 miles and Carla 60, who of Anna and Boris is first?"
+    items = spark.createDataFrame([(1, sums), (2, train), (3, "1 2 3 4 5")], "item_id long, text string")
+    docs = [(1, "so: " + sums + " Then"), (2, "x " + train + " y"), (3, "Compute 13 + 8 * 4 - 5 / 3 + 8 * 7."), (4, "5 4 3 2 1 9 8 7 6"), (5, "0 1 2 3 4 5 6")]
+    got = {(r.doc_id, r.item_id): (r.covered, r.item_words, r.reparameterised) for r in dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    n = len(plain_tokens(train))
+    assert got == {(1, 1): (8, 8, False), (2, 2): (n, n, False), (5, 3): (5, 5, False)}
