@@ -10,12 +10,27 @@ from postlens.llm.common import shared_path, table
 from postlens.session import ship_package
 
 
+# How far below the labelled documents' mean a text's log probability may lie: in deviations of documents, and of a mean
+# of as many n-grams as the text has (three orders over the same letters count as one).
+DEVIATIONS, OF_GRAMS = 12, 4
+
+
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language. The model learns from the documents' own labels; those without a letter go."""
+    """Documents with a letter whose n-grams are not far less likely than those of all labelled documents.
+
+    The model learns from the documents' own labels; so do mean and deviation of the log probability of an n-gram, by
+    language. Short texts may deviate more, as means of few n-grams do. Without labels all lettered documents stay."""
     ship_package(spark)
     model = language_id.fit(docs)
-    named = language_id.predict(docs, model)
-    return named.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    named = language_id.predict(docs, model, per_gram=True).where("_grams > 0")
+    kept = F.lit(True)
+    if model.languages:
+        typical = named.where("lang IS NOT NULL").groupBy("lang_pred").agg(F.avg("_log_gram").alias("mean"), F.stddev_pop("_log_gram").alias("sd")).collect()
+        spread = dict(zip(model.languages, language_id.gram_deviation(model).tolist(), strict=True))
+        for r in typical:
+            room = DEVIATIONS * r["sd"] + OF_GRAMS * spread[r["lang_pred"]] * F.sqrt(len(language_id.ORDERS) / F.col("_grams"))
+            kept = F.when(F.col("lang_pred") == r["lang_pred"], F.col("_log_gram") >= r["mean"] - room).otherwise(kept)
+    return named.where(kept).select(*docs.columns)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

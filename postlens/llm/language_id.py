@@ -124,30 +124,48 @@ def log_scores(texts: pa.Array, model: Model, buckets: int, orders: tuple[int, .
     return scores, lettered
 
 
-def predict(docs: DataFrame, model: Model, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+def predict(docs: DataFrame, model: Model, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, per_gram: bool = False) -> DataFrame:
     """docs with lang_pred and score, the posterior probability of the predicted language; only text is read for them.
 
     Null texts and texts without a letter are UNKNOWN with score 0, as is all text under a model of no languages. Equal
     scores go to the first language in order. Columns named lang_pred or score are replaced. Rows that repeat are
-    scored each; an empty table gives no rows."""
+    scored each; an empty table gives no rows.
+
+    per_gram adds _grams, the number of a text's n-grams, and _log_gram, the mean log probability of one under the
+    predicted language (null without n-grams or languages)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
     schema = docs.schema
     columns = docs.columns
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if per_gram:
+        added += [T.StructField("_grams", T.LongType()), T.StructField("_log_gram", T.DoubleType())]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch, texts in text_slices(batches, limit=1 << 20):
             best, sure = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            n, mean = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, np.nan)
+            if per_gram:
+                n = np.bincount(grams(texts, buckets, orders)[0], minlength=batch.num_rows)
             if known.languages:
                 scores, lettered = log_scores(texts, known, buckets, orders)
                 top = scores.argmax(axis=1)
                 posterior = 1 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
                 best = [known.languages[t] if x else UNKNOWN for t, x in zip(top.tolist(), lettered.tolist(), strict=True)]
                 sure = np.where(lettered, posterior, 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(best, pa.string()), pa.array(sure)], names=[*columns, "lang_pred", "score"])
+                mean = np.where(n > 0, (scores.max(axis=1) - known.prior[top]) / np.maximum(n, 1), np.nan)
+            out = [pa.array(best, pa.string()), pa.array(sure), pa.array(n, pa.int64()), pa.array(mean, from_pandas=True)][: len(added)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *out], names=[*columns, *(f.name for f in added)])
+
+    return docs.mapInArrow(score, T.StructType([*schema.fields, *added]))
+
 
-    return docs.mapInArrow(score, T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+def gram_deviation(model: Model) -> np.ndarray:
+    """By language: the standard deviation of the log probability of an n-gram."""
+    w = model.weights.astype(np.float64)
+    p = np.exp(w)
+    return np.sqrt(np.maximum((p * w * w).sum(axis=0) - (p * w).sum(axis=0) ** 2, 0))
 
 
 def held_out():

@@ -1,7 +1,10 @@
 """The pipeline against plain versions of its stages, each on what its predecessor kept."""
 
+import random
+
 import corpus_pipeline as pipeline
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import texts_of
 from tests.llm.test_near_dup import plain as plain_near
 from tests.llm.test_text_models import plain_counts
@@ -50,3 +53,16 @@ def test_odd_rows_pass_through_every_stage(spark, sf_dir, odd_docs, no_docs):
     for _, stage in pipeline.STAGES[:-1]:
         kept = stage(spark, kept, sf_dir)
     assert 400 in {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_language_stage_rejects_by_its_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dice = random.Random(1)
+    noise = [(-1 - i, "".join(dice.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)), None, None, n) for i, n in enumerate((200, 1000, 3000))]
+    noise += [(-10, "Κάθε άνθρωπος γεννιέται ελεύθερος και ίσος στην αξιοπρέπεια και τα δικαιώματα", None, None, 1), (-11, "12 34", None, None, 1)]
+    words = docs.where("doc_id < 20").select((F.col("doc_id") + 10_000).alias("doc_id"), F.substring("text", 1, 80).alias("text"), F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    mixed = docs.unionByName(spark.createDataFrame(noise, docs.schema)).unionByName(words)
+    kept = {r.doc_id for r in pipeline.with_language(spark, mixed, sf_dir).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in mixed.where("doc_id >= 0").select("doc_id").collect()}
+    unlabelled = mixed.withColumn("lang", F.lit(None).cast("string"))
+    assert pipeline.with_language(spark, unlabelled, sf_dir).count() == mixed.count() - 1
