@@ -81,6 +81,18 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
     return owner, codes, distinct
 
 
+# What a term is made of: ASCII letters (lower-cased) and digits, and every character beyond ASCII; all else parts terms.
+_TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
+
+
+def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As words, for maximal runs of term characters; `texts` are large strings without nulls."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = bytes(memoryview(data)[ends[0] : ends[-1]]).translate(_TERM_BYTES) if data is not None else b""
+    return words(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(held)))
+
+
 def hash_words(distinct: pa.Array) -> np.ndarray:
     """64-bit hashes of distinct words, the same in every process."""
     return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in distinct.to_pylist()), np.uint64, len(distinct))
@@ -95,6 +107,12 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by one sort."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def starts_of(counts: np.ndarray) -> np.ndarray:
     """Offsets before each group."""
     return np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)

@@ -16,6 +16,7 @@ from postlens.llm import (
     quality_cascade,
     token_binary,
     token_counts,
+    toxicity,
     warc,
 )
 from postlens.llm.common import table
@@ -48,3 +49,4 @@ register("op7_quality_cascade", quality_cascade.measure_documents, sql=quality_c
 register("op8_near_dup", lambda docs: near_dup.near_duplicates(docs, near_dup.Setting(width=2)), sql=near_dup.SQL)
 register("op9_lm_scoring", lm_scoring.scored_documents)
 register("op10_language_id", language_id.language_of_documents)
+register("op13_toxicity", toxicity.toxicity_of_documents, "documents", "labels")
