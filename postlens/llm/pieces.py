@@ -20,9 +20,20 @@ import pyarrow.compute as pc
 from postlens.llm.common import HELD, ragged, starts_of
 
 CHUNK = re.compile(r"\s*\S+|\s+")
+
+
+def _stop_letters() -> str:
+    """Digits and letters below U+0250 as a pattern's class, without those that lower-casing turns into several characters
+    (a dotted capital I gets a mark, which then joins what follows)."""
+    points = [c for c in range(0x250) if chr(c).isalnum() and (c < 0x80 or c >= 0xC0) and len(chr(c).lower()) == 1]
+    breaks = [i for i in range(1, len(points)) if points[i] != points[i - 1] + 1]
+    runs = zip([0, *breaks], [*breaks, len(points)], strict=True)
+    return "".join(rf"\x{{{points[a]:x}}}-\x{{{points[b - 1]:x}}}" for a, b in runs)
+
+
 # A letter or digit before a full stop or comma ends a pre-token in both vocabularies, as does any character before a
 # line end. The mark says that no space was there.
-STOP = (r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,])", "\\1 \x1f\\2")
+STOP = (rf"([{_stop_letters()}])([.,])", "\\1 \x1f\\2")
 LINE = (r"([^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])\n", "\\1 \x1f\n")
 ODD = re.compile("[\x1c-\x1f\x85]")
 CUT = re.compile(r"(?<=[^ ]) (?= *[^ ])")
@@ -33,10 +44,13 @@ MOST_PIECES = 700_000
 
 
 class PieceCache:
-    """Ids of pieces, kept flat. `encode` gives the ids of a list of pieces."""
+    """Ids of pieces, kept flat. `encode` gives the ids of a list of pieces.
+
+    At most `most` pieces (MOST_PIECES if None), but for those of one call, in two generations: when the new one is half of
+    that, it becomes the old one, whose pieces move to the new one as they are met again."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most: int | None = None):
+        self.encode, self.most, self.old = encode, most, None
         self.clear()
 
     def clear(self):
@@ -51,29 +65,41 @@ class PieceCache:
         found = list(map(self.place.get, pieces))
         missing = list(dict.fromkeys(p for p, at in zip(pieces, found, strict=True) if at is None))
         if missing:
-            if self.place and len(self.place) + len(missing) > MOST_PIECES:
+            if self.place and 2 * (len(self.place) + len(missing)) > (self.most or MOST_PIECES):
+                self.old = self.place, self.flat, self.start, self.length
                 self.clear()
                 missing = list(dict.fromkeys(pieces))
-            self._add(missing)
+            self._move(missing)
+            self._add([p for p in missing if p not in self.place])
             found = list(map(self.place.get, pieces))
         return np.array(found, np.int64)
 
+    def _move(self, pieces: list[str]):
+        if self.old:
+            place, flat, start, length = self.old
+            known = [p for p in pieces if p in place]
+            at = np.array([place[p] for p in known], np.int64)
+            self._store(known, length[at], flat[ragged(start[at], length[at])])
+
     def _add(self, missing: list[str]):
         gc.disable()  # many small lists live for a moment only
         rows = self.encode(missing)
         gc.enable()
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        n, total = len(self.place), int(lengths.sum())
+        self._store(missing, lengths, np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum())))
+
+    def _store(self, pieces: list[str], lengths: np.ndarray, ids: np.ndarray):
+        n, total = len(self.place), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(rows) > len(self.start):
+        while n + len(pieces) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(rows), np.uint32, total)
-        self.start[n : n + len(rows)] = self.used + starts_of(lengths)
-        self.length[n : n + len(rows)] = lengths
+        self.flat[self.used : self.used + total] = ids
+        self.start[n : n + len(pieces)] = self.used + starts_of(lengths)
+        self.length[n : n + len(pieces)] = lengths
         self.used += total
-        self.place.update(zip(missing, range(n, n + len(rows)), strict=True))
+        self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def text_places(self, texts: pa.Array, spaced: bool, odd: str, split, folded: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each text: their number per text, and the place of every piece.
@@ -187,8 +213,14 @@ class PieceTokenizer:
             return []
         return CUT.split(text) if self.safe and "▁" not in text else [text]
 
+    def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.cache.text_places(texts, False, r"\A\z|▁" if self.safe else "", self._split)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.cache.ids(*self._places(texts))
+
     def count(self, texts: pa.Array) -> np.ndarray:
-        number, place = self.cache.text_places(texts, False, r"\A\z|▁" if self.safe else "", self._split)
+        number, place = self._places(texts)
         ends = np.concatenate([[0], np.cumsum(self.cache.length[place])])
         return np.diff(ends[np.concatenate([[0], np.cumsum(number)])])
 

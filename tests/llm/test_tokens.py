@@ -14,14 +14,14 @@ from tests.llm.conftest import ODD_TEXTS, texts_of
 
 def noise(n=400):
     rng = random.Random(5)
-    parts = ["a", "B", "é", "ß", "1", "22", ".", ",", "'", "'s", "'ll", "!", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", " ", "▁", "_", "word", "Word,", "it's", "<s>", "<|endoftext|>", "<|EndOfText|>", "漢字", "🙂", "́", "ﬁ", "Σ"]
+    parts = ["a", "B", "é", "ß", "İ", "KEDİ,", "Σ.", "1", "22", ".", ",", "'", "'s", "'ll", "!", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", " ", "▁", "_", "word", "Word,", "it's", "<s>", "<|endoftext|>", "<|EndOfText|>", "漢字", "🙂", "́", "ﬁ", "Σ"]
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(n)]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_give_the_librarys_ids(name):
     coder = json_tokenizer(tokenizer_path(name))
-    texts = [t or "" for t in ODD_TEXTS] + noise()
+    texts = [t or "" for t in ODD_TEXTS] + noise() + ["KEDİ, köpek", "TÜRKİYE, DENİZİ. SON"] + [f"a{chr(c)}. b{chr(c)}, c" for c in range(0x30, 0x250)]
     counts, ids = coder.encode(pa.array(texts, pa.large_string()))
     at = 0
     for text, n in zip(texts, counts.tolist(), strict=True):
