@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postlens.llm import (
+    alignment,
     chat_formatting,
     decontamination,
     language_id,
@@ -50,5 +51,6 @@ register("op7_quality_cascade", quality_cascade.measure_documents, sql=quality_c
 register("op8_near_dup", lambda docs: near_dup.near_duplicates(docs, near_dup.Setting(width=2)), sql=near_dup.SQL)
 register("op9_lm_scoring", lm_scoring.scored_documents)
 register("op10_language_id", language_id.language_of_documents)
+register("op11_alignment", alignment.align_documents)
 register("op12_lexical_search", lexical_search.rank_documents, "documents", "benchmark", sql=lexical_search.SQL)
 register("op13_toxicity", toxicity.toxicity_of_documents, "documents", "labels")
