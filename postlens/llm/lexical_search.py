@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import ragged, shared_path, starts_of, terms, text_slices
+from postlens.llm.common import shared_path, starts_of, terms, text_slices
 
 TOP, BLOCK_DOCS, BLOCK_BYTES, BATCH_BYTES, FIRST_POP = 20, 8192, 16 << 20, 8 << 20, 32
 # Set bits of a 4-bit mask below a place: where a cell's child stands among its brothers.
@@ -100,11 +100,11 @@ class Cells:
         """Columns and scores of all columns that score at least as the top-th best one, and at least `floor`.
 
         The paths of all rows descend jointly over ranges of columns. A range's bound is the sum of its cells' maxima by
-        weight. The ranges of the highest bounds are opened first, a few at once and twice as many each time; a range
-        whose bound is below the top-th best score found is never opened."""
+        weight. The ranges of the highest bounds are opened first, a few at once and, when these have reached single
+        columns, twice as many each time; a range whose bound is below the top-th best score found is never opened."""
         pool_level, pool_column, pool_bound = np.array([self.depth]), np.zeros(1, np.int64), np.array([int((weights * self.most[0]).sum())])
         owner, cell, row = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.arange(len(rows))
-        columns, scores, pop = [], [], FIRST_POP
+        columns, scores, pop, rounds = [], [], FIRST_POP, 0
         found = np.zeros(0, np.int64)
         while len(pool_bound):
             live = pool_bound >= floor
@@ -119,7 +119,8 @@ class Cells:
                 chosen = np.ones(len(pool_bound), bool)
             level, column, _, o, c, r = _take(chosen, pool_level, pool_column, pool_bound, owner, cell, row)
             pool_level, pool_column, pool_bound, owner, cell, row = _take(~chosen, pool_level, pool_column, pool_bound, owner, cell, row)
-            pop *= 2
+            rounds += 1
+            pop *= 2 if rounds > self.depth else 1
             # Each row's path goes to the half its row bit names; both halves of the columns are tried.
             down = level[o] - 1
             slot = (rows[r] >> down & 1) * 2
@@ -196,12 +197,12 @@ def index(docs: DataFrame, path: str, corpus: Corpus, block_docs: int = BLOCK_DO
         if held:
             yield block(held)
 
-    def block(held: list) -> pa.RecordBatch:
-        ids = pa.concat_arrays([i for i, _ in held])
+    def block(parts: list) -> pa.RecordBatch:
+        ids = pa.concat_arrays([i for i, _ in parts])
         order = pc.array_sort_indices(ids)  # nulls last
         place = np.empty(len(ids), np.int64)
         place[order.to_numpy()] = np.arange(len(ids))
-        owner, codes, distinct = terms(pa.concat_arrays([t for _, t in held]))
+        owner, codes, distinct = terms(pa.concat_arrays([t for _, t in parts]))
         owner = place[owner]
         length = np.bincount(owner, minlength=len(ids))
         key = np.sort(codes * len(ids) + owner)
@@ -209,10 +210,10 @@ def index(docs: DataFrame, path: str, corpus: Corpus, block_docs: int = BLOCK_DO
         times = np.diff(np.append(first, len(key)))
         term, column = key[first] // len(ids), key[first] % len(ids)
         held_by = np.bincount(term, minlength=len(distinct))
-        least = column[starts_of(held_by)] if len(distinct) else held_by
-        rank = np.lexsort((least, -held_by))
+        held = np.flatnonzero(held_by)  # an empty string may be among the distinct ones
+        rank = held[np.lexsort((column[starts_of(held_by)[held]], -held_by[held]))]
         row_of = np.empty(len(distinct), np.int64)
-        row_of[rank] = np.arange(len(distinct))
+        row_of[rank] = np.arange(len(rank))
         tree = Treap.build(row_of[term], column, corpus.impact(times, length[column]))
         names = distinct.take(pa.array(rank))
         joined = "" if not len(names) else pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(pa.string())), " ")[0].as_py()
