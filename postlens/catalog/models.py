@@ -10,7 +10,7 @@ from postlens.catalog.registry import ORACLES, register
 from postlens.catalog.stats import target_rows
 from postlens.catalog.text import TARGETS_SQL
 from postlens.functions import numeric
-from postlens.operators import contracts, embedding, encoder_stage, sampling
+from postlens.operators import contracts, embedding, encoder_stage, ridge, sampling
 from postlens.operators.clustering import cluster_sweep
 from postlens.operators.projection import fit_pca
 from postlens.plans import ablation as ab
@@ -128,20 +128,61 @@ def model_comparison(spark, sf):
     return scores
 
 
-def _task_predictions(spark, sf):
+def _linear_tasks(spark, sf):
     rows = _prepared(spark, sf)
-    models = tr.fit_tasks(rows.where("split = 'train'"), TASKS)
-    return models.score(rows.where("split = 'val'"))
+    return tr.fit_linear_tasks(rows.where("split = 'train'"), TASKS), rows.where("split = 'val'")
 
 
 @register("multitask_evaluation")
 def multitask_evaluation(spark, sf):
-    return tr.evaluate_tasks(_task_predictions(spark, sf))
+    models, rows = _linear_tasks(spark, sf)
+    return tr.evaluate_tasks(models.score(rows))
 
 
 @register("multitask_scores")
 def multitask_scores(spark, sf):
-    return tr.batch_scores(_task_predictions(spark, sf), TASKS)
+    models, rows = _linear_tasks(spark, sf)
+    return models.wide(rows)
+
+
+_PENALTY = 0.01
+# Every task's normal equations on two features: centred sums over the training rows that have the task's label.
+_TWO_FEATURES = f"""WITH t AS ({TARGETS_SQL}),
+  r AS (SELECT note_id, CAST(title_length AS DOUBLE) AS a, CAST(length(type) AS DOUBLE) AS b, t.* EXCLUDE (note_id),
+          CAST('0x' || substr(md5('42' || note_id), 1, 8) AS BIGINT) % 10000 < 2000 AS val
+        FROM note_vectors JOIN note_info USING (note_id) JOIN t USING (note_id)),
+  l AS ({" UNION ALL ".join(f"SELECT '{t}' AS task, note_id, a, b, CAST({c} AS DOUBLE) AS y, val FROM r" for t, c in TASK_COLUMNS.items())}),
+  m AS (SELECT task, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * {1 + _PENALTY} AS aa, var_pop(b) * {1 + _PENALTY} AS bb,
+          covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM l WHERE NOT val AND y IS NOT NULL GROUP BY task),
+  f AS (SELECT task, n, ma, mb, my, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m)"""
+
+
+def _two_features(spark, sf):
+    rows = sampling.train_val(evaluation_rows(spark, sf), "note_id")
+    return rows.withColumn("features", F.array(F.col("title_length").cast("double"), F.length("type").cast("double")))
+
+
+@register(
+    "multitask_coefficients",
+    _TWO_FEATURES + " SELECT task, n, my - wa * ma - wb * mb AS intercept, wa AS weight_a, wb AS weight_b FROM f",
+    ["note_info", "note_stats", "note_vectors"], ["intercept", "weight_a", "weight_b"],
+)
+def multitask_coefficients(spark, sf):
+    """M8: all tasks' coefficients from one pass equal their normal equations."""
+    rows = _two_features(spark, sf).where("split = 'train'")
+    model = ridge.fit_ridge(rows, "features", TASK_COLUMNS, _PENALTY)
+    return model.select("task", "n", "intercept", F.col("coefficients")[0].alias("weight_a"), F.col("coefficients")[1].alias("weight_b"))
+
+
+@register(
+    "multitask_predictions",
+    _TWO_FEATURES + " SELECT task, note_id, y AS y_true, my + wa * (a - ma) + wb * (b - mb) AS y_pred FROM l JOIN f USING (task) WHERE val",
+    ["note_info", "note_stats", "note_vectors"], ["y_true", "y_pred"],
+)
+def multitask_predictions(spark, sf):
+    """Labels normalised, all tasks fitted in one pass, scores back in label units."""
+    rows = _two_features(spark, sf)
+    return tr.fit_linear_tasks(rows.where("split = 'train'"), TASKS, _PENALTY).score(rows.where("split = 'val'")).select("task", "note_id", "y_true", "y_pred")
 
 
 @register("embedding_report")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.literals import literal_rows
 from postlens.functions.numeric import clip_rate, impression_count, is_rate_task
-from postlens.operators import encoding, metrics
+from postlens.operators import encoding, metrics, ridge
 from postlens.operators.contracts import fill_absent
 from postlens.operators.filters import drop_zero_vectors
 from postlens.operators.history import model_ranking
@@ -256,6 +256,62 @@ def fit_tasks(
     return TaskModels(models, labels)
 
 
+@dataclass(frozen=True)
+class LinearTasks:
+    """M8: linear models of all tasks, fitted from one table of sums: small tables, and scores in one pass."""
+
+    model: DataFrame
+    labels: DataFrame
+
+    def raw(self, prepared: DataFrame, features: str = "features") -> DataFrame:
+        """prepared with `{task}_raw`, in normalised units."""
+        return ridge.predict(prepared, features, self.model)
+
+    def score(self, prepared: DataFrame, key: str = "note_id", features: str = "features") -> DataFrame:
+        """Long predictions: key, task, y_true (where the target exists), y_pred in label units."""
+        tasks = [r["task"] for r in self.model.select("task").collect()]
+        columns = task_columns(tasks)
+        there = [t for t in tasks if columns[t] in prepared.columns]
+        lines = F.array(*[
+            F.struct(
+                F.lit(t).alias("task"), (F.col(columns[t]).cast("double") if t in there else F.lit(None).cast("double")).alias("y_true"),
+                F.col(f"{t}_raw").alias("y_raw"))
+            for t in tasks])
+        rows = self.raw(prepared.select(key, features, *dict.fromkeys(columns[t] for t in there)), features)
+        return encoding.denormalise(rows.select(key, F.inline(lines)), self.labels, "y_raw", "y_pred")
+
+    def wide(self, prepared: DataFrame, key: str = "note_id", clip: bool = False, features: str = "features") -> DataFrame:
+        """M9: key and `{task}_pred`, without a shuffle; the rules are those of batch_scores."""
+        fitted = {r["task"]: (r["center"], r["scale"]) for r in self.labels.collect()}
+        out = []
+        for t in (r["task"] for r in self.model.select("task").collect()):
+            center, scale = fitted.get(t, (0.0, 1.0))
+            value = F.col(f"{t}_raw") * F.lit(scale) + F.lit(center)
+            out.append((impression_count(value) if t == "impression" else clip_rate(F.lit(t), value) if clip else value).alias(f"{t}_pred"))
+        return self.raw(prepared.select(key, features), features).select(key, *out)
+
+    def save(self, path: str) -> None:
+        self.labels.write.mode("overwrite").parquet(f"{path}/labels")
+        self.model.write.mode("overwrite").parquet(f"{path}/models")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LinearTasks:
+        return LinearTasks(spark.read.parquet(f"{path}/models"), spark.read.parquet(f"{path}/labels"))
+
+
+def fit_linear_tasks(
+    train: DataFrame, tasks: Sequence[str], penalty: float = 0.01, normalisation: str = "standard", features: str = "features",
+) -> LinearTasks:
+    """M8 on prepared rows: label statistics, then all tasks' models from one pass over the rows."""
+    columns = task_columns(tasks)
+    fitted = encoding.fit_labels(train, columns, normalisation)
+    labels = literal_rows(
+        train.sparkSession, [tuple(r) for r in fitted.collect()], "task string, method string, center double, scale double")
+    normal = encoding.normalise_labels(train, labels, {t: c for t, c in columns.items() if c in train.columns})
+    targets = {t: f"{t}_norm" for t in tasks if columns[t] in train.columns}
+    return LinearTasks(ridge.fit_ridge(normal.select(features, *targets.values()), features, targets, penalty), labels)
+
+
 def evaluate_tasks(predictions: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """A11-A15 side by side, one row per task. The metrics read the predictions several times, so they are
     written to the checkpoint folder first and the models run once."""
