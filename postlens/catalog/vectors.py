@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postlens.catalog import fixtures as fx
-from postlens.catalog.registry import register, student_p_sql
+from postlens.catalog.registry import normal_p_sql, register, student_p_sql
 from postlens.functions import vectors as vx
 from postlens.operators import clustering, embedding, filters, history, kendall
 
@@ -301,21 +301,26 @@ def silhouette_sampled(spark, sf):
     return clustering.silhouette_euclidean(fx.note_vectors(spark, sf), "note_id", "image_vec")
 
 
-@register(
-    "kendall_tau_b",
-    """WITH s AS (SELECT task, row_number() OVER () AS id, y_true, y_pred FROM predictions WHERE y_true IS NOT NULL),
+_TIES = "sum(k * (k - 1) / 2) AS t, sum(1.0E0 * k * (k - 1) * (k - 2)) AS t0, sum(1.0E0 * k * (k - 1) * (2 * k + 5)) AS t1"
+_PAIRS = f"""WITH s AS (SELECT task, row_number() OVER () AS id, y_true, y_pred FROM predictions WHERE y_true IS NOT NULL),
       c AS (SELECT a.task, count(*) FILTER (WHERE (a.y_true < b.y_true AND a.y_pred < b.y_pred)) AS c,
         count(*) FILTER (WHERE (a.y_true < b.y_true AND a.y_pred > b.y_pred)) AS d FROM s a JOIN s b ON a.task = b.task GROUP BY 1),
       n AS (SELECT task, count(*) AS n FROM s GROUP BY 1),
-      tx AS (SELECT task, sum(k * (k - 1) / 2) AS t FROM (SELECT task, y_true, count(*) AS k FROM s GROUP BY 1, 2) GROUP BY 1),
-      ty AS (SELECT task, sum(k * (k - 1) / 2) AS t FROM (SELECT task, y_pred, count(*) AS k FROM s GROUP BY 1, 2) GROUP BY 1)
-      SELECT task, n AS valid_samples, CAST(c AS DOUBLE) AS concordant, CAST(d AS DOUBLE) AS discordant,
+      tx AS (SELECT task, {_TIES} FROM (SELECT task, y_true, count(*) AS k FROM s GROUP BY 1, 2) GROUP BY 1),
+      ty AS (SELECT task, {_TIES} FROM (SELECT task, y_pred, count(*) AS k FROM s GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@register(
+    "kendall_tau_b",
+    _PAIRS + """ SELECT task, n AS valid_samples, c AS concordant, d AS discordant,
         (c - d) / (sqrt(n * (n - 1) / 2 - tx.t) * sqrt(n * (n - 1) / 2 - ty.t)) AS kendall_tau
       FROM c JOIN n USING (task) JOIN tx USING (task) JOIN ty USING (task)""",
-    ["predictions"], ["kendall_tau", "concordant", "discordant"],
+    ["predictions"], ["kendall_tau"],
 )
 def tau(spark, sf):
-    return kendall.kendall_tau(fx.predictions(spark, sf), with_p=False)
+    """Pairs as whole numbers; here they fit in 64 bits."""
+    rows = kendall.kendall_tau(fx.predictions(spark, sf), with_p=False)
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("concordant", "discordant")})
 
 
 @register(
@@ -332,9 +337,16 @@ def spectrum_moments(spark, sf):
     return ratios.agg(F.count(F.lit(1)).alias("dims"), F.sum("ratio").alias("ratio_sum"), F.sum(F.col("ratio") ** 2).alias("ratio_square_sum"))
 
 
-@register("kendall_p_value")
+@register(
+    "kendall_p_value",
+    _PAIRS + f""", v AS (SELECT task, c - d AS gap, (1.0E0 * n * (n - 1) * (2 * n + 5) - tx.t1 - ty.t1) / 18
+        + 2.0E0 * tx.t * ty.t / (n * (n - 1)) + tx.t0 * ty.t0 / (9.0E0 * n * (n - 1) * (n - 2)) AS var
+        FROM c JOIN n USING (task) JOIN tx USING (task) JOIN ty USING (task))
+      SELECT task, {normal_p_sql("(gap / sqrt(var))")} AS kendall_p FROM v""",
+    ["predictions"], ["kendall_p"],
+)
 def tau_p(spark, sf):
-    return kendall.kendall_tau(fx.predictions(spark, sf))
+    return kendall.kendall_tau(fx.predictions(spark, sf)).select("task", "kendall_p")
 
 
 @register(

@@ -6,8 +6,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from postlens.functions.special import student_p
-from postlens.operators.kendall import kendall_tau, ordered_pairs
+from postlens.operators.kendall import kendall_tau, ordered_pairs, small_groups
 from postlens.operators.metrics import auc, spearman
 
 
@@ -39,10 +41,10 @@ def frame(spark, seed, n=240):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("seed, blocks, cells", [(0, 1024, 100000), (1, 6, 5), (2, 3, 2), (3, 50, 1)])
+@pytest.mark.parametrize("seed, blocks, cells", [(0, 128, 100000), (1, 6, 5), (2, 4, 2), (3, 5, 70)])
 def test_blocks_do_not_change_the_count(spark, seed, blocks, cells):
     pdf, df = frame(spark, seed)
-    got = kendall_tau(df, blocks=blocks, min_cells=cells).head()
+    got = kendall_tau(df, blocks=blocks, most_cells=cells).head()
     x, y = pdf["y_true"].to_numpy(), pdf["y_pred"].to_numpy()
     c, d = brute(x, y)
     assert (got["concordant"], got["discordant"]) == (c, d)
@@ -53,6 +55,25 @@ def test_blocks_do_not_change_the_count(spark, seed, blocks, cells):
     assert 0 <= got["kendall_p"] <= 1
 
 
+def test_groups_get_small_over_several_rounds(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.permutation(6000) // 2, rng.permutation(6000) // 3
+    y[:2000] = 5  # a hot value
+    cells = spark.createDataFrame(pd.DataFrame({"task": "t", "a": x.astype(float), "b": y.astype(float)})).groupBy("task", "a", "b").count().withColumnRenamed("count", "w")
+    parts = small_groups(cells, 4, 64)
+    sizes = [p.groupBy("path").count().agg(F.max("count")).head()[0] for p in parts]
+    assert len(parts) > 3 and all(n is None or n <= 64 for n in sizes)
+    pdf = pd.concat([p.toPandas() for p in parts])
+    got = [ordered_pairs(g["a"].to_numpy(), g["b"].to_numpy(), g["w"].to_numpy()) for _, g in pdf.groupby("path")]
+    s = np.sign(x[:, None] - x[None, :]) * np.sign(y[:, None] - y[None, :])
+    assert tuple(map(sum, zip(*got))) == ((s > 0).sum() // 2, (s < 0).sum() // 2)
+
+
+def test_counts_beyond_64_bits():
+    w = np.array([5 * 10**10, 4 * 10**10, 10**10])
+    assert ordered_pairs(np.array([1.0, 2.0, 3.0]), np.array([1.0, 3.0, 2.0]), w) == (5 * 10**10 * 5 * 10**10, 4 * 10**10 * 10**10)
+
+
 def test_order_extremes(spark):
     rows = [("up", float(i), float(i * i)) for i in range(1, 30)] + [("down", float(i), float(-i)) for i in range(30)]
     rows += [("flat", float(i), 1.0) for i in range(5)] + [("two", 1.0, 2.0), ("two", 2.0, 1.0)]
