@@ -10,8 +10,9 @@ from postlens.catalog.registry import ORACLES, register
 from postlens.catalog.stats import target_rows
 from postlens.catalog.text import TARGETS_SQL
 from postlens.functions import numeric
-from postlens.operators import contracts, embedding, encoder_stage, ridge, sampling
-from postlens.operators.clustering import cluster_sweep
+from postlens.functions.vectors import squared_distance
+from postlens.operators import contracts, embedding, encoder_stage, ridge, sampling, sweep
+from postlens.operators.clustering import cluster_sweep, standardised
 from postlens.operators.projection import fit_pca
 from postlens.plans import ablation as ab
 from postlens.plans import feature_stage as fs
@@ -46,6 +47,47 @@ def best_k(spark, sf):
     return cluster_sweep(fx.note_vectors(spark, sf), "note_id", "image_vec")[0]
 
 
+def _scaled_clusters(spark, sf, counts):
+    rows = cut_lineage(standardised(fx.note_vectors(spark, sf), "image_vec"))
+    models = sweep.train_sweep(rows, "note_id", "scaled", counts)
+    return sweep.assign(rows.select("note_id", "scaled"), "scaled", models), models
+
+
+_ANY = "EXISTS (SELECT 1 FROM (SELECT unnest(image_vec) AS x) WHERE x <> 0)"
+
+
+@register(
+    "kmeans_assignments",
+    f"""WITH w AS (SELECT note_id FROM note_vectors WHERE {_ANY}), n AS (SELECT count(*) AS n FROM w)
+      SELECT note_id, k, TRUE AS nearest FROM w, n, (SELECT unnest([2, 10, 30]) AS k) WHERE k < n""",
+    ["note_vectors"],
+)
+def kmeans_assignments(spark, sf):
+    """M1: each row's centre is none farther than any other of its model, measured by other code than trained it."""
+    rows, models = _scaled_clusters(spark, sf, [2, 10, 30])
+    lines = []
+    for i, m in enumerate(models):
+        far = F.array(*[squared_distance(F.col("scaled"), F.array(*map(F.lit, c.tolist()))) for c in m.centers])
+        lines.append(rows.select("note_id", F.lit(m.k).alias("k"), (F.get(far, F.col("clusters")[i]) <= F.array_min(far) * (1 + 1e-9) + 1e-9).alias("nearest")))
+    return union_all(lines)
+
+
+@register(
+    "kmeans_sizes",
+    f"""WITH w AS (SELECT note_id FROM note_vectors WHERE {_ANY}), n AS (SELECT count(*) AS n FROM w)
+      SELECT k, n AS rows, TRUE AS all_used, TRUE AS falls FROM n, (SELECT unnest([2, 10, 30]) AS k) WHERE k < n""",
+    ["note_vectors"],
+)
+def kmeans_sizes(spark, sf):
+    """M1: the clusters of each k hold all rows, none is empty, and more clusters cost less."""
+    rows, models = _scaled_clusters(spark, sf, [2, 10, 30])
+    parts = []
+    for i, m in enumerate(models):
+        falls = i == 0 or m.cost < models[i - 1].cost
+        parts.append(rows.agg(F.lit(m.k).alias("k"), F.count(F.col("clusters")[i]).alias("rows"), (F.count_distinct(F.col("clusters")[i]) == m.k).alias("all_used"), F.lit(falls).alias("falls")))
+    return union_all(parts)
+
+
 @register("ablation")
 def ablation(spark, sf):
     return ab.ablation(evaluation_rows(spark, sf))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.vectors import any_nonzero, squared_distance
+from postlens.operators import sweep
 from postlens.operators.encoding import fit_vector_scaler, scale_vector
 from postlens.operators.joins import small_map
 from postlens.operators.sampling import hash_sample
@@ -97,27 +98,30 @@ def standardised(df: DataFrame, vector: str, name: str = "scaled") -> DataFrame:
 
 
 def cluster_sweep(
-    df: DataFrame, key: str, vector: str, counts: Sequence[int] = CLUSTER_COUNTS, seed: int = 42
+    df: DataFrame, key: str, vector: str, counts: Sequence[int] = CLUSTER_COUNTS, seed: int = 42, starts: int = sweep.STARTS,
+    most: int = 2000,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """M1: (k, silhouette_sq, davies_bouldin) for every k of at most half the rows, and the rows with the best clusters.
+    """M1: (k, silhouette, silhouette_sq, davies_bouldin, cost) for every k below the number of rows, and the rows with the
+    clusters of the best k; an older `cluster` column is replaced.
 
-    Fewer than 100 rows give an empty table; an older `cluster` column is replaced. The scaled rows are written once to the checkpoint folder and read for every k.
-    """
+    All k and starts are trained together. The best k has the highest `silhouette`, the Euclidean one of a keyed-hash sample
+    of at most `most` rows; the other two scores are of all rows. A k whose rows all lie in one cluster has no line. The scaled
+    rows are written once to the checkpoint folder."""
     spark = df.sparkSession
-    scaled = standardised(df.drop("cluster"), vector).withColumn("features", array_to_vector("scaled"))
-    scaled = cut_lineage(scaled)
-    n, found = scaled.count(), []
-    if n >= 100:
-        for k in [k for k in counts if k <= n // 2]:
-            model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
-            rows = model.transform(scaled).select("cluster", "scaled")
-            if rows.select("cluster").distinct().limit(2).count() < 2:
+    some = not df.where(any_nonzero(F.col(vector))).isEmpty()
+    scaled = cut_lineage(standardised(df.drop("cluster"), vector)) if some else None
+    models = [] if scaled is None else sweep.train_sweep(scaled, key, vector="scaled", counts=counts, starts=starts, seed=seed)
+    found = []
+    if models:
+        sample = np.array([r["scaled"] for r in hash_sample(scaled.select(key, "scaled"), key, most).collect()])
+        labelled = cut_lineage(sweep.assign(scaled.select("scaled"), "scaled", models))
+        for i, (model, silhouette) in enumerate(zip(models, sweep.sample_silhouettes(sample, models), strict=True)):
+            rows = labelled.select("scaled", F.col("clusters")[i].alias("cluster"))
+            if silhouette is None or rows.select("cluster").distinct().limit(2).count() < 2:
                 continue
-            score = silhouette_squared(rows, "scaled")
-            index = davies_bouldin(rows, "scaled").head()[0]
-            found.append((k, float(score), float(index), model))
-    table = spark.createDataFrame([f[:3] for f in found], "k int, silhouette_sq double, davies_bouldin double")
+            found.append((model.k, silhouette, float(silhouette_squared(rows, "scaled")), float(davies_bouldin(rows, "scaled").head()[0]), model.cost, model))
+    table = spark.createDataFrame([f[:5] for f in found], "k int, silhouette double, silhouette_sq double, davies_bouldin double, cost double")
     if not found:
         return table, None
-    best = max(found, key=lambda f: f[1])
-    return table, best[3].transform(scaled).drop("features", "scaled")
+    best = max(found, key=lambda f: f[1])[5]
+    return table, sweep.assign(scaled, "scaled", [best]).withColumn("cluster", F.col("clusters")[0]).drop("clusters", "scaled")

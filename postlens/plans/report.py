@@ -80,8 +80,8 @@ def embedding_report(
     rows = cut_lineage(rows).persist()
 
     sweep, best = clustering.cluster_sweep(rows, key, image, counts)
-    found = sweep.orderBy(F.desc("silhouette_sq")).limit(1)
-    parts.append(_long(found.withColumnsRenamed({"k": "best_k", "silhouette_sq": "silhouette"}), "understanding", "image",
+    found = sweep.orderBy(F.desc("silhouette")).limit(1)
+    parts.append(_long(found.withColumnRenamed("k", "best_k"), "understanding", "image",
                        ["best_k", "silhouette", "davies_bouldin"]))
     if best is not None and any(c in best.columns for c in CATEGORIES):
         parts.append(_long(clustering.purity(best, CATEGORIES), "understanding", None, ["purity"], "category"))

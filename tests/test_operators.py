@@ -146,12 +146,15 @@ def test_purity_with_nulls(spark):
 
 def test_sweep_finds_planted_clusters(spark):
     rows = [(str(i), [float(i % 3) * 10 + (i % 7) * 0.01, float(i % 3) * -5 + (i % 5) * 0.01]) for i in range(150)]
-    table, best = cluster_sweep(spark.createDataFrame(rows, "note_id string, v array<double>"), "note_id", "v", (2, 3, 100))
-    scores = {r["k"]: r["silhouette_sq"] for r in table.collect()}
-    assert set(scores) == {2, 3} and max(scores, key=scores.get) == 3
-    assert best.select("cluster").distinct().count() == 3
-    few, none = cluster_sweep(spark.createDataFrame(rows[:20], "note_id string, v array<double>"), "note_id", "v")
-    assert few.count() == 0 and none is None
+    table, best = cluster_sweep(spark.createDataFrame(rows, "note_id string, v array<double>"), "note_id", "v", (2, 3, 20, 150))
+    scores = {r["k"]: r["silhouette"] for r in table.collect()}
+    assert set(scores) == {2, 3, 20} and max(scores, key=scores.get) == 3
+    assert best.select("cluster").distinct().count() == 3 and best.columns == ["note_id", "v", "cluster"]
+    few, some = cluster_sweep(spark.createDataFrame(rows[:20], "note_id string, v array<double>"), "note_id", "v")
+    assert [r["k"] for r in few.collect()] == [10] and some.count() == 19  # the first vector is zero
+    for none in (rows[:2], [("a", [0.0, 0.0])], []):
+        table, best = cluster_sweep(spark.createDataFrame(none, "note_id string, v array<double>"), "note_id", "v")
+        assert table.count() == 0 and best is None
 
 
 def test_pca_dims_on_known_spectrum(spark):
