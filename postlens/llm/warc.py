@@ -93,22 +93,25 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     """Writes a record per page: of pages with equal payloads of at least `least_bytes` bytes that with the smallest
     page_id as a response, the others as revisits of it; smaller ones all as responses.
 
-    A null html is an empty payload. A null page_id comes last among equal payloads. A payload's record is cut into
-    segments of at most `segment_bytes`, and a file has at most `records_per_file` records."""
+    A null html is an empty payload. A null page_id comes last among equal payloads. Of equal payloads with the same smallest
+    page_id, that of the first row is the response. Every row has a record id of its own, by its place in the table, so
+    `pages` must come in the same order when it is read again, as files do. A payload's record is cut into segments of
+    at most `segment_bytes`, and a file has at most `records_per_file` records."""
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("html")).withColumn("sha", F.sha1("html"))
-    sums = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    rows = pages.select("page_id", "url", payload.alias("html")).withColumns({"sha": F.sha1("html"), "row": F.monotonically_increasing_id()})
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+    sums = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     copies = materialise(sums.where("n > 1").drop("n"))  # a join of two plain shuffles, which splits a payload of very many pages
-    rows = rows.join(copies, "sha", "left").select("page_id", "url", "html", "first")
+    rows = rows.join(copies, "sha", "left").select("page_id", "url", "html", "row", F.col("first.page_id").alias("first"), F.col("first.row").alias("first_row"))
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for page, url, html, first in zip(*(batch.column(c) for c in ("page_id", "url", "html", "first")), strict=True):
-                page, first, data = page.as_py(), first.as_py(), html.as_py().encode("utf-8", "surrogatepass")
+            for page, url, html, row, first, first_row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "row", "first", "first_row")), strict=True):
+                page, row, first, first_row, data = page.as_py(), row.as_py(), first.as_py(), first_row.as_py(), html.as_py().encode("utf-8", "surrogatepass")
                 digest = base32_sha1(data)
-                origin = None if first is None or first == page else f"urn:page:{first}:{digest}"
-                new = list(records_of(f"urn:page:{page}:{digest}", url.as_py(), data, digest, origin, segment_bytes))
+                origin = None if first_row in (None, row) else f"urn:page:{first}:{digest}:{first_row}"
+                new = list(records_of(f"urn:page:{page}:{digest}:{row}", url.as_py(), data, digest, origin, segment_bytes))
                 out += new
                 held += sum(map(len, new))
                 if held > 4 << 20:
@@ -215,12 +218,12 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Writes all pages to a new shared folder and gives what reading it back finds, one row per page.
 
-    A revisit's payload_bytes are those of the response that it refers to. A row that repeats page_id and html is one
-    record."""
+    A revisit's payload_bytes are those of the response that it refers to. Rows that repeat are records of their own: of equal
+    rows one is the response, the others revisit it. An empty table gives no rows."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path)
-    read = materialise(read_archives(spark, path).distinct())
+    read = materialise(read_archives(spark, path))
     page = lambda c: F.split_part(c, F.lit(":"), F.lit(3)).try_cast("long")
     sizes = read.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"))
     visits = read.where("record_type = 'revisit'").join(sizes, "refers_to", "left")
@@ -233,10 +236,10 @@ def archived_pages(pages: DataFrame) -> DataFrame:
 _DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)"
 SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
-SELECT DISTINCT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+f AS (SELECT *, first_value(page_id) OVER w AS first, row_number() OVER w AS nth FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST))
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: {_DIGIT}), '') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN first END AS refers_to
 FROM f
 """
