@@ -260,6 +260,11 @@ def confirmed(members: DataFrame, docs: DataFrame, s: Setting) -> DataFrame:
         side = rows.column("side").to_numpy()
         texts = pa.concat_arrays([c.cast(pa.large_string()) for c in rows.column("text").chunks])
         owner, x = shingles(texts, s.width)
+        # A repeated doc_id may have a text without words, which links with nothing.
+        some = np.bincount(owner, minlength=len(ids)) > 0
+        if not some.any():
+            return
+        names, ids, side, owner = names[some], ids[some], side[some], (np.cumsum(some) - 1)[owner]
         bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
         edges = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(ids)]])
         links, finder = [], Links(s)

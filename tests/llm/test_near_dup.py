@@ -84,6 +84,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[3][0].n_shingles == 1 and by[5][0].n_shingles == 1
 
 
+@pytest.mark.parametrize("turn", range(4))
+def test_repeated_id_with_an_empty_text(spark, turn):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, ""), (2, text + " more"), (3, "less " + text), (1, None)]
+    docs = spark.createDataFrame(rows[turn:] + rows[:turn], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, near_dup.Setting(width=2)).collect())
+    assert got == [(1, 0, 1), (1, 0, 1), (1, 59, 1), (2, 60, 1), (3, 60, 1)]
+
+
 def test_multi_index_guarantee():
     """Any two signatures that differ in at most the guaranteed number of components share a key."""
     s, rng = near_dup.Setting(), np.random.default_rng(1)
