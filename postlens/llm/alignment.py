@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from postlens.llm.common import HELD, distinct_sorted, ragged, shared_path, starts_of, text_bytes, text_slices
 from postlens.llm.pieces import JsonTokenizer, PieceTokenizer, tokenizer_path
 
-MOST_WINDOWS, MOST_PIECES, MOST_PAIRS, SUMS_HELD = 300_000, 300_000, 4_000_000, 1_000_000
+SLICE, MOST_WINDOWS, MOST_PIECES, MOST_PAIRS, SUMS_HELD = 2 << 20, 80_000, 600_000, 4_000_000, 1_000_000
 MARK = "▁"
 
 
@@ -40,6 +40,7 @@ class Side:
         self.length = np.array([len(t) for t in tokens], np.int64)
         self.spaced = np.array([t[:1] == b" " for t in tokens])
         self.flat, self.start = np.frombuffer(b"".join(tokens), np.uint8), starts_of(self.length)
+        self.names = pa.array(range(len(tokens))).cast(pa.string())
 
     def spell(self, ids: np.ndarray) -> np.ndarray:
         return self.flat[ragged(self.start[ids], self.length[ids])]
@@ -69,11 +70,11 @@ class Windows:
         """All windows at once: their tokens' ends on one line, one window after another."""
         if not keys:
             return []
-        ids = [np.frombuffer(k, np.uint32) for k in keys]
-        n_a = np.array([i[0] for i in ids], np.int64)
-        a = np.concatenate([i[1 : 1 + n] for i, n in zip(ids, n_a, strict=True)]).astype(np.int64)
-        b = np.concatenate([i[1 + n :] for i, n in zip(ids, n_a, strict=True)]).astype(np.int64)
-        n_b = np.array([len(i) for i in ids]) - 1 - n_a
+        flat, size = np.frombuffer(b"".join(keys), np.uint32).astype(np.int64), np.fromiter(map(len, keys), np.int64, len(keys)) // 4
+        first = starts_of(size)
+        n_a = flat[first]
+        n_b = size - 1 - n_a
+        a, b = flat[ragged(first + 1, n_a)], flat[ragged(first + 1 + n_a, n_b)]
         end_a, end_b = np.cumsum(self.left.length[a]), np.cumsum(self.right.length[b])
         # A stretch between neighbouring ends lies in one token on each side: these are the links.
         ends = distinct_sorted(np.concatenate([end_a, end_b]))
@@ -83,14 +84,14 @@ class Windows:
         both = (end_a[at_a] == ends) & (end_b[at_b] == ends)
         shared_a, shared_b = at_a[both] + 1, at_b[both] + 1  # tokens up to the end of each group
         groups = np.diff(np.searchsorted(shared_a, np.concatenate([[0], np.cumsum(n_a)]), side="right"))
-        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        from_a, from_b = np.concatenate([[0], shared_a[:-1]]).tolist(), np.concatenate([[0], shared_b[:-1]]).tolist()
-        named = [f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}" for i, j, k, m in zip(from_a, shared_a.tolist(), from_b, shared_b.tolist(), strict=True)]
-        out, g, p = [], 0, 0
-        for n_groups, n_links in zip(groups.tolist(), links.tolist(), strict=True):
-            out.append((n_groups, n_links, ";".join(named[g : g + n_groups]), pairs[p : p + n_links]))
-            g, p = g + n_groups, p + n_links
-        return out
+        joined = [pc.binary_join(_lists(side.names.take(pa.array(x)), shared), ",") for side, x, shared in ((self.left, a, shared_a), (self.right, b, shared_b))]
+        named = pc.binary_join(_lists(pc.binary_join_element_wise(*joined, "|"), np.cumsum(groups)), ";").to_pylist()
+        ends = np.cumsum(links).tolist()
+        return [(g, n, text, pairs[e - n : e]) for g, n, text, e in zip(groups.tolist(), links.tolist(), named, ends, strict=True)]
+
+
+def _lists(flat: pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
 
 
 class Aligner:
@@ -111,7 +112,7 @@ class Aligner:
         many links each has, flat, with their number by text."""
         spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
         size = text_bytes(spaced)
-        n_a, a = self.left.encode(spaced)
+        n_a, a = self.left.encode(texts, True)
         n_b, b = self.right.encode(texts)
         a, b = a.astype(np.int64), b.astype(np.int64)
         good = (text_bytes(texts) > 0) & self._spelled(self.left, n_a, a, spaced, size) & self._spelled(self.right, n_b, b, spaced, size)
@@ -195,6 +196,7 @@ def aligner(left: str, right: str) -> Aligner:
     return Aligner(left, right)
 
 
+
 HELD.append(aligner.cache_clear)
 
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, pair_links binary"
@@ -206,7 +208,7 @@ def groups_of(docs: DataFrame, left: str, right: str) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(left, right)
-        for batch, texts in text_slices(batches, keep_held=True):
+        for batch, texts in text_slices(batches, limit=SLICE, keep_held=True):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(both.align(texts)["groups"], pa.string())], names=["doc_id", "groups"])
 
     return docs.select("doc_id", "text").mapInArrow(align, "doc_id long, groups string")
@@ -219,7 +221,7 @@ def aligned(docs: DataFrame, left: str, right: str, path: str) -> DataFrame:
         from pyspark import TaskContext
 
         both, row = aligner(left, right), TaskContext.get().partitionId() << 40
-        for batch, texts in text_slices(batches, keep_held=True):
+        for batch, texts in text_slices(batches, limit=SLICE, keep_held=True):
             r = both.align(texts)
             ends = np.concatenate([[0], np.cumsum(r["n_pairs"])])
             binary = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends * width), pa.py_buffer(x.astype(kind))]).cast(pa.binary()) for x, kind, width in ((r["pairs"], np.int64, 8), (r["pair_links"], np.uint32, 4))]

@@ -40,21 +40,62 @@ CUT = re.compile(r"(?<=[^ ]) (?= *[^ ])")
 # Pieces with white space at an end, none at all, or control characters that the libraries take differently.
 _SPACE = r"[\s\x0b\x1c-\x1e\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ODD_EDGE = rf"\A\z|\A{_SPACE}|{_SPACE}\z"
-MOST_PIECES = 700_000
+MOST_PIECES = 2_000_000
+
+
+class HashTable:
+    """64-bit hashes (not 0) and a number for each: open addressing, many at a time. A few tens of bytes an entry."""
+
+    def __init__(self, bits: int = 16):
+        self.keys, self.values, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it is not there."""
+        mask = np.uint64(len(self.keys) - 1)
+        out, left, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), h & mask
+        while len(left):
+            key = self.keys[slot]
+            hit = key == h[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + np.uint64(1)) & mask
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray):
+        """New hashes, each once."""
+        self.size += len(h)
+        if 2 * self.size > len(self.keys):
+            old, numbers = self.keys[self.keys != 0], self.values[self.keys != 0]
+            bits = int(2 * self.size).bit_length()
+            self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+            self._put(old, numbers)
+        self._put(h, values)
+
+    def _put(self, h: np.ndarray, values: np.ndarray):
+        mask = np.uint64(len(self.keys) - 1)
+        slot = h & mask
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]  # of several for one slot, one stays
+            won = free & (self.keys[slot] == h)
+            self.values[slot[won]] = values[won]
+            h, values, slot = h[~won], values[~won], (slot[~won] + np.uint64(1)) & mask
 
 
 class PieceCache:
     """Ids of pieces, kept flat. `encode` gives the ids of a list of pieces.
 
-    At most `most` pieces (MOST_PIECES if None), but for those of one call, in two generations: when the new one is half of
-    that, it becomes the old one, whose pieces move to the new one as they are met again."""
+    A piece is known by a 64-bit hash and by its length, not by its characters: two of ten million pieces are taken for one
+    another with a chance of about one in a million. At most `most` pieces (MOST_PIECES if None), but for those of one
+    call, in two generations: when the new one is half of that, it becomes the old one, whose pieces move to the new
+    one as they are met again."""
 
     def __init__(self, encode, most: int | None = None):
         self.encode, self.most, self.old = encode, most, None
         self.clear()
 
     def clear(self):
-        self.place: dict[str, int] = {}
+        self.table = HashTable()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
@@ -62,48 +103,53 @@ class PieceCache:
 
     def places(self, pieces: list[str]) -> np.ndarray:
         """A place per piece, for `start` and `length`; missing pieces are encoded, all at once."""
-        found = list(map(self.place.get, pieces))
-        missing = list(dict.fromkeys(p for p, at in zip(pieces, found, strict=True) if at is None))
-        if missing:
-            if self.place and 2 * (len(self.place) + len(missing)) > (self.most or MOST_PIECES):
-                self.old = self.place, self.flat, self.start, self.length
+        n = len(pieces)
+        h = np.fromiter(map(hash, pieces), np.int64, n).view(np.uint64) + np.fromiter(map(len, pieces), np.uint64, n) * np.uint64(0x9E3779B97F4A7C15)
+        h[h == 0] = 1
+        found = self.table.find(h)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            if self.table.size and 2 * (self.table.size + len(missing)) > (self.most or MOST_PIECES):
+                self.old = self.table, self.flat, self.start, self.length
                 self.clear()
-                missing = list(dict.fromkeys(pieces))
-            self._move(missing)
-            self._add([p for p in missing if p not in self.place])
-            found = list(map(self.place.get, pieces))
-        return np.array(found, np.int64)
-
-    def _move(self, pieces: list[str]):
-        if self.old:
-            place, flat, start, length = self.old
-            known = [p for p in pieces if p in place]
-            at = np.array([place[p] for p in known], np.int64)
-            self._store(known, length[at], flat[ragged(start[at], length[at])])
-
-    def _add(self, missing: list[str]):
+                missing = np.arange(n)
+            new, first = np.unique(h[missing], return_index=True)
+            first = missing[first]
+            if self.old:
+                table, flat, start, length = self.old
+                at = table.find(new)
+                held = at >= 0
+                self._store(new[held], length[at[held]], flat[ragged(start[at[held]], length[at[held]])])
+                new, first = new[~held], first[~held]
+            self._add(new, [pieces[i] for i in first.tolist()])
+            found = self.table.find(h)
+        return found
+
+    def _add(self, h: np.ndarray, pieces: list[str]):
         gc.disable()  # many small lists live for a moment only
-        rows = self.encode(missing)
+        rows = self.encode(pieces)
         gc.enable()
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        self._store(missing, lengths, np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum())))
+        self._store(h, lengths, np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum())))
 
-    def _store(self, pieces: list[str], lengths: np.ndarray, ids: np.ndarray):
-        n, total = len(self.place), len(ids)
+    def _store(self, h: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
+        n, total = self.table.size, len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(pieces) > len(self.start):
+        while n + len(h) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
         self.flat[self.used : self.used + total] = ids
-        self.start[n : n + len(pieces)] = self.used + starts_of(lengths)
-        self.length[n : n + len(pieces)] = lengths
+        self.start[n : n + len(h)] = self.used + starts_of(lengths)
+        self.length[n : n + len(h)] = lengths
         self.used += total
-        self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.table.add(h, np.arange(n, n + len(h)))
 
-    def text_places(self, texts: pa.Array, spaced: bool, odd: str, split, folded: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def text_places(self, texts: pa.Array, spaced: bool, odd: str, split, folded: bool = False, after_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each text: their number per text, and the place of every piece.
 
+        after_space: a space stands before each text.
+
         spaced: a piece carries the space before it, and there are cuts at line ends and before stops, too. odd: a
         pattern of pieces beside which a cut might not be safe; their texts go to `split`, which cuts by rule. folded: the tokenizer lower-cases and drops white space, so
         pieces that differ in these only are one; special tokens keep their case."""
@@ -122,9 +168,9 @@ class PieceCache:
             strange |= pc.match_substring_regex(whole, ODD.pattern).to_numpy(zero_copy_only=False)
         if folded:
             strange |= pc.match_substring(whole, "<|").to_numpy(zero_copy_only=False)
-        own = {int(i): split(whole[int(i)].as_py()) for i in np.flatnonzero(strange)}
+        own = {int(i): split(" " * after_space + whole[int(i)].as_py()) for i in np.flatnonzero(strange)}
         lead = np.zeros(len(codes), bool)
-        lead[first] = spaced
+        lead[first] = spaced and not after_space
         normal = ~np.repeat(strange, counts)
         names, where = [], []
         blank = pa.scalar(" ", distinct.type)
@@ -190,8 +236,8 @@ class JsonTokenizer:
             return []
         return [text] if ODD.search(text) else CHUNK.findall(text)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.ids(*self.cache.text_places(texts, True, ODD_EDGE, self._split, self.folded))
+    def encode(self, texts: pa.Array, after_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        return self.cache.ids(*self.cache.text_places(texts, True, ODD_EDGE, self._split, self.folded, after_space))
 
 
 class PieceTokenizer:
