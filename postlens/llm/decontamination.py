@@ -27,8 +27,9 @@ def tokens(text: Column) -> Column:
     a leading UNIT. A name is a capitalised word after a lower-case letter, digit, comma or bracket and one space."""
     # Runs of white space, and white space other than a space, count as one space; so do the marks.
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"{SPACE[:-1]}]{{2,}}|{SPACE[:-1]}&&[^ ]]", " ")
-    marked = F.regexp_replace(marked, r"(?<=[\p{Ll}\p{N},;:)] )(\p{Lu}\p{Ll})", NAME + "$1")
-    marked = F.regexp_replace(marked, rf"(?<=\p{{N}} |\p{{N}})({'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", UNIT + "$1")
+    # Both begin with what is rare, so that most places of a text are passed at one look.
+    marked = F.regexp_replace(marked, r"\p{Lu}(?<=[\p{Ll}\p{N},;:)] \p{Lu})\p{Ll}", NAME + "$0")
+    marked = F.regexp_replace(marked, rf"(\p{{N}} ?)({'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", f"$1{UNIT}$2")
     return F.regexp_extract_all(F.lower(marked), F.lit(r"\p{N}+(?:[.,]\p{N}+)*|[\x01\x02]?[\p{L}\p{M}]+"), 0)
 
 
@@ -41,19 +42,61 @@ def template(words: Column) -> Column:
     return F.transform(words, one)
 
 
+def _number(w: Column) -> Column:
+    """Whether a word of `tokens` is a number; most words begin with an ASCII letter and need no pattern."""
+    return ~((w >= "a") & (w < "{")) & w.rlike(r"^\p{N}")
+
+
+def _caseless(w: Column) -> Column:
+    return F.xxhash64(F.when((w >= "a") & (w < "{"), w).when(w.rlike(r"^\p{N}"), NUMBER).otherwise(_bare(w)))
+
+
+def _split(rows: DataFrame, key: str) -> DataFrame:
+    """key, _words, _caseless: the words of each text; hashes of each word where it is no number."""
+    words = rows.where(F.col(key).isNotNull()).select(key, tokens(F.col("text")).alias("_words"))
+    return words.withColumn("_caseless", F.transform("_words", _caseless))
+
+
+def _template_codes(words: Column) -> Column:
+    return F.transform(template(words), lambda w: F.xxhash64(w))
+
+
+def _plain_codes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(_bare(w)))
+
+
 def _tokenised(rows: DataFrame, key: str) -> DataFrame:
     """key, _words, _template, _caseless, _plain: the words of each text; hashes of each word's template, of the word where it
     is no number, and of the word."""
-    words = rows.where(F.col(key).isNotNull()).select(key, tokens(F.col("text")).alias("_words"))
-    caseless = F.transform("_words", lambda w: F.xxhash64(F.when(w.rlike(r"^\p{N}"), NUMBER).otherwise(_bare(w))))
-    return words.withColumns({"_caseless": caseless, "_template": F.transform(template(F.col("_words")), lambda w: F.xxhash64(w)), "_plain": F.transform("_words", lambda w: F.xxhash64(_bare(w)))})
+    return _split(rows, key).withColumns({"_template": _template_codes(F.col("_words")), "_plain": _plain_codes(F.col("_words"))})
 
 
-def _at_every_word(width: int, one: Callable[[Column], Column], kind: str) -> Column:
-    """Array of one(i) for each word i at which a window begins."""
+def _at_every_word(width: int, one: Callable[[Column], Column], kind: str, columns: tuple[str, ...], holding: Callable[[Column], Column] | None = None) -> Column:
+    """Array of one(i) for each word i at which a window begins; with `holding`, of windows with a word of that kind only.
+    `columns` are the arrays of which `one` reads."""
     # size() beside the use of the arrays in a lambda keeps them columns of their own: they are not built again for each window.
-    last = F.least(F.size("_template"), F.size("_caseless"), F.size("_plain")) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast(f"array<{kind}>"))
+    last = F.least(F.size("_words"), *(F.size(c) for c in columns)) - width
+    begins = F.sequence(F.lit(0), last)
+    if holding is not None:
+        places = F.filter(F.transform("_words", lambda w, i: F.when(holding(w), i)), lambda i: i.isNotNull())
+        around = F.transform(places, lambda i: F.sequence(F.greatest(i - (width - 1), F.lit(0)), F.greatest(F.least(i, last), F.lit(0))))
+        begins = F.array_distinct(F.filter(F.flatten(around), lambda i: i <= last))
+    return F.when(last >= 0, F.transform(begins, one)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def _seen(width: int) -> Column:
+    """Each hash of each window of _split: the template is another one only where a word is marked, the words another one
+    only where there is a number."""
+
+    def of(codes: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda i: F.xxhash64(codes(F.slice("_words", i + 1, width)))
+
+    every = ("_words", "_caseless")
+    return F.concat(
+        _at_every_word(width, _hash("_caseless", width), "bigint", every),
+        _at_every_word(width, of(_template_codes), "bigint", every, lambda w: w < "\x03"),
+        _at_every_word(width, of(_plain_codes), "bigint", every, _number),
+    )
 
 
 def _hash(codes: str, width: int) -> Callable[[Column], Column]:
@@ -62,7 +105,7 @@ def _hash(codes: str, width: int) -> Callable[[Column], Column]:
 
 def _windows(words: DataFrame, key: str, width: int) -> DataFrame:
     """key, words, at, template, caseless, plain, raw: a window of `width` words at every word, with its three hashes."""
-    window = _at_every_word(width, lambda i: F.struct(i.alias("at"), *(_hash(c, width)(i).alias(c[1:]) for c in CODES), F.slice("_words", i + 1, width).alias("raw")), f"struct<at:int,{','.join(f'{c[1:]}:bigint' for c in CODES)},raw:array<string>>")
+    window = _at_every_word(width, lambda i: F.struct(i.alias("at"), *(_hash(c, width)(i).alias(c[1:]) for c in CODES), F.slice("_words", i + 1, width).alias("raw")), f"struct<at:int,{','.join(f'{c[1:]}:bigint' for c in CODES)},raw:array<string>>", ("_words", *CODES))
     return words.select(key, F.size("_words").alias("words"), F.explode_outer(window).alias("w")).where("w IS NOT NULL").select(key, "words", "w.*")
 
 
@@ -101,8 +144,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_wor
         of_width = _hashed(of_width, F.col("plain"), *(F.when(~F.col("rich"), h) for h in (F.col("template"), F.col("caseless"), *marked)))
         of_width = of_width.select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "hash", F.col("raw").alias("item_raw"), "rich", F.lit(width).alias("width"))
         ours = of_width if ours is None else ours.unionByName(of_width)
-    seen = F.array_distinct(F.concat(*(_at_every_word(width, _hash(codes, width), "bigint") for width in [window, *sorted(short)] for codes in CODES)))
-    near = _tokenised(docs, "doc_id").select("doc_id", F.explode_outer(seen).alias("hash")).join(ours.select("hash"), "hash", "left_semi").select("doc_id").distinct()
+    seen = F.concat(*(_seen(width) for width in [window, *sorted(short)]))
+    near = _split(docs, "doc_id").select("doc_id", F.explode_outer(seen).alias("hash")).join(ours.select("hash"), "hash", "left_semi").select("doc_id").distinct()
     close = _tokenised(docs.select("doc_id", "text").join(near, "doc_id", "left_semi"), "doc_id")
     theirs = None
     for width in [window, *sorted(short)]:
