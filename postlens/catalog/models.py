@@ -239,6 +239,86 @@ def diagnosis(spark, sf):
     return fired.unionByName(rp.recommend(report).withColumnRenamed("recommendation", "name"))
 
 
+# One line per run and metric; the rule tables of R2 and R3 for these metrics, as SQL.
+_RUN_METRICS = """m AS (SELECT CAST(run_id AS VARCHAR) AS feature_group, max(loss) AS auc, avg(loss) AS silhouette,
+    min(val_loss) * 20 AS zero_variance_pct, avg(val_loss) AS cohens_d FROM epoch_history GROUP BY run_id),
+  u AS (SELECT 'auc' AS metric, feature_group, round(auc, 7) AS value FROM m
+    UNION ALL SELECT 'silhouette', feature_group, round(silhouette, 7) FROM m
+    UNION ALL SELECT 'zero_variance_pct', feature_group, round(zero_variance_pct, 7) FROM m
+    UNION ALL SELECT 'cohens_d', feature_group, round(cohens_d, 7) FROM m)"""
+
+
+def _run_metrics(spark, sf):
+    runs = fx.epoch_history(spark, sf).groupBy(F.col("run_id").cast("string").alias("feature_group")).agg(
+        F.max("loss").alias("auc"), F.avg("loss").alias("silhouette"),
+        (F.min("val_loss") * 20).alias("zero_variance_pct"), F.avg("val_loss").alias("cohens_d"))
+    lines = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 7).alias("value")) for m in ("auc", "silhouette", "zero_variance_pct", "cohens_d")])
+    return runs.select(F.lit("run").alias("layer"), "feature_group", F.inline(lines)).select("layer", "metric", "feature_group", "value")
+
+
+@register(
+    "diagnosis_rules",
+    f"""WITH {_RUN_METRICS}
+      SELECT 'clusters_mediocre' AS rule, metric, feature_group, value, 'problem' AS severity FROM u WHERE metric = 'silhouette' AND value < 0.6
+      UNION ALL SELECT 'clusters_too_good', metric, feature_group, value, 'warning' FROM u WHERE metric = 'silhouette' AND value > 0.9
+      UNION ALL SELECT 'alignment_weak', metric, feature_group, value, 'severe' FROM u WHERE metric = 'cohens_d' AND value < 0.5
+      UNION ALL SELECT 'variance_zero', metric, feature_group, value, 'warning' FROM u WHERE metric = 'zero_variance_pct' AND value > 10
+      UNION ALL SELECT 'prediction_weak', metric, feature_group, value, 'warning' FROM u WHERE metric = 'auc' AND value < 0.65""",
+    ["epoch_history"], ["value"],
+)
+def diagnosis_rules(spark, sf):
+    """On a report that was written and read again."""
+    path = f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    rp.save_report(_run_metrics(spark, sf), path)
+    return rp.diagnose_saved(spark, path).drop("message")
+
+
+@register(
+    "recommendation_rules",
+    f"""WITH {_RUN_METRICS}
+      SELECT 'drop_dead_dimensions' AS recommendation, metric, feature_group, value, 'act' AS severity FROM u WHERE metric = 'zero_variance_pct' AND value > 20
+      UNION ALL SELECT 'tune_alignment', metric, feature_group, value, 'act' FROM u WHERE metric = 'cohens_d' AND value < 0.5
+      UNION ALL SELECT 'alignment_strong', metric, feature_group, value, 'keep' FROM u WHERE metric = 'cohens_d' AND value > 1
+      UNION ALL SELECT 'features_insufficient', metric, feature_group, value, 'act' FROM u WHERE metric = 'auc' AND value < 0.6
+      UNION ALL SELECT 'features_sufficient', metric, feature_group, value, 'keep' FROM u WHERE metric = 'auc' AND value > 0.75""",
+    ["epoch_history"], ["value"],
+)
+def recommendation_rules(spark, sf):
+    return rp.recommend(_run_metrics(spark, sf)).drop("message")
+
+
+_SETS = ("baseline_all", "no_image", "no_text", "only_clip", "no_clip")
+_SET_SCORES = f"""r AS (SELECT {list(_SETS)}[run_id % 5 + 1] AS feature_set, round(avg(loss), 7) AS r2 FROM epoch_history GROUP BY 1),
+  w AS (SELECT {', '.join(f"max(r2) FILTER (WHERE feature_set = '{s}') AS {s}" for s in _SETS)} FROM r)"""
+
+
+def _set_scores(spark, sf):
+    names = F.array(*map(F.lit, _SETS))
+    return fx.epoch_history(spark, sf).groupBy(names[F.col("run_id") % 5].alias("feature_set")).agg(F.round(F.avg("loss"), 7).alias("r2"))
+
+
+@register(
+    "set_contributions",
+    f"""WITH {_SET_SCORES}, d AS (SELECT 'image_features' AS feature_group, baseline_all - no_image AS x, baseline_all AS a FROM w
+        UNION ALL SELECT 'text_features', baseline_all - no_text, baseline_all FROM w)
+      SELECT feature_group, x AS r2_contribution, x / greatest(a, 0.001E0) * 100 AS relative_pct, x > 0 AS is_positive, abs(x) > 0.01E0 AS is_significant,
+        CASE WHEN NOT x > 0 THEN 'remove' WHEN abs(x) > 0.01E0 THEN 'keep' ELSE 'optional' END AS advice FROM d WHERE x IS NOT NULL""",
+    ["epoch_history"], ["r2_contribution", "relative_pct"],
+)
+def set_contributions(spark, sf):
+    return ab.contributions(_set_scores(spark, sf))
+
+
+@register(
+    "set_advice",
+    f"""WITH {_SET_SCORES} SELECT only_clip AS clip_r2, no_clip AS other_r2,
+        CASE WHEN only_clip < 0.01 AND no_clip > 0.02 THEN 'improve_other_features' WHEN only_clip > no_clip * 2 THEN 'tune_vectors' ELSE 'none' END AS advice FROM w""",
+    ["epoch_history"], ["clip_r2", "other_r2"],
+)
+def set_advice(spark, sf):
+    return ab.set_advice(_set_scores(spark, sf))
+
+
 _LOGGED = """p AS (SELECT note_id, 'ctr' AS task, (click_num - 200) * 1.0E0 / 300 AS y_pred FROM note_stats
   UNION ALL SELECT note_id, 'impression', ln(imp_num) - 6 FROM note_stats UNION ALL SELECT note_id, 'sort_score', imp_num * -1.0E0 FROM note_stats)"""
 
@@ -421,6 +501,18 @@ def batch_plan(spark, sf):
     return audit.batch_plan(union_all(files), 300)
 
 
+@register(
+    "file_sample",
+    "WITH f AS (" + " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS rows FROM {t}" for t in _FILES)
+    + ") SELECT file, rows FROM f ORDER BY md5('42' || file) LIMIT 2",
+)
+def file_sample(spark, sf):
+    """Whole files, chosen by their names."""
+    from postlens.sources.readers import read_sampled
+
+    return audit.file_rows(read_sampled(spark, [f"{sf}/{t}.parquet" for t in _FILES], 2, merge=True), sf)
+
+
 @register(
     "directory_scan",
     "WITH f AS (" + " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS rows FROM {t}" for t in ("customer", "supplier"))

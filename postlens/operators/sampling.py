@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +59,7 @@ def folds(df: DataFrame, key: str, k: int = 5, name: str = "fold", salt: str = "
     return df.withColumn(name, bucket(key, salt, k))
 
 
-def sample_files(paths: Sequence[str], most: int, salt: str = "42") -> list[str]:
-    """File paths chosen by the same keyed hash; names are driver metadata, not data."""
-    import hashlib
-
-    ranked = sorted(paths, key=lambda p: (hashlib.md5((salt + p.rsplit("/", 1)[-1]).encode()).hexdigest(), p))
-    return sorted(ranked[:most])
+def sample_files(files: DataFrame, most: int, salt: str = "42") -> DataFrame:
+    """The `most` files of a listing (path) with the smallest keyed hash of their names; every task offers its own."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.withColumn("_h", keyed_hash(name, salt)).orderBy("_h", "path").limit(most).drop("_h")

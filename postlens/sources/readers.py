@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from postlens.functions.numeric import nan_to_null
@@ -38,10 +39,16 @@ def read_tree(
     return nan_to_null(df.select(*[c for c in columns if c in df.columns]) if columns else df)
 
 
-def read_sampled(spark: SparkSession, path: str, files: int, **options) -> DataFrame:
-    """Only `files` of the files below a directory, chosen by a keyed hash of their names."""
-    listed = spark.read.option("recursiveFileLookup", "true").parquet(path).inputFiles()
-    return read_tree(spark, sample_files(listed, files), **options)
+def list_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """path, size_bytes of all files below, as a table; no file is opened."""
+    paths = [path] if isinstance(path, str) else list(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return found.select("path", F.col("length").alias("size_bytes"))
+
+
+def read_sampled(spark: SparkSession, path: str | Sequence[str], files: int, **options) -> DataFrame:
+    """Only `files` of the files below, chosen by a keyed hash of their names. The chosen names alone reach the driver."""
+    return read_tree(spark, [r["path"] for r in sample_files(list_files(spark, path), files).collect()], **options)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

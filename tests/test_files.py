@@ -10,6 +10,7 @@ from postlens.operators.encoder_stage import encode_content, encode_image, encod
 from postlens.plans.feature_stage import feature_stage, incremental_stage, narrow, standard_modalities, widen
 from postlens.plans.text_stage import text_stage_targets
 from postlens.catalog import fixtures as fx
+from postlens.operators.sampling import sample_files
 from postlens.sources import audit, images, readers, sinks
 from postlens.streaming.incremental import progress, run_incremental
 
@@ -36,6 +37,10 @@ def test_trees_samples_and_audits(spark, numbered):
     assert df.columns == ["id"] and df.count() == 46
     a, b = (readers.read_sampled(spark, numbered, 2).count() for _ in range(2))
     assert a == b < 46
+    listed = readers.list_files(spark, numbered)
+    assert listed.count() == 4 and listed.where("size_bytes > 0").count() == 4
+    chosen = {r["path"] for r in sample_files(listed, 2).collect()}
+    assert len(chosen) == 2 and chosen < {r["path"] for r in listed.collect()}
     plain = spark.read.parquet(numbered)
     plan = audit.batch_plan(audit.file_rows(plain), 5).orderBy("file").collect()
     assert [(r["rows"], r["batches"], r["first_batch"], r["last_batch"]) for r in plan] == [
