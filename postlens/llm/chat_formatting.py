@@ -15,7 +15,8 @@ class Layout:
     """How records of one layout give turns.
 
     paths: leaf paths a record must have; optional: those it may have besides. A list layout has (path of the list,
-    role field, text field); a flat one has (role, paths whose values make the turn's text, joined by a blank line)."""
+    role field, text field), and an optional system text stands before the list; a flat one has (role, paths whose values
+    make the turn's text, joined by a blank line). parts: texts of the list may be lists of typed parts."""
 
     name: str
     paths: tuple[str, ...]
@@ -23,18 +24,23 @@ class Layout:
     turns_in: tuple[str, str, str] | None = None
     flat: tuple[tuple[str, tuple[str, ...]], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    parts: bool = False
 
     def fingerprints(self) -> list[str]:
-        sets = [self.paths + extra for n in range(len(self.optional) + 1) for extra in combinations(self.optional, n)]
+        needed = [self.paths]
         if self.turns_in:
-            sets.append((f"{self.turns_in[0]}[]",))  # a list without elements
+            needed.append((f"{self.turns_in[0]}[]",))  # a list without elements
+        if self.parts:
+            head, text = self.paths
+            needed += [(head, f"{text}[]"), (head, f"{text}[].text")]
+        sets = [x + extra for x in needed for n in range(len(self.optional) + 1) for extra in combinations(self.optional, n)]
         return [hashlib.sha256("|".join(sorted(x)).encode()).hexdigest() for x in sets]
 
 
 LAYOUTS = (
-    Layout("messages", ("messages[].role", "messages[].content"), turns_in=("messages", "role", "content")),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), turns_in=("conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
-    Layout("speaker_text", ("turns[].speaker", "turns[].text"), turns_in=("turns", "speaker", "text")),
+    Layout("messages", ("messages[].role", "messages[].content"), ("system",), turns_in=("messages", "role", "content"), parts=True),
+    Layout("from_value", ("conversations[].from", "conversations[].value"), ("system",), turns_in=("conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
+    Layout("speaker_text", ("turns[].speaker", "turns[].text"), ("system",), turns_in=("turns", "speaker", "text")),
     Layout("prompt_response", ("prompt", "response"), ("system",), flat=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("prompt_completion", ("prompt", "completion"), ("system",), flat=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("instruction", ("instruction", "output"), ("input", "system"), flat=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
@@ -65,22 +71,47 @@ def field_paths(record: Column) -> Column:
 
 
 def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Hash of the record's leaf paths that any layout names: other fields do not change it."""
-    known = sorted({p for x in layouts for p in x.paths + x.optional} | {f"{x.turns_in[0]}[]" for x in layouts if x.turns_in})
-    return F.sha2(F.array_join(F.array_sort(F.array_distinct(F.filter(field_paths(record), lambda p: p.isin(known)))), "|"), 256)
+    """Hash of the record's leaf paths that any layout names: other fields do not change it.
+
+    Beside a list of turns only what list layouts name counts, so that a stray prompt or input does not hide the list."""
+    in_lists = {p for x in layouts if x.turns_in for p in x.paths + x.optional + (f"{x.turns_in[0]}[]",)}
+    in_lists |= {f"{x.paths[1]}{end}" for x in layouts if x.parts for end in ("[]", "[].text")}
+    lists, known = sorted(p for p in in_lists if "[]" in p), sorted(in_lists | {p for x in layouts for p in x.paths + x.optional})
+
+    def joined(paths: Column) -> Column:
+        named = F.when(F.exists(paths, lambda p: p.isin(lists)), F.filter(paths, lambda p: p.isin(sorted(in_lists)))).otherwise(paths)
+        return F.array_join(F.array_sort(F.array_distinct(named)), "|")
+
+    return F.sha2(F.transform(F.array(F.filter(field_paths(record), lambda p: p.isin(known))), joined)[0], 256)
+
+
+def _part_texts(content: Column) -> Column:
+    """The text of a variant that is a text or a list of parts: texts of parts and parts that are texts, joined by a blank
+    line; parts without text, such as images, are left out."""
+
+    def text(part: Column) -> Column:
+        return F.when(F.startswith(F.schema_of_variant(part), F.lit("OBJECT")), F.try_variant_get(part, "$.text", "string")).otherwise(F.try_variant_get(part, "$", "string"))
+
+    listed = F.array_join(F.filter(F.transform(F.try_variant_get(content, "$", "array<variant>"), text), lambda x: x.isNotNull()), "\n\n")
+    return F.when(F.startswith(F.schema_of_variant(content), F.lit("ARRAY")), listed).otherwise(F.try_variant_get(content, "$", "string"))
 
 
 def _turns(record: Column, layout: Layout) -> Column:
     if layout.turns_in:
         path, role, text = layout.turns_in
-        listed = F.coalesce(F.try_variant_get(record, f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>"), F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>"))
+        kind = f"array<struct<`{role}`:string,`{text}`:{'variant' if layout.parts else 'string'}>>"
+        listed = F.coalesce(F.try_variant_get(record, f"$.{path}", kind), F.array().cast(kind))
         alias = F.create_map(*(F.lit(x) for pair in layout.roles for x in pair)) if layout.roles else None
 
         def turn(t: Column) -> Column:
             name = F.coalesce(alias[t[role]], t[role]) if alias is not None else t[role]
-            return F.struct(F.coalesce(name, F.lit("")).alias("role"), F.coalesce(t[text], F.lit("")).alias("text"))
+            said = _part_texts(t[text]) if layout.parts else t[text]
+            return F.struct(F.coalesce(name, F.lit("")).alias("role"), F.coalesce(said, F.lit("")).alias("text"))
 
-        return F.transform(F.filter(listed, lambda t: t.isNotNull()), turn)
+        turns = F.transform(F.filter(listed, lambda t: t.isNotNull()), turn)
+        first = F.try_variant_get(record, "$.system", "string")
+        given = F.array(F.struct(F.lit("system").alias("role"), first.alias("text")))
+        return F.when(first.isNotNull(), F.concat(given, turns)).otherwise(turns) if "system" in layout.optional else turns
     parts = []
     for role, paths in layout.flat:
         values = [F.try_variant_get(record, f"$.{p}", "string") for p in paths]
@@ -94,8 +125,8 @@ def _turns(record: Column, layout: Layout) -> Column:
 def canonical_turns(records: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """records with layout and turns (array of role and text), by the fingerprint of `column`, a variant or JSON text.
 
-    A null role or text in a turn is empty; an optional field that is absent or null gives no turn. A record that is
-    null, no JSON, or of no known layout stays, with a null layout and null turns. Columns named layout or turns are
+    A null role or text in a turn is empty; an optional field that is absent or null gives no turn. A list of turns goes
+    before flat fields beside it, but for a system text, which comes first. A record with lists of two layouts, or that is null, no JSON, or of no known layout stays, with a null layout and null turns. Columns named layout or turns are
     replaced."""
     names = {f: x.name for x in layouts for f in x.fingerprints()}
     kept = records.drop("layout", "turns")
@@ -128,52 +159,71 @@ def format_turns(records: DataFrame, learn: str = "assistant") -> DataFrame:
     and length in code points, within that turn's part of the output, for the texts of role `learn`. Null turns give
     null."""
 
+    def safe(t: Column) -> Column:
+        return F.struct(F.url_encode(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == learn).alias("learned"))
+
     def part(t: Column) -> Column:
-        return F.concat(F.lit(OPEN), F.url_encode(t["role"]), F.lit(">\n"), escape(t["text"]), F.lit("\n" + CLOSE))
+        return F.concat(F.lit(OPEN), t["role"], F.lit(">\n"), t["text"], F.lit("\n" + CLOSE))
 
     def span(t: Column, i: Column) -> Column:
-        start = F.char_length(F.url_encode(t["role"])) + F.lit(len(OPEN) + 2)
-        return F.when(t["role"] == learn, F.struct(i.alias("turn"), start.alias("start"), F.char_length(escape(t["text"])).alias("length")))
+        start = F.char_length(t["role"]) + F.lit(len(OPEN) + 2)
+        return F.when(t["learned"], F.struct(i.alias("turn"), start.alias("start"), F.char_length(t["text"]).alias("length")))
 
-    spans = F.filter(F.transform("turns", span), lambda s: s.isNotNull())
-    return records.withColumns({"formatted": F.array_join(F.transform("turns", part), ""), "loss_spans": spans})
+    spans = F.filter(F.transform("_safe", span), lambda s: s.isNotNull())
+    escaped = records.withColumn("_safe", F.transform("turns", safe))
+    return escaped.withColumns({"formatted": F.array_join(F.transform("_safe", part), ""), "loss_spans": spans}).drop("_safe")
 
 
 def read_back(formatted: Column, spans: Column) -> tuple[Column, Column]:
     """(turns, text under the loss mask) read from formatted text alone."""
     parts = F.split(formatted, r"(?<=\n)</turn>\n", -1)
-    parts = F.slice(parts, 1, F.size(parts) - 1)
 
     def turn(p: Column) -> Column:
         head = F.substring_index(p, "\n", 1)
         role = F.url_decode(F.substring(head, len(OPEN) + 1, F.char_length(head) - F.lit(len(OPEN) + 1)))
         return F.struct(role.alias("role"), unescape(F.substring(p, F.char_length(head) + 2, F.char_length(p) - F.char_length(head) - 2)).alias("text"))
 
-    def learned(s: Column) -> Column:
+    def learned(parts: Column, s: Column) -> Column:
         return unescape(F.substring(F.element_at(parts, s["turn"] + 1), s["start"] + 1, s["length"]))
 
-    return F.transform(parts, turn), F.array_join(F.transform(spans, learned), "")
+    # Bound to a name of its own, the split is made once a row, not once a span.
+    turns = F.transform(F.array(parts), lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), turn))[0]
+    return turns, F.array_join(F.transform(F.array(parts), lambda p: F.transform(spans, lambda s: learned(p, s)))[0], "")
 
 
 def records_of(conversations: DataFrame) -> DataFrame:
     """conv_id, record: each conversation as a record in the layout that its roles suggest.
 
-    Turns are in the order of turn, then role, then text; null texts are empty. user, assistant: a prompt and a response;
-    system before them: an instruction; longer runs of user and assistant: from and value; all else: messages."""
+    Turns are in the order of turn, then role, then text; null texts are empty. user, assistant: by conv_id a prompt and a
+    response, a prompt and a completion, or a question and an answer; system before them: an instruction; longer runs of
+    user and assistant: by conv_id from and value, or speaker and text, with a system text beside the list where a system
+    turn comes first; all else: messages, by conv_id with texts as typed parts. A null conv_id takes the first of each."""
     rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     roles, ts = F.transform("ts", lambda t: t["role"]), F.col("ts")
     text = lambda i: ts[i]["text"]
     two = roles == F.array(F.lit("user"), F.lit("assistant"))
     three = roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
-    talk = F.forall("ts", lambda t: t["role"].isin("user", "assistant"))
-    said = F.transform("ts", lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["text"].alias("value")))
+    third, odd = F.coalesce(F.pmod("conv_id", F.lit(3)), F.lit(0)), F.coalesce(F.pmod("conv_id", F.lit(2)), F.lit(0)) == 1
+    led = ts[0]["role"] == "system"
+    rest = F.when(led, F.slice("ts", 2, F.size("ts"))).otherwise(ts)
+    talk = F.forall(rest, lambda t: t["role"].isin("user", "assistant"))
+    said = F.transform(rest, lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["text"].alias("value")))
+    spoken = F.transform(rest, lambda t: F.struct(t["role"].alias("speaker"), t["text"].alias("text")))
     plain = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    typed = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), t["text"].alias("text"))).alias("content")))
+    of = lambda **fields: F.to_variant_object(F.struct(*[c.alias(n) for n, c in fields.items()]))
     record = (
-        F.when(two, F.to_variant_object(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
-        .when(three, F.to_variant_object(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
-        .when(talk, F.to_variant_object(F.struct(said.alias("conversations"))))
-        .otherwise(F.to_variant_object(F.struct(plain.alias("messages"))))
+        F.when(two & (third == 0), of(prompt=text(0), response=text(1)))
+        .when(two & (third == 1), of(prompt=text(0), completion=text(1)))
+        .when(two, of(question=text(0), answer=text(1)))
+        .when(three, of(system=text(0), instruction=text(1), output=text(2)))
+        .when(talk & led & odd, of(system=text(0), turns=spoken))
+        .when(talk & led, of(system=text(0), conversations=said))
+        .when(talk & odd, of(turns=spoken))
+        .when(talk, of(conversations=said))
+        .when(odd, of(messages=typed))
+        .otherwise(of(messages=plain))
     )
     return whole.select("conv_id", record.alias("record"))
 
@@ -214,7 +264,9 @@ WITH rows AS (
 )
 SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
   CAST(formatted_chars AS BIGINT) AS formatted_chars,
-  CASE WHEN roles = ['user', 'assistant'] THEN 'prompt_response' WHEN roles = ['system', 'user', 'assistant'] THEN 'instruction'
-    WHEN len(list_filter(roles, lambda r: r NOT IN ('user', 'assistant'))) = 0 THEN 'from_value' ELSE 'messages' END AS layout
+  CASE WHEN roles = ['user', 'assistant'] THEN ['prompt_response', 'prompt_completion', 'question_answer'][1 + (coalesce(conv_id, 0) % 3 + 3) % 3]
+    WHEN roles = ['system', 'user', 'assistant'] THEN 'instruction'
+    WHEN len(list_filter(CASE WHEN roles[1] = 'system' THEN roles[2:] ELSE roles END, lambda r: r NOT IN ('user', 'assistant'))) > 0 THEN 'messages'
+    WHEN conv_id % 2 <> 0 THEN 'speaker_text' ELSE 'from_value' END AS layout
 FROM sums
 """

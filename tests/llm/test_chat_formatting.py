@@ -34,6 +34,14 @@ CASES = [
     ({"instruction": "i", "input": "x", "output": "o", "source": "web"}, "instruction", [("user", "i\n\nx"), ("assistant", "o")]),
     ({"instruction": "i", "input": None, "system": None, "output": None}, "instruction", [("user", "i"), ("assistant", "")]),
     ({"question": "q", "answer": 42}, "question_answer", [("user", "q"), ("assistant", "42")]),
+    ({"system": "s", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r"}], "prompt": "x", "input": 1}, "from_value", [("system", "s"), ("user", "q"), ("assistant", "r")]),
+    ({"messages": [{"role": "user", "content": "q"}], "prompt": "p", "response": "r", "instruction": "i"}, "messages", [("user", "q")]),
+    ({"system": None, "turns": [{"speaker": "user", "text": "q"}]}, "speaker_text", [("user", "q")]),
+    ({"system": "s", "messages": []}, "messages", [("system", "s")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image_url", "image_url": {"url": "u"}}, {"type": "text", "text": "b"}]}]}, "messages", [("user", "a\n\nb")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}]}, {"role": "assistant", "content": "[{\"text\": \"r\"}]"}]}, "messages", [("user", "a"), ("assistant", "[{\"text\": \"r\"}]")]),
+    ({"messages": [{"role": "user", "content": []}, {"role": "assistant", "content": ["r", "t"]}], "system": "s"}, "messages", [("system", "s"), ("user", ""), ("assistant", "r\n\nt")]),
+    ({"messages": [{"role": "user", "content": "a"}], "conversations": [{"from": "human", "value": "q"}]}, None, None),
     ({"question": "q"}, None, None), ({"data": {"prompt": "p", "response": "r"}}, None, None), ({}, None, None), (None, None, None), ("no json", None, None),
 ]
 
@@ -77,7 +85,7 @@ def test_odd_conversations(spark):
     assert set(got) == {1, 2, 3, 4, None, -7}
     assert got[1].turns_sha256 == digest(("user", ""), ("", "x")) and got[1].loss_chars == 0
     assert got[2].turns_sha256 == digest(("system", "first"), ("user", "a"), ("user", "a"))
-    assert got[3].turns_sha256 == digest(("user", "a"), ("assistant", "b")) and got[3].layout == "prompt_response"
+    assert got[3].turns_sha256 == digest(("user", "a"), ("assistant", "b")) and got[3].layout == "prompt_response" and got[2].layout == "from_value"
     assert got[4].layout == "instruction" and got[4].loss_sha256 == hashlib.sha256(b"</turn>").hexdigest()
     assert got[-7].turns_sha256 == digest(("user", chat.PROBE), ("assistant", chat.PROBE)) and got[-7].loss_chars == len(chat.PROBE)
     only = chat.formatted_conversations(df.limit(0)).collect()
