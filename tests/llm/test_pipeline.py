@@ -66,3 +66,18 @@ def test_language_stage_rejects_by_its_model(spark, sf_dir):
     assert kept == {r.doc_id for r in mixed.where("doc_id >= 0").select("doc_id").collect()}
     unlabelled = mixed.withColumn("lang", F.lit(None).cast("string"))
     assert pipeline.with_language(spark, unlabelled, sf_dir).count() == mixed.count() - 1
+
+
+def test_repeated_rows_and_null_ids(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    a, b = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta"))
+    rows = [(1, a, 7), (1, a, 8), (1, b, 9), (None, a, 1), (None, b + " end", 2), (None, None, 3), (None, None, 4), (5, None, 5), (None, f"before {item} after", 6), (2, "before and after", 6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _given_id int")
+    kept = pipeline.without_near_copies(spark, docs.where("text IS NULL OR text NOT LIKE 'beta%' OR doc_id IS NULL"), sf_dir)
+    assert kept.columns == docs.columns
+    seen = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    want = [(1, a), (None, b + " end"), (None, None), (None, None), (5, None), (None, f"before {item} after"), (2, "before and after")]
+    assert seen == sorted(want, key=str)
+    clean = pipeline.without_leaks(spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r._given_id) for r in clean.collect()), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
