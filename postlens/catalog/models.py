@@ -13,6 +13,7 @@ from postlens.functions import numeric
 from postlens.functions.vectors import squared_distance
 from postlens.operators import contracts, embedding, encoder_stage, ridge, sampling, sweep
 from postlens.operators.clustering import cluster_sweep, standardised
+from postlens.operators.hashing import Hashing
 from postlens.operators.projection import fit_pca
 from postlens.plans import ablation as ab
 from postlens.plans import feature_stage as fs
@@ -407,64 +408,78 @@ def grades(spark, sf):
     return rp.grade_metrics(runs.select("feature_group", F.inline(lines)))
 
 
-_HASHED = """list_transform(range(8), lambda i: CAST('0x' || substr(md5(concat('0:', CAST(i AS VARCHAR), ':', {t})), 1, 8) AS BIGINT) / 4294967296.0E0 - 0.5)"""
+def _trigrams(rows: str, keys: str) -> str:
+    """SQL of keys, dim, x: unit vectors of the signed trigram counts of txt, in 8 dimensions."""
+    code = lambda k: f"CAST(unicode(substr(p, CAST(i + {k} AS BIGINT), 1)) AS BIGINT)"
+    return f"""(WITH p AS (SELECT {keys}, concat(' ', CASE WHEN txt = '' THEN ' ' ELSE txt END, ' ') AS p FROM ({rows})),
+      c AS (SELECT {keys}, p, unnest(range(1, length(p) - 1)) AS i FROM p),
+      h AS (SELECT {keys}, ((({code(0)} * 65599 + {code(1)}) % 2147483648) * 65599 + {code(2)}) % 2147483648 * 2654435761 % 4294967296 AS m FROM c),
+      s AS (SELECT {keys}, (m // 4096) % 8 AS dim, CAST(sum(CASE WHEN m >= 2147483648 THEN -1 ELSE 1 END) AS DOUBLE) AS x FROM h GROUP BY ALL),
+      f AS (SELECT * FROM (SELECT {keys} FROM p), (SELECT unnest(range(8)) AS dim)),
+      j AS (SELECT {keys}, dim, coalesce(x, 0) AS x, sqrt(sum(coalesce(x * x, 0)) OVER (PARTITION BY {keys})) AS norm FROM f LEFT JOIN s USING ({keys}, dim))
+      SELECT {keys}, CAST(dim AS INTEGER) AS dim, CASE WHEN norm > 0 THEN x / norm ELSE 0 END AS x FROM j)"""
 
 
 @register(
-    "encode_text",
-    f"""WITH e AS (SELECT note_id, {_HASHED.format(t='title')} AS v FROM note_info),
-      n AS (SELECT note_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e),
-      d AS (SELECT note_id, unnest(v) / norm AS x, generate_subscripts(v, 1) - 1 AS dim FROM n)
-      SELECT note_id, CAST(dim AS INTEGER) AS dim, CAST(round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS DOUBLE) AS x FROM d""",
+    "encode_text", f"SELECT note_id, dim, round(x, 5) AS x FROM {_trigrams('SELECT note_id, title AS txt FROM note_info', 'note_id')}",
     ["note_info"],
 )
 def encode_text(spark, sf):
-    vectors = fx.note_info(spark, sf).select("note_id", encoder_stage.encode_text(F.col("title"), encoder_stage.hash_encoder(8)).alias("v"))
+    vectors = fx.note_info(spark, sf).select("note_id", encoder_stage.encode_text(F.col("title"), Hashing(8)).alias("v"))
     return vectors.select("note_id", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
-_UNIT = "list_transform(r.v, lambda x: x / sqrt(list_sum(list_transform(r.v, lambda y: y * y))))"
 _STRIPPED = r"regexp_replace(text, '\A[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+|[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+\z', '', 'g')"
+_PIECES = """SELECT {k}, 0 AS piece, t AS txt FROM d WHERE t <> '' AND length(t) <= 200
+        UNION ALL SELECT {k}, i AS piece, substring(t, CAST(i * 52 + 1 AS BIGINT), 52) FROM (SELECT {k}, t, unnest(range((length(t) + 51) // 52)) AS i FROM d WHERE length(t) > 200)"""
 
 
 @register(
     "encode_content",
-    f"""WITH d AS (SELECT doc_id, {_STRIPPED} AS t FROM documents),
-      p AS (SELECT doc_id, t AS chunk FROM d WHERE t <> '' AND length(t) <= 200
-        UNION ALL SELECT doc_id, substring(t, k * 52 + 1, 52) FROM (SELECT doc_id, t, unnest(range((length(t) + 51) // 52)) AS k FROM d WHERE length(t) > 200)),
-      r AS (SELECT doc_id, {_HASHED.format(t='chunk')} AS v FROM p),
-      u AS (SELECT doc_id, unnest({_UNIT}) AS x, generate_subscripts(r.v, 1) - 1 AS dim FROM r)
-      SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 4) AS x FROM u GROUP BY ALL
+    f"""WITH d AS (SELECT doc_id, {_STRIPPED} AS t FROM documents), v AS (SELECT * FROM {_trigrams(_PIECES.format(k='doc_id'), 'doc_id, piece')})
+      SELECT doc_id, dim, round(CAST(CAST(avg(x) AS FLOAT) AS DOUBLE), 4) + 0.0E0 AS x FROM v GROUP BY ALL
       UNION ALL SELECT doc_id, CAST(k AS INTEGER), 0 FROM d, range(8) v(k) WHERE t = ''""",
 )
 def encode_content(spark, sf):
+    """Long texts by the Arrow path, which is the faster of the two for them."""
     docs = fx.table(spark, sf, "documents")
-    vectors = docs.select("doc_id", encoder_stage.encode_content(F.col("text"), encoder_stage.hash_encoder(8)).alias("v"))
+    vectors = docs.select("doc_id", encoder_stage.encode_content(F.col("text"), encoder_stage.hashing_encoder(8)).alias("v"))
     return vectors.select("doc_id", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))
 
 
 def _posts(spark, sf):
-    return fx.note_info(spark, sf).select("note_id", "title", "tag_info").join(
-        fx.note_stats(spark, sf).select("note_id", "imp_num"), "note_id")
+    """Posts with inputs of all seven modalities; some covers and inner images are missing."""
+    info = fx.note_info(spark, sf)
+    data = lambda c: F.encode(c, "UTF-8")
+    posts = info.select(
+        "note_id", "title", "tag_info", F.repeat("title", 8).alias("content"), F.col("taxonomy1").alias("cover_image_ocr_text"),
+        F.col("intention_lv1").alias("inner_images_ocr_text"), data("first_file_id").alias("cover_image"),
+        F.array(data("note_id"), data("first_file_id"), data("type")).alias("inner_images"))
+    return posts.join(fx.note_stats(spark, sf).select("note_id", "imp_num"), "note_id")
 
 
 @register(
     "feature_stage",
-    f"""WITH j AS (SELECT i.note_id, s.imp_num, i.title, CASE WHEN tag_info IS NULL OR tag_info = '[oops' THEN ' ' ELSE concat(taxonomy1, ',', type) END AS tags
-        FROM note_info i JOIN note_stats s ON i.note_id = s.note_id),
-      h AS (SELECT note_id, imp_num, 'title' AS name, {_HASHED.format(t='title')} AS v FROM j
-        UNION ALL SELECT note_id, imp_num, 'tag', {_HASHED.format(t='tags')} FROM j),
-      r AS (SELECT note_id, name, CASE WHEN imp_num >= 700 THEN {_UNIT.replace('r.v', 'v')} ELSE list_transform(v, lambda x: 0) END AS v FROM h),
-      u AS (SELECT note_id, name, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM r)
-      SELECT note_id, concat(name, '_feat_', CAST(dim AS VARCHAR)) AS feature, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) + 0.0E0 AS x FROM u""",
+    f"""WITH j AS (SELECT i.*, s.imp_num, CASE WHEN tag_info IS NULL OR tag_info = '[oops' THEN ' ' ELSE concat(taxonomy1, ',', type) END AS tags
+        FROM note_info i JOIN note_stats s ON i.note_id = s.note_id), d AS (SELECT note_id, repeat(title, 8) AS t FROM j),
+      r AS (SELECT note_id, 'title' AS name, 0 AS piece, title AS txt FROM j UNION ALL SELECT note_id, 'tag', 0, tags FROM j
+        UNION ALL SELECT note_id, 'cover_ocr', 0, taxonomy1 FROM j UNION ALL SELECT note_id, 'inner_ocr', 0, intention_lv1 FROM j
+        UNION ALL SELECT note_id, 'cover_image', 0, coalesce(first_file_id, '') FROM j
+        UNION ALL SELECT note_id, 'inner_image', 0, note_id FROM j UNION ALL SELECT note_id, 'inner_image', 2, type FROM j
+        UNION ALL SELECT note_id, 'inner_image', 1, first_file_id FROM j WHERE first_file_id IS NOT NULL
+        UNION ALL SELECT note_id, 'content', piece, txt FROM ({_PIECES.format(k='note_id')})),
+      v AS (SELECT note_id, name, dim, avg(x) AS x FROM {_trigrams('SELECT * FROM r', 'note_id, name, piece')} GROUP BY ALL)
+      SELECT note_id, name, dim, CASE WHEN imp_num >= 700 THEN round(CAST(CAST(x AS FLOAT) AS DOUBLE), 4) + 0.0E0 ELSE 0 END AS x FROM v JOIN j USING (note_id)""",
     ["note_info", "note_stats"],
 )
 def feature_stage(spark, sf):
+    """Texts by column expressions, images by the Arrow path."""
     posts = _posts(spark, sf)
-    staged = fs.feature_stage(posts, fs.standard_modalities(posts.columns), encoder_stage.hash_encoder(8), min_imp=700)
-    wide = fs.widen(staged, {"title": 8, "tag": 8}).drop("title", "tag_info", "imp_num")
-    names = [c for c in wide.columns if c != "note_id"]
-    return wide.unpivot("note_id", names, "feature", "x").withColumn("x", F.round(F.col("x").cast("double"), 5))
+    parts = fs.standard_modalities(posts.columns)
+    staged = fs.feature_stage(posts, parts, Hashing(8), encoder_stage.hashing_encoder(8), min_imp=700)
+    each = F.explode(F.array(*[F.struct(F.lit(m.name).alias("name"), F.col(m.column).alias("v")) for m in parts])).alias("m")
+    vectors = staged.select("note_id", each).select("note_id", "m.name", F.posexplode("m.v").alias("dim", "x"))
+    return vectors.withColumn("x", F.round(F.col("x").cast("double"), 4))
 
 
 @register("incremental_features", ORACLES["encode_content"])
@@ -472,7 +487,7 @@ def incremental_features(spark, sf):
     """Two runs over a growing folder: the second sees the files that the first did not, and each document is encoded once."""
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
     work = f"{checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
-    spec = encoder_stage.hash_encoder(8)
+    spec = encoder_stage.hashing_encoder(8)
 
     def transform(rows):
         return rows.select("doc_id", encoder_stage.encode_content(F.col("text"), spec).alias("content_vec"))

@@ -1,12 +1,12 @@
 """Applying a caller's encoder to text, chunks and images (V1, V2, V8).
 
 An encoder is a callable from a list of strings or bytes (None where an image is missing) to an array of
-shape (n, dim). It is loaded once per Python worker. Only the input column travels to Python.
+shape (n, dim). It is loaded once per Python worker. Only the input column travels to Python. A Hashing takes the place
+of an encoder where trigram counts are enough, and stays in the JVM.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions.text import content_chunks, encoder_text
+from postlens.operators.hashing import Hashing, HashingModel
 
 VECTOR = T.ArrayType(T.FloatType())
 _LOADED: dict[str, Callable] = {}
@@ -77,42 +78,39 @@ def _encode_lists(spec: EncoderSpec, how: str):
     return F.pandas_udf(run, VECTOR)
 
 
-def encode_text(text: Column, spec: EncoderSpec, kept: Column | None = None) -> Column:
+def _one(spec: EncoderSpec | Hashing, item: Column) -> Column:
+    return spec.vector(item) if isinstance(spec, Hashing) else _encode_present(spec)(item)
+
+
+def _many(spec: EncoderSpec | Hashing, items: Column, how: str) -> Column:
+    return spec.pooled(items, how) if isinstance(spec, Hashing) else _encode_lists(spec, how)(items)
+
+
+def encode_text(text: Column, spec: EncoderSpec | Hashing, kept: Column | None = None) -> Column:
     """V1: blank text is encoded as one space; rows not `kept` get zeros and never reach the encoder."""
     clean = encoder_text(text)
-    return _encode_present(spec)(clean if kept is None else F.when(kept, clean))
+    return _one(spec, clean if kept is None else F.when(kept, clean))
 
 
-def encode_content(text: Column, spec: EncoderSpec, kept: Column | None = None, **cut: int) -> Column:
+def encode_content(text: Column, spec: EncoderSpec | Hashing, kept: Column | None = None, **cut: int) -> Column:
     """V8: mean of the vectors of the pieces; blank content gives zeros."""
     pieces = content_chunks(text, **cut)
-    return _encode_lists(spec, "mean")(pieces if kept is None else F.when(kept, pieces))
+    return _many(spec, pieces if kept is None else F.when(kept, pieces), "mean")
 
 
-def encode_image(image: Column, spec: EncoderSpec, kept: Column | None = None) -> Column:
+def encode_image(image: Column, spec: EncoderSpec | Hashing, kept: Column | None = None) -> Column:
     """V2, cover: a missing image is given to the encoder as empty bytes, for it to answer its blank image."""
     present = F.coalesce(image, F.lit(b""))
-    return _encode_present(spec)(present if kept is None else F.when(kept, present))
+    present = F.decode(present, "ISO-8859-1") if isinstance(spec, Hashing) else present
+    return _one(spec, present if kept is None else F.when(kept, present))
 
 
-def encode_images(images: Column, spec: EncoderSpec, how: str = "mean", kept: Column | None = None) -> Column:
+def encode_images(images: Column, spec: EncoderSpec | Hashing, how: str = "mean", kept: Column | None = None) -> Column:
     """V2 and V7, inner images: missing ones are skipped, none at all gives zeros."""
-    return _encode_lists(spec, how)(images if kept is None else F.when(kept, images))
-
-
-class HashEncoder:
-    """Repeatable stand-in for a model: every dimension is read off an md5 of seed, dimension and input."""
-
-    def __init__(self, dim: int, seed: int = 0):
-        self.dim, self.seed = dim, seed
-
-    def __call__(self, items: Sequence) -> np.ndarray:
-        raw = [x if isinstance(x, bytes) else str(x).encode() for x in items]
-        return np.array([
-            [int(hashlib.md5(f"{self.seed}:{i}:".encode() + x).hexdigest()[:8], 16) / 2**32 - 0.5 for i in range(self.dim)]
-            for x in raw
-        ])
+    given = F.transform(images, lambda i: F.decode(i, "ISO-8859-1")) if isinstance(spec, Hashing) else images
+    return _many(spec, given if kept is None else F.when(kept, given), how)
 
 
-def hash_encoder(dim: int, seed: int = 0, batch: int = 64) -> EncoderSpec:
-    return EncoderSpec(f"hash-{dim}-{seed}", lambda: HashEncoder(dim, seed), dim, batch)
+def hashing_encoder(dim: int, batch: int = 64) -> EncoderSpec:
+    """Trigram counts by the Arrow path; the vectors equal those of Hashing(dim)."""
+    return EncoderSpec(f"trigrams-{dim}", lambda: HashingModel(dim), dim, batch)

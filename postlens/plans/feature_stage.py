@@ -46,7 +46,7 @@ def standard_modalities(columns: Sequence[str], switches: Mapping[str, bool] | N
     ]
 
 
-def _vector(m: Modality, text: enc.EncoderSpec, image: enc.EncoderSpec, how: str, kept: Column | None) -> Column:
+def _vector(m: Modality, text: enc.EncoderSpec | enc.Hashing, image: enc.EncoderSpec | enc.Hashing, how: str, kept: Column | None) -> Column:
     if m.kind == "text":
         return enc.encode_text(m.source, text, kept)
     if m.kind == "content":
@@ -59,7 +59,7 @@ def _vector(m: Modality, text: enc.EncoderSpec, image: enc.EncoderSpec, how: str
 
 
 def feature_stage(
-    df: DataFrame, modalities: Sequence[Modality], text: enc.EncoderSpec, image: enc.EncoderSpec | None = None,
+    df: DataFrame, modalities: Sequence[Modality], text: enc.EncoderSpec | enc.Hashing, image: enc.EncoderSpec | enc.Hashing | None = None,
     min_imp: int = 5000, keep_filtered: bool = True, pooling: str = "mean",
 ) -> DataFrame:
     """V9: adds `{name}_vec` per modality and num_images.
@@ -80,7 +80,7 @@ def feature_stage(
 
 
 def incremental_stage(
-    df: DataFrame, modalities: Sequence[Modality], text: enc.EncoderSpec, image: enc.EncoderSpec | None = None,
+    df: DataFrame, modalities: Sequence[Modality], text: enc.EncoderSpec | enc.Hashing, image: enc.EncoderSpec | enc.Hashing | None = None,
     min_imp: int = 0, renames: Mapping[str, str] = LEGACY_PREFIXES,
 ) -> DataFrame:
     """Filters, renames old vectors, and computes only the modalities whose vectors are not there."""

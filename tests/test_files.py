@@ -6,10 +6,11 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from postlens.operators.encoder_stage import encode_content, encode_image, encode_images, encode_text, hash_encoder
+from postlens.operators.encoder_stage import encode_content, encode_image, encode_images, encode_text, hashing_encoder
 from postlens.plans.feature_stage import feature_stage, incremental_stage, narrow, standard_modalities, widen
 from postlens.plans.text_stage import text_stage_targets
 from postlens.catalog import fixtures as fx
+from postlens.operators.hashing import Hashing
 from postlens.operators.sampling import sample_files
 from postlens.sources import audit, images, readers, sinks
 from postlens.streaming.incremental import progress, run_incremental
@@ -122,14 +123,14 @@ def test_images_beside_posts(spark, tmp_path):
     rows = {r["note_id"]: r for r in out.collect()}
     assert bytes(rows["1"]["cover_image"]) == b"a.jpg" and rows["2"]["cover_image"] is None
     assert [x and bytes(x) for x in rows["1"]["inner_images"]] == [b"b.jpg", None] and rows["2"]["inner_images"] == []
-    spec = hash_encoder(4)
+    spec = hashing_encoder(4)
     v = out.select("note_id", encode_image(F.col("cover_image"), spec).alias("c"), encode_images(F.col("inner_images"), spec).alias("i"))
     v = {r["note_id"]: r for r in v.collect()}
     assert sum(x * x for x in v["2"]["c"]) == pytest.approx(1, abs=1e-5) and v["2"]["i"] == [0.0] * 4
 
 
 def test_encoders(spark):
-    spec = hash_encoder(6)
+    spec = hashing_encoder(6)
     long = "word " * 60
     df = spark.createDataFrame([("a", ""), (None, long), (" a ", "x")], "t string, c string")
     rows = df.select(encode_text(F.col("t"), spec).alias("t"), encode_content(F.col("c"), spec).alias("c")).collect()
@@ -142,7 +143,7 @@ POSTS = "note_id string, title string, tag_info string, imp_num long"
 
 def test_feature_stage_scatters_and_widens(spark):
     df = spark.createDataFrame([("1", "t", None, 6000), ("2", "t", None, 10), ("3", "t", None, None)], POSTS)
-    spec = hash_encoder(4)
+    spec = hashing_encoder(4)
     parts = standard_modalities(df.columns)
     assert [m.name for m in parts] == ["title", "tag"]
     out = {r["note_id"]: r for r in feature_stage(df, parts, spec).collect()}
@@ -155,12 +156,12 @@ def test_feature_stage_scatters_and_widens(spark):
 
 def test_only_missing_vectors_are_computed(spark):
     df = spark.createDataFrame([("1", "t", "[]", 5, 0.5)], POSTS + ", text_feat_0 float")
-    out = incremental_stage(df, standard_modalities(df.columns), hash_encoder(4))
+    out = incremental_stage(df, standard_modalities(df.columns), hashing_encoder(4))
     assert "title_feat_0" in out.columns and "title_vec" not in out.columns and "tag_vec" in out.columns
 
 
 def test_stream_equals_batch(spark, numbered, tmp_path):
-    spec = hash_encoder(3)
+    spec = hashing_encoder(3)
     schema = spark.read.parquet(numbered).schema
 
     def transform(rows):
@@ -205,3 +206,18 @@ def test_no_cross_joins_no_row_udfs_no_global_sorts(spark, sf_dir, name):
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in plan
     assert not [line for line in plan.splitlines() if "Window [" in line and line.rstrip().endswith("], [], ")]
+
+
+def test_hashing_is_the_same_in_the_jvm_and_by_arrow(spark):
+    texts = ["", " ", "a", "ab", "naïve 🙂🙂 文字", "x" * 5000, "  two\nlines ", None]
+    df = spark.createDataFrame([(i, t, None if t is None else t.encode(), [t, None, "z"]) for i, t in enumerate(texts)], "i int, t string, b binary, l array<string>")
+    df = df.withColumn("images", F.transform("l", lambda x: F.encode(x, "UTF-8")))
+    both = []
+    for spec in (Hashing(16), hashing_encoder(16)):
+        cells = [encode_text(F.col("t"), spec).alias("t"), encode_content(F.col("t"), spec).alias("c"), encode_image(F.col("b"), spec).alias("b"),
+                 encode_images(F.col("images"), spec, "max").alias("x"), encode_images(F.col("images"), spec, kept=F.col("i") > 2).alias("k")]
+        both.append([list(r) for r in df.select("i", *cells).orderBy("i").collect()])
+    for a, b in zip(*both, strict=True):
+        assert a[0] == b[0]
+        for x, y in zip(a[1:], b[1:], strict=True):
+            assert x == pytest.approx(y, abs=1e-6)
