@@ -150,6 +150,11 @@ def dim_summary(spark, sf):
     return embedding.variance_summary(embedding.dimension_variance(fx.note_vectors(spark, sf), "image_vec"))
 
 
+def _listed(names):
+    """Names with commas between; none give NULL, as string_agg does."""
+    return F.when(F.size(names) > 0, F.array_join(names, ","))
+
+
 _PAIRS = f"""WITH {_DIMS}, c AS (SELECT CAST(a.dim AS INTEGER) AS i, CAST(b.dim AS INTEGER) AS j, corr(CAST(a.x AS DOUBLE), CAST(b.x AS DOUBLE)) AS r
   FROM e a JOIN e b ON a.note_id = b.note_id AND a.dim < b.dim GROUP BY 1, 2)
 """
@@ -169,7 +174,7 @@ def dim_correlation(spark, sf):
 def dim_correlation_summary(spark, sf):
     s = embedding.pair_summary(embedding.dimension_pairs(fx.note_vectors(spark, sf), "image_vec"), 0.1)
     names = F.transform("first_high", lambda p: F.concat(p["i"].cast("string"), F.lit("-"), p["j"].cast("string")))
-    return s.withColumn("first_high", F.array_join(names, ","))
+    return s.withColumn("first_high", _listed(names))
 
 
 def _labelled(spark, sf):
@@ -194,7 +199,7 @@ def dim_label(spark, sf):
 )
 def dim_label_summary(spark, sf):
     s = embedding.label_correlation_summary(embedding.label_correlation(_labelled(spark, sf), "image_vec", "label"))
-    return s.withColumn("top_dims", F.array_join("top_dims", ","))
+    return s.withColumn("top_dims", _listed(F.col("top_dims")))
 
 
 _SIMS = f"""
