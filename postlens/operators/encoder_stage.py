@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,7 @@ from postlens.functions.text import content_chunks, encoder_text
 from postlens.operators.hashing import Hashing, HashingModel
 
 VECTOR = T.ArrayType(T.FloatType())
+SLICE_BYTES, SLICE_ITEMS = 1 << 18, 8192  # of a batch, at once in Python
 _LOADED: dict[str, Callable] = {}
 
 
@@ -49,33 +51,49 @@ def _encode(model: Callable, items: Sequence, spec: EncoderSpec) -> np.ndarray:
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
+def _slices(items: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of about SLICE_BYTES; a larger item stands alone. What Python holds of a batch does not grow with the batch."""
+    ends = np.cumsum(pc.binary_length(items).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(items):
+        base = ends[start - 1] if start else 0
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right"))), start + SLICE_ITEMS)
+        yield start, stop
+        start = stop
+
+
+def _vectors(out: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array(out.astype("float32").ravel()))
+
+
 def _encode_present(spec: EncoderSpec):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(spec)
         for rows in batches:
-            there = rows.notna().to_numpy()
+            there, items = np.flatnonzero(rows.is_valid()), rows.drop_null()
             out = np.zeros((len(rows), spec.dim), dtype="float32")
-            out[there] = _encode(model, rows[there].tolist(), spec)
-            yield pd.Series(list(out))
+            for a, b in _slices(items):
+                out[there[a:b]] = _encode(model, items[a:b].to_pylist(), spec)
+            yield _vectors(out)
 
-    return F.pandas_udf(run, VECTOR)
+    return F.arrow_udf(run, VECTOR)
 
 
 def _encode_lists(spec: EncoderSpec, how: str):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(spec)
+        fold, none = (np.maximum, -np.inf) if how == "max" else (np.add, 0.0)
         for rows in batches:
-            lists = [[] if r is None else [x for x in r if x is not None] for r in rows]
-            flat = _encode(model, [x for r in lists for x in r], spec)
-            out, at = np.zeros((len(lists), spec.dim), dtype="float32"), 0
-            for i, r in enumerate(lists):
-                if r:
-                    part = flat[at:at + len(r)]
-                    out[i] = part.max(axis=0) if how == "max" else part.mean(axis=0)
-                at += len(r)
-            yield pd.Series(list(out))
+            items, owner = pc.list_flatten(rows), pc.list_parent_indices(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, items = owner[np.asarray(items.is_valid())], items.drop_null()
+            n = np.bincount(owner, minlength=len(rows))[:, None]
+            out = np.full((len(rows), spec.dim), none)
+            for a, b in _slices(items):
+                of, first = np.unique(owner[a:b], return_index=True)
+                out[of] = fold(out[of], fold.reduceat(_encode(model, items[a:b].to_pylist(), spec), first, axis=0))
+            yield _vectors(np.where(n > 0, out if how == "max" else out / np.maximum(n, 1), 0.0))
 
-    return F.pandas_udf(run, VECTOR)
+    return F.arrow_udf(run, VECTOR)
 
 
 def _one(spec: EncoderSpec | Hashing, item: Column) -> Column:
@@ -111,6 +129,6 @@ def encode_images(images: Column, spec: EncoderSpec | Hashing, how: str = "mean"
     return _many(spec, given if kept is None else F.when(kept, given), how)
 
 
-def hashing_encoder(dim: int, batch: int = 64) -> EncoderSpec:
+def hashing_encoder(dim: int, batch: int = 8192) -> EncoderSpec:
     """Trigram counts by the Arrow path; the vectors equal those of Hashing(dim)."""
     return EncoderSpec(f"trigrams-{dim}", lambda: HashingModel(dim), dim, batch)

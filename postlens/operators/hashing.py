@@ -13,6 +13,7 @@ from postlens.functions.vectors import l2_norm, pool, zeros
 
 # Multipliers and moduli of the trigram hash; the top bit gives the sign, bits from 12 the dimension.
 STEP, FOLD, MIX, WIDTH, SHIFT = 65599, 1 << 31, 2654435761, 1 << 32, 12
+CHARS = 1 << 18  # trigrams counted at once
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -66,11 +67,16 @@ class HashingModel:
     dim: int
 
     def __call__(self, items: Sequence) -> np.ndarray:
-        out = np.zeros((len(items), self.dim))
-        for row, item in zip(out, items, strict=True):
-            text = item.decode("latin-1") if isinstance(item, bytes) else item
-            c = np.frombuffer(f" {text or ' '} ".encode("utf-32-le"), "<u4").astype(np.int64)
+        texts = [f" {(i.decode('latin-1') if isinstance(i, bytes) else i) or ' '} " for i in items]
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        ends, size = np.cumsum([len(t) for t in texts], dtype=np.int64), len(texts) * self.dim
+        out = np.zeros(size)
+        for start in range(0, len(chars) - 2, CHARS):
+            c = chars[start : start + CHARS + 2].astype(np.int64)
+            at = np.arange(start, start + len(c) - 2)
+            owner = np.searchsorted(ends, at, side="right")
+            whole = at + 2 < ends[owner]  # a trigram over two texts is none
             h = ((c[:-2] * STEP + c[1:-1]) % FOLD * STEP + c[2:]) % FOLD
-            m = h.astype(np.uint64) * np.uint64(MIX) % np.uint64(WIDTH)
-            np.add.at(row, ((m >> np.uint64(SHIFT)) % np.uint64(self.dim)).astype(np.int64), np.where(m >= FOLD, -1.0, 1.0))
-        return out
+            m = (h * MIX % WIDTH)[whole]
+            out += np.bincount(owner[whole] * self.dim + (m >> SHIFT) % self.dim, np.where(m >= FOLD, -1.0, 1.0), size)
+        return out.reshape(len(texts), self.dim)

@@ -2,11 +2,12 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from postlens.operators.encoder_stage import encode_content, encode_image, encode_images, encode_text, hashing_encoder
+from postlens.operators.encoder_stage import EncoderSpec, encode_content, encode_image, encode_images, encode_text, hashing_encoder
 from postlens.plans.feature_stage import feature_stage, incremental_stage, narrow, standard_modalities, widen
 from postlens.plans.text_stage import text_stage_targets
 from postlens.catalog import fixtures as fx
@@ -221,3 +222,27 @@ def test_hashing_is_the_same_in_the_jvm_and_by_arrow(spark):
         assert a[0] == b[0]
         for x, y in zip(a[1:], b[1:], strict=True):
             assert x == pytest.approx(y, abs=1e-6)
+
+
+@pytest.mark.parametrize("how", ["mean", "max"])
+def test_encoders_hold_a_bounded_part_of_a_batch(spark, how):
+    """However many texts and pieces a batch has, the encoder gets few at once, and a row's pieces still meet in its vector."""
+    most = 1 << 18
+
+    def load():
+        def model(items):
+            assert sum(map(len, items)) <= most
+            return np.array([[len(i), 1.0] for i in items])
+
+        return model
+
+    spec = EncoderSpec(f"bounded-{how}", load, 2, 1 << 20)
+    lists = [["ab", None] * 100_000 + ["c" * 1000] * 600, None, [], ["abc"], [None]]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, l array<string>").coalesce(1)
+    got = [r["v"] for r in df.select("i", encode_images(F.col("l"), spec, how).alias("v")).orderBy("i").collect()]
+    unit = np.array([[n, 1.0] for n in [2] * 100_000 + [1000] * 600])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert got[0] == pytest.approx(list(unit.max(axis=0) if how == "max" else unit.mean(axis=0)), abs=1e-6)
+    assert got[1] == got[2] == got[4] == [0.0, 0.0] and got[3] == pytest.approx([3 / 10**0.5, 1 / 10**0.5], abs=1e-6)
+    texts = df.select("i", F.repeat(F.lit("x"), 150_000).alias("t"))
+    assert texts.select(encode_text(F.col("t"), spec).alias("v")).distinct().count() == 1
