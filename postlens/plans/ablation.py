@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -66,15 +68,16 @@ FEATURE_SETS = {
 
 def ablation(
     df: DataFrame, key: str = "note_id", image: str = "image_vec", text: str = "text_vec", label: str = "ctr",
-    trees: int = 50, depth: int = 5, k: int = 5, threads: int = 4,
+    trees: int = 50, depth: int = 5, k: int = 5, threads: int = 4, only: Sequence[str] | None = None,
 ) -> DataFrame:
-    """M5: per feature set: features, test mse, r2, spearman, and mean and std (ddof 0) of r2 over k folds.
+    """M5: per feature set: features, test mse, r2, spearman, and mean and std (ddof 0) of r2 over k folds, NULL without folds.
 
     The rows are assembled once, into the checkpoint folder; each set is a slice of the vector. Sets are fitted side by side,
-    each fit being a Spark job over all training rows.
+    each fit being a Spark job over all training rows; the metrics of all sets come from one table of predictions. `only`
+    names the sets that are wanted, each as it is among all of them.
     """
     prepared, places = assemble(df, key, image, text, label)
-    marked = folds(prepared, "key", k).withColumn("test", bucket("key", "42") < 2000)
+    marked = folds(prepared, "key", max(k, 1)).withColumn("test", bucket("key", "42") < 2000)
     kept = cut_lineage(marked.select("label", "all", "fold", "test")).persist()
     spark = df.sparkSession
 
@@ -88,26 +91,31 @@ def ablation(
             r2.evaluate(forest(trees, depth).fit(train.where(F.col("fold") != i)).transform(train.where(F.col("fold") == i)))
             for i in range(k)
         ]
-        predictions = cut_lineage(score_table(forest(trees, depth).fit(train).transform(test), "label"))
-        line = metrics.regression_metrics(predictions).head()
-        rho = metrics.spearman(predictions, with_p=False).head()["spearman"]
-        return (name, len(indices), line["mse"], line["r2"], rho, float(np.mean(held)), float(np.std(held)))
+        predictions = cut_lineage(score_table(forest(trees, depth).fit(train).transform(test), "label", task=name))
+        return name, len(indices), predictions, *((float(np.mean(held)), float(np.std(held))) if held else (None, None))
 
-    sets = [(n, p) for n, p in FEATURE_SETS.items() if any(places[x] for x in p)]
+    sets = [(n, p) for n, p in FEATURE_SETS.items() if any(places[x] for x in p) and (only is None or n in only)]
     with ThreadPool(threads) as pool:
-        rows = pool.map(run, sets)
+        fitted = pool.map(run, sets, chunksize=1)
+    predictions = reduce(DataFrame.unionByName, [f[2] for f in fitted])
+    table = metrics.regression_metrics(predictions).join(metrics.spearman(predictions, with_p=False).select("task", "spearman"), "task")
+    lines = {r["task"]: r.asDict() for r in table.collect()}
+    rows = [(name, width, *[lines.get(name, {}).get(c) for c in ("mse", "r2", "spearman")], *cv) for name, width, _, *cv in fitted]
     kept.unpersist()
     return literal_rows(
         spark, rows,
         "feature_set string, features int, mse double, r2 double, spearman double, cv_r2_mean double, cv_r2_std double")
 
 
+CONTRIBUTION_SETS = ("baseline_all", "no_image", "no_text")
+
+
 def contributions(results: DataFrame) -> DataFrame:
-    """M6 over an ablation table: what dropping each vector group costs, and the advice that follows."""
+    """M6 over an ablation table (of CONTRIBUTION_SETS at least, folds are not read): what dropping each vector group costs, and the advice that follows."""
     def r2(name: str):
         return F.max(F.when(F.col("feature_set") == name, F.col("r2")))
 
-    row = results.agg(r2("baseline_all").alias("all"), r2("no_image").alias("image"), r2("no_text").alias("text"))
+    row = results.agg(*[r2(s).alias(c) for s, c in zip(CONTRIBUTION_SETS, ("all", "image", "text"), strict=True)])
     lines = F.array(*[
         F.struct(F.lit(f"{g}_features").alias("feature_group"), (F.col("all") - F.col(g)).alias("r2_contribution"))
         for g in ("image", "text")])
