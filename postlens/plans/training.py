@@ -6,6 +6,8 @@ import json
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Estimator, Model
@@ -176,27 +178,40 @@ def score_table(scored: DataFrame, label: str, prediction: str = "prediction", t
 
 
 def compare_models(
-    train: DataFrame, test: DataFrame, label: str, models: Mapping[str, Estimator] | None = None, features: str = "features"
+    train: DataFrame, test: DataFrame, label: str, models: Mapping[str, Estimator] | None = None, features: str = "features", threads: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
-    """M7: (scores, ranking). A model that fails keeps its line, with the error and no metrics."""
-    spark, rows = train.sparkSession, []
-    for name, estimator in (models or default_regressors()).items():
+    """M7: (scores, ranking). A model that fails keeps its line, with the error and no metrics.
+
+    Models are fitted side by side, so `seconds` holds waiting for each other's tasks; the metrics of all come from one
+    table of predictions."""
+    spark = train.sparkSession
+
+    def run(item: tuple[str, Estimator]) -> tuple[str, float, DataFrame | None, str | None]:
+        name, estimator = item
         start = time.time()
         try:
             params = {estimator.getParam("featuresCol"): features, estimator.getParam("labelCol"): label}
             model = estimator.fit(train, params)
             seconds = time.time() - start
-            predictions = cut_lineage(score_table(model.transform(test), label))
-            line = (
-                metrics.regression_metrics(predictions)
-                .join(metrics.spearman(predictions, with_p=False).select("task", "spearman"), "task")
-                .join(kendall_tau(predictions, with_p=False).select("task", "kendall_tau"), "task")
-                .head()
-            )
-            rows.append((name, *[float(line[c]) if line[c] is not None else None
-                                 for c in ("mse", "mae", "rmse", "r2", "spearman", "kendall_tau")], seconds, None))
+            return name, seconds, cut_lineage(score_table(model.transform(test), label, task=name)), None
         except (IllegalArgumentException, AnalysisException, ValueError) as error:  # a model that does not fit these rows
-            rows.append((name, None, None, None, None, None, None, time.time() - start, str(error)))
+            return name, time.time() - start, None, str(error)
+
+    with ThreadPool(threads) as pool:
+        fitted = pool.map(run, list((models or default_regressors()).items()), chunksize=1)
+    scored = [p for _, _, p, _ in fitted if p is not None]
+    lines = {}
+    if scored:
+        predictions = reduce(DataFrame.unionByName, scored)
+        table = (
+            metrics.regression_metrics(predictions)
+            .join(metrics.spearman(predictions, with_p=False).select("task", "spearman"), "task")
+            .join(kendall_tau(predictions, with_p=False).select("task", "kendall_tau"), "task")
+        )
+        lines = {r["task"]: r.asDict() for r in table.collect()}
+    rows = [
+        (name, *[lines.get(name, {}).get(c) for c in ("mse", "mae", "rmse", "r2", "spearman", "kendall_tau")], seconds, error)
+        for name, seconds, _, error in fitted]
     scores = literal_rows(
         spark, rows,
         "model string, mse double, mae double, rmse double, r2 double, spearman double, kendall_tau double,"
