@@ -11,12 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import hash_words, text_slices, words
+from postlens.llm.common import hash_words, materialise, text_slices, words
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,33 @@ def sequences(texts: pa.Array, s: Setting) -> tuple[np.ndarray, np.ndarray]:
     return owner, (hash_words(distinct) % np.uint64(s.digits**2)).astype(np.int64)[codes]
 
 
+def bucketed(docs: DataFrame, s: Setting = Setting()) -> DataFrame:
+    """doc_id, buckets: of every word of the whole text, 16 bits each; null and empty texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            owner, bucket = sequences(texts, s)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))]) * 2
+            values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(bucket.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values.cast(pa.binary())], names=["doc_id", "buckets"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, buckets binary")
+
+
+def bucket_slices(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, text, bucket) of runs of whole texts with about `limit` bytes of buckets; a longer text stands alone."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("buckets")).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            rows = batch.slice(start, stop - start)
+            held = np.frombuffer(b"".join(rows.column("buckets").to_pylist()), "<u2").astype(np.int64)
+            yield rows, np.repeat(np.arange(stop - start), sizes[start:stop] // 2), held
+            start = stop
+
+
 def contexts(owner: np.ndarray, bucket: np.ndarray, s: Setting) -> np.ndarray:
     """Buckets of the words at -radius .. -1, 1 .. radius of every word; beyond the text the last row."""
     pad, n = s.digits**2, len(bucket)
@@ -139,7 +167,7 @@ class Descent:
 
 
 def train(docs: DataFrame, s: Setting = Setting()) -> Parameters:
-    """Parameters learned from every word of every text.
+    """Parameters learned from every word of every text; `docs` may be the rows that bucketed() gives.
 
     Words are dealt over `rounds` by place, so each is a target once. In a round each task goes over its own texts from the
     common parameters and sends what it arrived at, weighted by its number of words; the weighted means, one per
@@ -147,14 +175,13 @@ def train(docs: DataFrame, s: Setting = Setting()) -> Parameters:
     driver is one set of parameters. No words leave the initial parameters."""
     spark = docs.sparkSession
     now = initial(s)
-    texts_of = docs.select("text")
+    rows_of = (docs if "buckets" in docs.columns else bucketed(docs, s)).select("buckets")
     for turn in range(s.rounds):
         sent = spark.sparkContext.broadcast(flat(now))
 
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, sent=sent) -> Iterator[pa.RecordBatch]:
             descent, seen, contexts_held, targets_held, held = Descent(shaped(sent.value, s), s), 0, [], [], 0
-            for _, texts in text_slices(batches):
-                owner, bucket = sequences(texts, s)
+            for _, owner, bucket in bucket_slices(batches):
                 own = np.arange(turn, len(bucket), s.rounds)
                 if not len(own):
                     continue
@@ -175,7 +202,7 @@ def train(docs: DataFrame, s: Setting = Setting()) -> Parameters:
                 blocks = [values[i : i + s.block].astype(np.float64) for i in range(0, len(values), s.block)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.list_(pa.float64()))], names=["block", "weight", "part"])
 
-        parts = texts_of.mapInArrow(learn, "block int, weight double, part array<double>")
+        parts = rows_of.mapInArrow(learn, "block int, weight double, part array<double>")
         vectors = parts.select("block", "weight", array_to_vector("part").alias("part"))
         means = vectors.groupBy("block").agg(Summarizer.mean(F.col("part"), F.col("weight")).alias("mean")).select("block", vector_to_array("mean").alias("mean"))
         rows = sorted(means.collect(), key=lambda r: r["block"])  # as many rows as the network has blocks
@@ -186,7 +213,7 @@ def train(docs: DataFrame, s: Setting = Setting()) -> Parameters:
 
 
 def score(docs: DataFrame, parameters: Parameters, s: Setting = Setting()) -> DataFrame:
-    """doc_id, n_words, log_probability (the sum over all words), per_word of every whole text.
+    """doc_id, n_words, log_probability (the sum over all words), per_word of every whole text; `docs` as for train().
 
     Null and empty texts have no words, 0.0 and a null per_word. Rows that repeat are scored each; a null doc_id stays null;
     other columns are not read; an empty table gives no rows."""
@@ -194,8 +221,7 @@ def score(docs: DataFrame, parameters: Parameters, s: Setting = Setting()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shaped(sent.value, s)
-        for batch, texts in text_slices(batches):
-            owner, bucket = sequences(texts, s)
+        for batch, owner, bucket in bucket_slices(batches):
             context = contexts(owner, bucket, s)
             logs = np.zeros(len(bucket), np.float64)
             for i in range(0, len(bucket), 1024):  # few enough to stay in a core's cache
@@ -205,9 +231,11 @@ def score(docs: DataFrame, parameters: Parameters, s: Setting = Setting()) -> Da
             mean = total / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total), pa.array(mean, mask=n == 0)], names=["doc_id", "n_words", "log_probability", "per_word"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_probability double, per_word double")
+    rows = docs if "buckets" in docs.columns else bucketed(docs, s)
+    return rows.select("doc_id", "buckets").mapInArrow(run, "doc_id long, n_words long, log_probability double, per_word double")
 
 
 def scored_documents(docs: DataFrame, s: Setting = Setting()) -> DataFrame:
-    """Learns from all documents and scores all of them."""
-    return score(docs, train(docs, s), s)
+    """Learns from all documents and scores all of them; texts are cut into words once, for all rounds and the scores."""
+    rows = materialise(bucketed(docs, s))
+    return score(rows, train(rows, s), s)

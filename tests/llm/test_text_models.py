@@ -138,3 +138,14 @@ def test_scores(spark, sf_dir, odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert all((r.n_words == 0) == (r.per_word is None) and r.log_probability <= 0 for r in rows)
     assert lm_scoring.scored_documents(no_docs).count() == 0
+
+
+def test_words_are_cut_once(spark):
+    """Scores are those of rounds that each read the texts; a plan that learns and scores holds no texts."""
+    from postlens.llm import lm_scoring as lm
+
+    texts = [None, "", "one", "The cat sat on the mat " * 50, "naïve Café über " * 20, "x " * 600_000]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "a b")], "doc_id long, text string").coalesce(1)
+    both = [{(r["doc_id"], r["n_words"]): r["per_word"] for r in d.collect()} for d in (lm.scored_documents(docs), lm.score(docs, lm.train(docs)))]
+    assert both[0] == both[1] and {k[1] for k in both[0]} == {0, 1, 300, 60, 600_000, 2}
+    assert "text" not in lm.scored_documents(docs)._jdf.queryExecution().toString()
