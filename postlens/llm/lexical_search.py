@@ -14,9 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import shared_path, starts_of, terms, text_slices
+from postlens.llm.common import shared_path, terms, text_slices
 
-TOP, BLOCK_DOCS, BLOCK_BYTES, BATCH_BYTES, FIRST_POP = 20, 8192, 16 << 20, 8 << 20, 32
+TOP, BLOCK_DOCS, BLOCK_BYTES, SLICE_BYTES, BATCH_BYTES, FIRST_POP = 20, 8192, 16 << 20, 2 << 20, 8 << 20, 32
+# Rows of an index are large and differ: each is written out once it is there, and no dictionary of them is tried.
+ROW_GROUPS = {"compression": "zstd", "parquet.block.size": 1 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
 # Set bits of a 4-bit mask below a place: where a cell's child stands among its brothers.
 _BELOW = np.array([[bin(m & ((1 << s) - 1)).count("1") for s in range(4)] for m in range(16)], np.int64)
 _SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
@@ -65,6 +67,7 @@ class Treap:
         key = _spread(rows) << np.uint64(1) | _spread(columns)
         by_key = np.argsort(key)
         key, most = key[by_key], impacts[by_key]
+        del rows, columns, impacts, by_key
         masks, drops = [], []
         for _ in range(depth):
             up = key >> np.uint64(2)
@@ -73,13 +76,15 @@ class Treap:
             masks.append(np.bitwise_or.reduceat(np.uint8(1) << (key & np.uint64(3)).astype(np.uint8), first))
             drops.append((np.repeat(parent, np.diff(np.append(first, len(key)))) - most).astype(np.uint32))
             key, most = up[first], parent
+            del up, first, parent
         return Treap(depth, np.concatenate(masks[::-1]), np.concatenate([most.astype(np.uint32), *drops[::-1]]))
 
     def open(self) -> Cells:
         """Cells with their maxima and the place of their first child."""
         children = (_BELOW[:, 3] + (np.arange(16) >> 3)).astype(np.uint8)[self.masks]
-        first = np.cumsum(children, dtype=np.int32)
-        first += 1 - children.astype(np.int32)  # the root is cell 0, and the children of inner cells follow in order
+        first = np.ones(len(children), np.int32)  # the root is cell 0, and the children of inner cells follow in order
+        np.cumsum(children[:-1], dtype=np.int32, out=first[1:])
+        first[1:] += 1
         most, at, n = self.drops.astype(np.int32), 0, 1
         for _ in range(self.depth):
             held = children[at : at + n]
@@ -177,11 +182,13 @@ def index(docs: DataFrame, path: str, corpus: Corpus, block_docs: int = BLOCK_DO
 
     A block has at most block_docs documents of one task and, if it has several, about block_bytes of text. Its columns
     are its documents by id (null ids last), its rows its terms, those of most documents first and those of equally many
-    by their first document, which keeps lone cells of one document together. Rows that repeat are documents of their own."""
+    by their first document, which keeps lone cells of one document together. Rows that repeat are documents of their own.
+    Of a block's texts only their cells are kept, slice by slice. A large block is a row group of its own, so that writers
+    and readers of a file hold one at a time."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, size = [], 0, 0
-        for batch, texts in text_slices(batches, limit=2 << 20):
+        for batch, texts in text_slices(batches, limit=SLICE_BYTES):
             parts = [(batch.column("doc_id"), texts)]
             while parts:
                 ids, texts = parts.pop()
@@ -189,7 +196,7 @@ def index(docs: DataFrame, path: str, corpus: Corpus, block_docs: int = BLOCK_DO
                 if len(ids) > room:
                     parts.append((ids.slice(room), texts.slice(room)))
                     ids, texts = ids.slice(0, room), texts.slice(0, room)
-                held.append((ids, texts))
+                held.append((ids.take(pa.array(np.arange(len(ids)))), *cells_of(texts, corpus)))  # a slice would keep its batch
                 n, size = n + len(ids), size + int(pc.sum(pc.binary_length(texts)).as_py() or 0)
                 if n >= block_docs or size >= block_bytes:
                     yield block(held)
@@ -197,52 +204,72 @@ def index(docs: DataFrame, path: str, corpus: Corpus, block_docs: int = BLOCK_DO
         if held:
             yield block(held)
 
-    def block(parts: list) -> pa.RecordBatch:
-        ids = pa.concat_arrays([i for i, _ in parts])
+    def block(held: list) -> pa.RecordBatch:
+        """From the parts in `held`, which is emptied."""
+        ids = pa.concat_arrays([ids for ids, *_ in held])
         order = pc.array_sort_indices(ids)  # nulls last
-        place = np.empty(len(ids), np.int64)
+        place = np.empty(len(ids), np.int32)
         place[order.to_numpy()] = np.arange(len(ids))
-        owner, codes, distinct = terms(pa.concat_arrays([t for _, t in parts]))
-        owner = place[owner]
-        length = np.bincount(owner, minlength=len(ids))
-        key = np.sort(codes * len(ids) + owner)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(key)))
-        term, column = key[first] // len(ids), key[first] % len(ids)
-        held_by = np.bincount(term, minlength=len(distinct))
-        held = np.flatnonzero(held_by)  # an empty string may be among the distinct ones
-        rank = held[np.lexsort((column[starts_of(held_by)[held]], -held_by[held]))]
-        row_of = np.empty(len(distinct), np.int64)
+        coded = pa.concat_arrays([names for *_, names, _ in held]).dictionary_encode()
+        code_of, distinct = np.split(coded.indices.to_numpy(), np.cumsum([len(names) for *_, names, _ in held])[:-1]), coded.dictionary
+        place_of = np.split(place, np.cumsum([len(ids) for ids, *_ in held])[:-1])
+        term = np.concatenate([to[code] for to, (_, code, *_) in zip(code_of, held, strict=True)])
+        column = np.concatenate([to[owner] for to, (_, _, owner, *_) in zip(place_of, held, strict=True)])
+        impacts, n_terms = np.concatenate([part for _, _, _, part, *_ in held]), sum(n for *_, n in held)
+        held.clear()
+        held_by, first = np.bincount(term, minlength=len(distinct)), np.full(len(distinct), len(ids), np.int32)
+        np.minimum.at(first, term, column)
+        known = np.flatnonzero(held_by)  # an empty string may be among the distinct ones
+        rank = known[np.lexsort((first[known], -held_by[known]))]
+        row_of = np.empty(len(distinct), np.int32)
         row_of[rank] = np.arange(len(rank))
-        tree = Treap.build(row_of[term], column, corpus.impact(times, length[column]))
+        row = row_of[term]
+        del term
+        tree = Treap.build(row, column, impacts)
+        del row, column, impacts
         names = distinct.take(pa.array(rank))
         joined = "" if not len(names) else pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(pa.string())), " ")[0].as_py()
         sorted_ids = ids.take(order)
-        key = hash_of(sorted_ids, owner, len(codes))
-        values = [[key], [len(ids)], [packed_ids(sorted_ids)], [joined], [held_by[rank].astype(np.uint32).tobytes()], [tree.depth], [tree.masks.tobytes()], [planes(tree.drops)]]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+        key = hash_of(sorted_ids, n_terms)
+        values = [pa.array([key], pa.int64()), pa.array([len(ids)], pa.int32()), blob(packed_ids(sorted_ids)), pa.array([joined], pa.string()), blob(held_by[rank].astype(np.uint32)), pa.array([tree.depth], pa.int32()), blob(tree.masks), blob(planes(tree.drops))]
+        return pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in BLOCKS.split(", ")])
 
-    docs.select("doc_id", "text").mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(path)
+    docs.select("doc_id", "text").mapInArrow(blocks, BLOCKS).write.options(**ROW_GROUPS).parquet(path)
     return docs.sparkSession.read.schema(BLOCKS).parquet(path)
 
 
-def hash_of(ids: pa.Array, owner: np.ndarray, n: int) -> int:
+def cells_of(texts: pa.Array, corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, int]:
+    """For each text and each of its terms the term's code, the text's place and the impact; the terms by code, and their number with repeats."""
+    owner, codes, distinct = terms(texts)
+    length = np.bincount(owner, minlength=len(texts))
+    key = np.sort(codes * len(texts) + owner)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(key)))
+    code, place = key[first] // len(texts), key[first] % len(texts)
+    return code.astype(np.int32), place.astype(np.int32), corpus.impact(times, length[place]).astype(np.int32), distinct, len(codes)
+
+
+def hash_of(ids: pa.Array, n: int) -> int:
     """Deals blocks into groups; any number does."""
     return (int(pc.sum(pc.fill_null(ids, 0)).as_py() or 0) + n) % (1 << 40)
 
 
-def packed_ids(ids: pa.Array) -> bytes:
+def packed_ids(ids: pa.Array) -> np.ndarray:
     """Ids and, at the end, how many of them are null."""
-    return np.append(pc.fill_null(ids, 0).to_numpy(), ids.null_count).astype(np.int64).tobytes()
+    return np.append(pc.fill_null(ids, 0).to_numpy(), ids.null_count).astype(np.int64)
+
+
+def blob(values: np.ndarray) -> pa.Array:
+    """One binary value with the bytes of the numbers, which are not copied."""
+    return pa.BinaryArray.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, values.nbytes], np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def planes(values: np.ndarray) -> bytes:
+def planes(values: np.ndarray) -> np.ndarray:
     """The lowest bytes of all values, then the next ones, as files are compressed by bytes; impacts have three."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes()
+    return np.ascontiguousarray(values.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T[:3])
 
 
-def from_planes(data: bytes) -> np.ndarray:
+def from_planes(data) -> np.ndarray:
     low = np.frombuffer(data, np.uint8).reshape(3, -1)
     values = low[2].astype(np.uint32)
     for plane in (low[1], low[0]):
@@ -299,13 +326,14 @@ def search(blocks: DataFrame, items: list[tuple[int, str]], corpus: Corpus, top:
         best = [(np.zeros(0, np.int64),) * 3 for _ in queries]  # score, id, whether the id is null
         for batch in batches:
             for i in range(batch.num_rows):
-                block = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                group = group or block["block"]
-                if not block["depth"]:
+                block = {c: batch.column(c)[i] for c in batch.schema.names}
+                group = group or block["block"].as_py()
+                if not block["depth"].as_py():
                     continue
-                cells = Treap(block["depth"], np.frombuffer(block["masks"], np.uint8), from_planes(block["drops"])).open()
-                row_of = _rows_of(wanted, block["terms"])
-                ids = np.frombuffer(block["doc_ids"], np.int64)
+                cells = None  # of the block before
+                cells = Treap(block["depth"].as_py(), np.frombuffer(block["masks"].as_buffer(), np.uint8), from_planes(block["drops"].as_buffer())).open()
+                row_of = _rows_of(wanted, block["terms"].as_py())
+                ids = np.frombuffer(block["doc_ids"].as_buffer(), np.int64)
                 ids, missing = ids[:-1], np.arange(len(ids) - 1) >= len(ids) - 1 - ids[-1]
                 for q, (_, at, weights) in enumerate(queries):
                     rows = row_of[at]

@@ -3,9 +3,12 @@
 import collections
 import math
 import re
+import tracemalloc
+from unittest.mock import MagicMock
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from postlens.llm import lexical_search as search
@@ -103,3 +106,29 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert search.rank_documents(odd_docs, bench.limit(0)).collect() == []
     nothing = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert search.rank_documents(nothing, bench).collect() == []
+
+
+def many_words():
+    rng = np.random.default_rng(0)
+    return [" ".join(f"w{i}" for i in rng.zipf(1.3, 2000) % 5000) for _ in range(900)]
+
+
+def test_a_large_block_is_a_row_group(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(many_words())), "doc_id long, text string").coalesce(1)
+    search.index(docs, str(tmp_path / "treaps"), search.Corpus(900, 1_800_000), block_docs=300)
+    found = [pq.ParquetFile(f).metadata for f in (tmp_path / "treaps").glob("*.parquet")]
+    assert [[m.row_group(i).num_rows for i in range(m.num_row_groups)] for m in found] == [[1, 1, 1]]
+
+
+def test_words_of_a_block_are_not_held_at_once():
+    texts = many_words()
+    size = sum(map(len, texts))
+    docs = MagicMock()
+    search.index(docs, "", search.Corpus(900, 1_800_000))
+    blocks = docs.select.return_value.mapInArrow.call_args.args[0]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(900), pa.int64()), "text": texts})
+    tracemalloc.start()
+    built = list(blocks(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(built) == 1 and size > 3 * search.SLICE_BYTES and most < 8 * size
