@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -364,6 +365,18 @@ def _terms_of(text: str | None) -> list[str]:
     return distinct.take(pa.array(codes)).to_pylist()
 
 
+@contextmanager
+def row_by_row(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run meanwhile get their rows in Arrow batches of one: rows of an index are large, and a batch holds 64 MB of them by default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def batches_of(rows: Iterator, limit: int) -> Iterator[list[tuple[int, str]]]:
     """Items in batches of about `limit` bytes; a larger text stands alone."""
     held, size = [], 0
@@ -394,7 +407,9 @@ def rank_documents(docs: DataFrame, benchmark: DataFrame, top: int = TOP, block_
         numbered = [(n, text) for n, (_, text) in enumerate(batch)]
         ids = spark.createDataFrame([(n, item) for n, (item, _) in enumerate(batch)], "n long, item_id long")
         path = shared_path(spark, "found")
-        search(blocks, numbered, corpus, top).withColumnRenamed("item_id", "n").join(F.broadcast(ids), "n").select("item_id", "rank", "doc_id", "score").write.parquet(path)
+        found = search(blocks, numbered, corpus, top).withColumnRenamed("item_id", "n").join(F.broadcast(ids), "n").select("item_id", "rank", "doc_id", "score")
+        with row_by_row(spark):
+            found.write.parquet(path)
         parts.append(spark.read.schema("item_id long, rank int, doc_id long, score long").parquet(path))
     none = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     return reduce(DataFrame.unionAll, parts, none) if not parts else reduce(DataFrame.unionAll, parts)

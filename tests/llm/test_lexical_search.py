@@ -132,3 +132,19 @@ def test_words_of_a_block_are_not_held_at_once():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(built) == 1 and size > 3 * search.SLICE_BYTES and most < 8 * size
+
+
+def test_a_search_gets_blocks_one_at_a_time(spark, sf_dir, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array([0], pa.int64()), "rank": pa.array([1], pa.int32()), "doc_id": pa.array([0], pa.int64()), "score": pa.array([batch.num_rows], pa.int64())})
+
+    monkeypatch.setattr(search, "search", lambda blocks, *_: blocks.mapInArrow(sizes, "item_id long, rank int, doc_id long, score long"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
+    got = [r.score for r in search.rank_documents(docs, spark.createDataFrame([(7, "a")], "item_id long, text string"), block_docs=16).collect()]
+    assert len(got) > 10 and set(got) == {1} and spark.conf.get(key) == before
+    with pytest.raises(ValueError), search.row_by_row(spark):
+        raise ValueError
+    assert spark.conf.get(key) == before
